@@ -39,31 +39,39 @@ def tree(n_shards: int, weights: dict[int, float] | None = None) -> Tree:
     return out
 
 
-def _unit(name: str, key: Column) -> Column:
+def _unit(name: Column, key: Column) -> Column:
     """A uniform draw in (0, 1) for the node ``name``; the top 52 bits of an MD5."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{name}:"), key)), 1, 13), 16, 10).cast("double")
+    bits = F.conv(F.substring(F.md5(F.concat(name, F.lit(":"), key)), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / float(1 << 52)
 
 
-def _pick(children: dict, key: Column, prefix: str) -> Column:
-    draws = [F.struct((-F.log(_unit(f"{prefix}{c}", key)) / F.lit(float(w))).alias("d"), F.lit(c).alias("c")) for c, w in sorted(children.items())]
-    return draws[0]["c"] if len(draws) == 1 else F.array_min(F.array(*draws))["c"]
+def _pick(children: Column, key: Column, prefix: str) -> Column:
+    """The name of the child with the smallest draw; children: an array of (c: name, w: weight)."""
+    draw = lambda x: F.struct((-F.log(_unit(F.concat(F.lit(prefix), x["c"]), key)) / x["w"]).alias("d"), x["c"].alias("c"))
+    return F.array_min(F.transform(children, draw))["c"]
 
 
-def _case(node: Column, branches: dict[str, Column]) -> Column:
+def _children(node: Column | None, table: dict[str, dict]) -> Column:
+    """The children of ``node`` as a literal array of (c, w)."""
+    lists = {n: F.array(*[F.struct(F.lit(str(c)).alias("c"), F.lit(float(w)).alias("w")) for c, w in x.items()]) for n, x in table.items()}
+    if node is None:
+        return next(iter(lists.values()))
     found = None
-    for name, value in branches.items():
-        found = F.when(node == name, value) if found is None else found.when(node == name, value)
+    for n, x in lists.items():
+        found = F.when(node == n, x) if found is None else found.when(node == n, x)
     return found
 
 
 def assign(df: DataFrame, key: Column, topology: Tree, out: str) -> DataFrame:
     """Adds the shard column ``out``; the descent takes one small projection per level."""
     k, g, r = "_tl_key", "_tl_region", "_tl_rack"
+    regions = {"": {n: sum(sum(x.values()) for x in racks.values()) for n, racks in topology.items()}}
+    racks = {n: {m: sum(x.values()) for m, x in racks.items()} for n, racks in topology.items()}
+    shards = {m: x for racks in topology.values() for m, x in racks.items()}
     df = df.withColumn(k, key)
-    df = df.withColumn(g, _pick({n: sum(sum(x.values()) for x in racks.values()) for n, racks in topology.items()}, F.col(k), ""))
-    df = df.withColumn(r, _case(F.col(g), {n: _pick({m: sum(x.values()) for m, x in racks.items()}, F.col(k), "") for n, racks in topology.items()}))
-    df = df.withColumn(out, _case(F.col(r), {m: _pick(x, F.col(k), "s") for racks in topology.values() for m, x in racks.items()}))
+    df = df.withColumn(g, _pick(_children(None, regions), F.col(k), ""))
+    df = df.withColumn(r, _pick(_children(F.col(g), racks), F.col(k), ""))
+    df = df.withColumn(out, _pick(_children(F.col(r), shards), F.col(k), "s").cast("int"))
     return df.drop(k, g, r)
 
 
