@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, sharding
+from . import line_dedup, minhash, quality, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op9_minhash": minhash.op9_minhash,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_sharding": sharding.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op9_minhash": minhash.ORACLE,
 }
