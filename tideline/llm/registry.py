@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, quality, sharding
+from . import decontaminate, langid, line_dedup, minhash, quality, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op9_minhash": minhash.op9_minhash,
+    "op10_langid": langid.op10_langid,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_minhash": minhash.ORACLE,
 }
