@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, minhash, quality, sharding
+from . import decontaminate, langid, line_dedup, minhash, pieces, quality, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
 }
