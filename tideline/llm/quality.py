@@ -87,8 +87,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns; texts stay as they are."""
-    return verdict(measures(docs)).where("_tl_keep").select(*[F.col(f"`{x}`") for x in docs.columns])
+    """The rows of ``docs`` that pass, with its columns; texts stay as they are.
+
+    The row number pins the filter above the measures: pushed below them, it would copy their
+    nested expressions into itself and evaluate them once per word.
+    """
+    judged = verdict(measures(docs)).withColumn("_tl_pin", F.monotonically_increasing_id())
+    return judged.where(F.col("_tl_keep") & (F.col("_tl_pin") >= 0)).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, minhash, pieces, quality, sharding, substring_dedup, suffix_array
+from . import decontaminate, langid, line_dedup, minhash, pieces, quality, sharding, substring_dedup, suffix_array, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op4_warc": warc.op4_warc,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_suffix_array": suffix_array.op7_suffix_array,
@@ -19,6 +20,7 @@ ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op9_minhash": minhash.ORACLE,
