@@ -5,3 +5,11 @@ from __future__ import annotations
 QUERIES: dict = {}
 ORACLES: dict = {}
 FLAGSHIP = "flagship_trend_metrics"
+
+
+def load() -> None:
+    """Registers all queries."""
+    from tideline.plans import market  # noqa: F401
+
+
+
