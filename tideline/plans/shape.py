@@ -25,7 +25,7 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
 
 def shape_sql(body: str, spec: str) -> str:
     kinds = {"d": "round({0}::DOUBLE, 6) + 0.0::DOUBLE AS {0}", "t": "floor(epoch({0}))::BIGINT AS {0}", "i": "{0}::BIGINT AS {0}", "": "{0}"}
-    return f"SELECT {', '.join(kinds[k].format(n) for n, k in columns(spec))} FROM ({body})"
+    return f"SELECT {', '.join(kinds[k].format(f'"{n}"') for n, k in columns(spec))} FROM ({body})"
 
 
 def register(name: str, run: Callable, spec: str, sql: str | None = None) -> None:
