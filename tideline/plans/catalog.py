@@ -9,7 +9,7 @@ FLAGSHIP = "flagship_trend_metrics"
 
 def load() -> None:
     """Registers all queries."""
-    from tideline.plans import market, panel  # noqa: F401
+    from tideline.plans import market, panel, research  # noqa: F401
 
 
 
