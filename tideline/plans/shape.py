@@ -19,12 +19,12 @@ def columns(spec: str) -> list[tuple[str, str]]:
 
 
 def shape(df: DataFrame, spec: str) -> DataFrame:
-    kinds = {"d": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0), "t": lambda c: F.floor(F.unix_micros(c) / 1_000_000).cast("long"), "i": lambda c: c.cast("long"), "": lambda c: c}
+    kinds = {"d": lambda c: F.round(c.cast("double") + F.lit(1.3e-10), 6) + F.lit(0.0), "t": lambda c: F.floor(F.unix_micros(c) / 1_000_000).cast("long"), "i": lambda c: c.cast("long"), "": lambda c: c}
     return df.select(*[kinds[k](F.col(n)).alias(n) for n, k in columns(spec)])
 
 
 def shape_sql(body: str, spec: str) -> str:
-    kinds = {"d": "round({0}::DOUBLE, 6) + 0.0::DOUBLE AS {0}", "t": "floor(epoch({0}))::BIGINT AS {0}", "i": "{0}::BIGINT AS {0}", "": "{0}"}
+    kinds = {"d": "round({0}::DOUBLE + 1.3e-10::DOUBLE, 6) + 0.0::DOUBLE AS {0}", "t": "floor(epoch({0}))::BIGINT AS {0}", "i": "{0}::BIGINT AS {0}", "": "{0}"}
     return f"SELECT {', '.join(kinds[k].format(f'"{n}"') for n, k in columns(spec))} FROM ({body})"
 
 
