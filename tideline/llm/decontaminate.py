@@ -12,7 +12,7 @@ The item table is counted first: up to ``MAX_BROADCAST`` bytes of shingles its s
 sets go to the tasks, above that the same two steps run as shuffled joins.
 
 Defined cases: null or blank texts hold nothing; items of fewer than ``width`` words are one
-shingle; null item_ids and doc_ids stay as they are; repeated rows give repeated pairs only once;
+shingle; rows with a null item_id or doc_id take no part (and stay); repeated rows give a pair once;
 extra columns are left out by :func:`leaks` and kept by :func:`drop_leaked`.
 """
 
@@ -86,7 +86,8 @@ def _search(ids: list, sizes: np.ndarray, items: np.ndarray, hashes: np.ndarray,
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, item_id, n_item and n_shared (shingles of the item, and those in the document) of every leak."""
-    texts, tests = docs.select(F.col("doc_id").cast("long"), "text"), benchmark.select(F.col("item_id").cast("long"), "text")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    tests = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     grams = stored(tests.mapInArrow(_exploded(width, ("item_id", "h")), "item_id long, h long, n long").distinct())
     sketched = sketches(grams, percent)
     if grams.count() * 24 <= max_broadcast:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, documents, mix, slice_hashes, text_bytes
 
-MODEL, ALPHA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 2.0, 17
+MODEL, ALPHA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 17
 CHUNK_BYTES = 3 << 20
 _BLANK = "▁"
 
