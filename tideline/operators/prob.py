@@ -112,3 +112,32 @@ def platt(scored: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
     return scored.groupBy(*keys).applyInPandas(fit, scored.schema)
+
+
+def fit_groups(rows: DataFrame, keys: list[str], columns: list[str], fit) -> DataFrame:
+    """keys, part, ts, y, p with any model: ``fit(x, y)`` takes the train part's arrays and returns a
+    function from features to probabilities. All groups are fitted in parallel."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        train = pdf[pdf["part"] == "train"]
+        predict = fit(train[columns].to_numpy(float), train["y"].to_numpy(float))
+        out = pdf[[*keys, "part", "ts", "y"]].copy()
+        out["p"] = np.clip(predict(pdf[columns].to_numpy(float)), 0.0, 1.0)
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "part", "ts", "y"]) + ", p double"
+    return rows.select(*keys, "part", "ts", "y", *columns).groupBy(*keys).applyInPandas(run, schema)
+
+
+def boosted_trees(train: DataFrame, score: DataFrame, columns: list[str], trees: int = 20, depth: int = 3) -> DataFrame:
+    """``score`` with p of gradient-boosted trees that Spark ML grows on ``train`` (y, columns) over the whole panel."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    filled = [f"_tl_{c}" for c in columns]
+    stages = [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_tl_x"), GBTClassifier(labelCol="y", featuresCol="_tl_x", maxIter=trees, maxDepth=depth, seed=42, stepSize=0.05)]
+    fitted = Pipeline(stages=stages).fit(train)
+    return fitted.transform(score).withColumn("p", vector_to_array("probability")[1]).drop(*filled, "_tl_x", "rawPrediction", "probability", "prediction")

@@ -9,7 +9,7 @@ FLAGSHIP = "flagship_trend_metrics"
 
 def load() -> None:
     """Registers all queries."""
-    from tideline.plans import corpus, landing, market, panel, research  # noqa: F401
+    from tideline.plans import corpus, landing, market, panel, research, runs  # noqa: F401
 
 
 

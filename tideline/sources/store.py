@@ -49,3 +49,23 @@ def read_snapshot(spark: SparkSession, path: str, event: str) -> DataFrame:
     if m is None or content_hash(df).first()["content_sha"] != m["content_sha"]:
         raise ValueError(f"{path} differs from its manifest")
     return df
+
+
+def write_bound(df: DataFrame, path: str, bound_to: dict[str, str]) -> None:
+    """Writes a table with a manifest that names what it was made from (hashes, revisions)."""
+    df.write.parquet(f"{path}/data")
+    names = [F.lit(v).alias(k) for k, v in sorted(bound_to.items())]
+    content_hash(df).select("content_sha", "rows", *names).write.parquet(f"{path}/manifest")
+
+
+def read_bound(spark: SparkSession, path: str, bound_to: dict[str, str], as_of: str | None = None, at: str = "available_at") -> DataFrame:
+    """Reads such a table if it was made from the same things and holds no row later than ``as_of``."""
+    m = _read_manifest(spark, path)
+    if m is None or any(m[k] != v for k, v in bound_to.items()):
+        raise ValueError(f"{path} was made from something else")
+    df = spark.read.parquet(f"{path}/data")
+    if content_hash(df).first()["content_sha"] != m["content_sha"]:
+        raise ValueError(f"{path} differs from its manifest")
+    if as_of is not None and df.where(F.col(at) > F.lit(as_of).cast("timestamp")).limit(1).count():
+        raise ValueError(f"{path} holds rows later than {as_of}")
+    return df
