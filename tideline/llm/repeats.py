@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slice_hashes, stored, text_bytes, window_hashes, words
+from .common import mix, partitions, slice_hashes, stored, text_bytes, window_hashes, words
 
 BLOCK_BYTES, HOT, STEP = 2 << 20, 2000, 1 << 20
 
@@ -211,65 +211,103 @@ def _put_forward(plan: Plan):
     return of
 
 
-def pack(mins: np.ndarray) -> bytes:
-    """The smallest doc_ids of successive windows, run by run: lengths, then values."""
-    head = np.flatnonzero(np.r_[True, mins[1:] != mins[:-1]])
-    return np.r_[len(head), np.diff(np.r_[head, len(mins)]), mins[head]].astype(np.int64).tobytes()
-
-
-def unpack(b: bytes) -> np.ndarray:
-    x = np.frombuffer(b, np.int64)
-    n = int(x[0])
-    return np.repeat(x[1 + n :], x[1 : 1 + n])
+def pack(mins: np.ndarray, offsets: np.ndarray, take: np.ndarray) -> pa.Array:
+    """The smallest doc_ids of the windows of each fragment in ``take`` as 64-bit integers: the number of
+    runs of equal values, their lengths, their values."""
+    size = offsets[take + 1] - offsets[take]
+    ends = np.cumsum(size)
+    value = mins[np.repeat(offsets[take] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    new = np.r_[True, value[1:] != value[:-1]][: len(value)]
+    new[ends[:-1]] = True
+    head = np.flatnonzero(new)
+    run_of = np.searchsorted(ends, head, "right")
+    n = np.bincount(run_of, minlength=len(take))
+    base = np.cumsum(1 + 2 * n) - (1 + 2 * n)
+    nth = np.arange(len(head)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.empty(int((1 + 2 * n).sum()), np.int64)
+    out[base] = n
+    at = np.repeat(base, n) + 1 + nth
+    out[at], out[at + np.repeat(n, n)] = np.diff(np.r_[head, len(value)]), value[head]
+    edges = (np.r_[base, len(out)] * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(edges), pa.py_buffer(out)])
+
+
+def unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of :func:`pack` end to end, and the offsets of the fragments."""
+    data, starts, _ = text_bytes(packed)
+    data, base = np.frombuffer(data.tobytes(), np.int64), starts // 8
+    n = data[base]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(base, n) + 1 + nth
+    length = data[at]
+    of = np.repeat(np.arange(len(n)), n)
+    size = np.bincount(of, weights=length, minlength=len(n)).astype(np.int64)
+    return np.repeat(data[at + np.repeat(n, n)], length), np.r_[0, np.cumsum(size)]
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """One row per (route, fh) with the smallest lo and the largest hi."""
+    table = table.combine_chunks()
+    route, fh, lo, hi = (table.column(c).to_numpy() for c in ("route", "fh", "lo", "hi"))
+    order = np.lexsort((fh, route))
+    r, f = route[order], fh[order]
+    head = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (f[1:] != f[:-1])])
+    first = order[head]
+    return pa.table({"route": route[first], "fh": fh[first], "frag": table.column("frag").take(pa.array(first)), "lo": np.minimum.reduceat(lo[order], head), "hi": np.maximum.reduceat(hi[order], head)})
 
 
 def _sharded(solve: Callable, plan: Plan):
-    """solve(texts: list[bytes], lo: array) -> (mins of all windows end to end, offsets)."""
+    """solve(data, starts, ends, lo, plan) -> (smallest documents of all windows end to end, offsets)."""
 
     def of(batches):
-        held: dict[tuple[int, int], list] = {}
+        held, fresh, n = None, [], 0
         for b in batches:
-            for r, f, t, lo, hi in zip(*(b.column(i).to_pylist() for i in range(5))):
-                x = held.get((r, f))
-                if x is None:
-                    held[r, f] = [t, lo, hi]
-                else:
-                    x[1], x[2] = min(x[1], lo), max(x[2], hi)
-        if not held:
+            fresh.append(b)
+            n += b.num_rows
+            if n > max(200_000, held.num_rows if held else 0):  # copies go as they come
+                held, fresh, n = _distinct(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh)])), [], 0
+        if n:
+            held = _distinct(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh)]))
+        if held is None:
             return
-        keys = np.array(list(held), np.int64)
-        lo, hi = np.array([x[1] for x in held.values()], np.int64), np.array([x[2] for x in held.values()], np.int64)
-        mins, offsets = solve([x[0] for x in held.values()], lo, plan)
-        useful = np.flatnonzero(np.minimum.reduceat(mins, offsets[:-1]) < hi)
+        data, starts, ends = text_bytes(held.column("frag"))
+        mins, offsets = solve(data, starts, ends, held.column("lo").to_numpy(), plan)
+        useful = np.flatnonzero(np.minimum.reduceat(mins, offsets[:-1]) < held.column("hi").to_numpy())
+        route, fh = held.column("route").to_numpy(), held.column("fh").to_numpy()
         for i in range(0, len(useful), 20_000):
             part = useful[i : i + 20_000]
-            packed = [pack(mins[offsets[j] : offsets[j + 1]]) for j in part]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part, 0]), pa.array(keys[part, 1]), pa.array(packed, pa.binary())], names=["route", "fh", "mins"])
+            yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(fh[part]), pack(mins, offsets, part)], names=["route", "fh", "mins"])
 
     return of
 
 
+def _joint(route: np.ndarray, fh: np.ndarray) -> np.ndarray:
+    return mix(route.view(np.uint64)) ^ fh.view(np.uint64)
+
+
 def _finished(plan: Plan, finish: Callable):
     """finish(doc_id column, block, gone: a flag per unit) -> table."""
 
     def of(docs: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(docs, plan)
         gone = np.zeros(len(block.unit) + 1, np.int32)
-        if back.num_rows:
-            route, fh = (np.asarray(back.column(c).fill_null(0).to_numpy()) for c in ("route", "fh"))
-            packed = back.column("mins").to_pylist()
-            known = {(int(r), int(f)): x for r, f, x in zip(route, fh, packed) if x is not None}
-            if known:
-                routes = np.sort(np.array([f for _, f in known], np.int64))
-                for first, n, r, f in _fragments(block, back, plan):
-                    at = np.flatnonzero(_in(routes, f.view(np.int64)))
-                    for i, x, y in zip(at.tolist(), r[at].view(np.int64).tolist(), f[at].view(np.int64).tolist()):
-                        got = known.get((x, y))
-                        if got is not None:
-                            low = unpack(got) < block.doc[block.owner[first[i]]]
-                            s = first[i] + np.flatnonzero(low)
-                            gone[s] += 1
-                            gone[s + plan.k] -= 1
+        known = back.filter(back.column("mins").is_valid()).combine_chunks()
+        if known.num_rows:
+            route, fh = known.column("route").to_numpy(), known.column("fh").to_numpy()
+            mins, offsets = unpack(known.column("mins"))
+            joint = _joint(route, fh)
+            order = np.argsort(joint)
+            joint = joint[order]
+            for first, n, r, f in _fragments(block, back, plan):
+                at = np.minimum(np.searchsorted(joint, _joint(r, f)), len(joint) - 1)
+                hit = (route[order[at]] == r.view(np.int64)) & (fh[order[at]] == f.view(np.int64))
+                first, n, at = first[hit], n[hit], order[at[hit]]
+                each = np.repeat(np.cumsum(n) - n, n)
+                nth = np.arange(n.sum()) - each
+                start = np.repeat(first, n) + nth
+                late = start[mins[np.repeat(offsets[at], n) + nth] < np.repeat(block.doc[block.owner[first]], n)]
+                gone += np.bincount(late, minlength=len(gone)).astype(np.int32)
+                gone -= np.bincount(late + plan.k, minlength=len(gone)).astype(np.int32)
         return finish(docs.column("doc_id"), block, np.cumsum(gone[:-1]) > 0)
 
     return of

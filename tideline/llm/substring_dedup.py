@@ -26,12 +26,9 @@ WORDS = Plan(k=13, m=6, by_word=True)
 LANES = 1 << 16
 
 
-def solve(texts: list[bytes], lo: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def solve(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """The smallest document of each window of each fragment, by backward search."""
-    size = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(size)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begin, end, n = words(data, ends - size, ends)
+    begin, end, n = words(data, starts, ends)
     _, symbol = np.unique(slice_hashes(data, begin, end), return_inverse=True)
     sigma = int(symbol.max()) + 2
     text = np.zeros(len(symbol) + len(n), np.int64)

@@ -24,7 +24,7 @@ from .common import documents
 from .repeats import Block, Plan, remove_repeats
 
 BYTES = Plan(k=50, m=20, by_word=False)
-SHALLOW = 24  # a multiple of 8
+SHALLOW = 40  # a multiple of 8
 
 
 class BlindTrie:
@@ -112,18 +112,20 @@ def deep_shallow(data: np.ndarray, at: np.ndarray, depth: int, shallow: int = SH
         leaves = trie.leaves()
         if len(leaves) > 1:
             order[h : h + m] = [rows[i] for leaf in leaves for i in leaf]
-            new[h + np.cumsum([len(leaf) for leaf in leaves[:-1]])] = True
+            edge = h
+            for leaf in leaves[:-1]:
+                edge += len(leaf)
+                new[edge] = True
     return order, np.flatnonzero(new)
 
 
-def solve(texts: list[bytes], lo: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def solve(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """The smallest document of each window of each fragment, by groups of the suffix array."""
-    size = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = ends - starts
     windows = size - plan.k + 1
     offsets = np.r_[0, np.cumsum(windows)]
     which = np.repeat(np.arange(len(size)), windows)
-    at = np.arange(offsets[-1]) + np.repeat(np.cumsum(size) - size - offsets[:-1], windows)
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], windows)
     order, head = deep_shallow(data, at, plan.k)
     low = np.minimum.reduceat(lo[which[order]], head)
     mins = np.empty(len(at), np.int64)
