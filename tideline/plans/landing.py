@@ -181,9 +181,10 @@ def switched(d: DataFrame) -> DataFrame:
     return d.select(c("event_type").alias("series_id"), c("ts").cast("timestamp").alias("ts"), (c("value") > 150).alias("entry"), (c("value") < 5).alias("exit"))
 
 
+LATCH = f"SELECT event_type AS series_id, regime, count(*) AS rows FROM (SELECT *, coalesce(last_value(CASE WHEN value < 5 THEN 0 WHEN value > 150 THEN 1 END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS regime FROM events) GROUP BY ALL"
 register("j7_stream_latch", lambda s, f: J.finish(J.latch(switched(J.source(s, f"{f}/events.parquet")), "series_id", "entry", "exit"), scratch.folder(s, "latch")).groupBy("series_id", "regime").agg(F.count("*").alias("rows")), "series_id regime:d rows:i",
-         f"SELECT event_type AS series_id, regime, count(*) AS rows FROM (SELECT *, coalesce(last_value(CASE WHEN value < 5 THEN 0 WHEN value > 150 THEN 1 END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS regime FROM events) GROUP BY ALL")
-register("f8_batch_latch", lambda s, f: latch(switched(read(s, f, "events")), "entry", "exit", "regime").groupBy("series_id", "regime").agg(F.count("*").alias("rows")), "series_id regime:d rows:i", None)
+         LATCH)
+register("f8_batch_latch", lambda s, f: latch(switched(read(s, f, "events")), "entry", "exit", "regime").groupBy("series_id", "regime").agg(F.count("*").alias("rows")), "series_id regime:d rows:i", LATCH)
 
 
 def trajectory(s: SparkSession, f: str) -> DataFrame:
