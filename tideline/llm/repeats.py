@@ -245,6 +245,9 @@ def unpack(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(data[at + np.repeat(n, n)], length), np.r_[0, np.cumsum(size)]
 
 
+ORDER = ["route", "fh", "frag", "lo", "hi"]
+
+
 def _distinct(table: pa.Table) -> pa.Table:
     """One row per (route, fh) with the smallest lo and the largest hi."""
     table = table.combine_chunks()
@@ -262,12 +265,15 @@ def _sharded(solve: Callable, plan: Plan):
     def of(batches):
         held, fresh, n = None, [], 0
         for b in batches:
-            fresh.append(b)
+            if not b.num_rows:
+                continue
+            fh = slice_hashes(*text_bytes(b.column("frag"))).view(np.int64)  # cheaper than to ship it
+            fresh.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(fh)], names=[*b.schema.names, "fh"]))
             n += b.num_rows
             if n > max(200_000, held.num_rows if held else 0):  # copies go as they come
-                held, fresh, n = _distinct(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh)])), [], 0
+                held, fresh, n = _distinct(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh).select(ORDER)])), [], 0
         if n:
-            held = _distinct(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh)]))
+            held = _distinct(pa.concat_tables([*([held] if held else []), pa.Table.from_batches(fresh).select(ORDER)]))
         if held is None:
             return
         data, starts, ends = text_bytes(held.column("frag"))
@@ -322,7 +328,7 @@ def remove_repeats(docs: DataFrame, plan: Plan, solve: Callable, finish: Callabl
     found = by_block(texts).applyInArrow(_anchors(plan), "h long, block int, n int")
     shared = stored(found.repartition(partitions(spark), "h").mapInArrow(_shared(plan.hot), "block int, cold binary, hot binary"))
     fragments = by_block(texts).cogroup(by_block(shared)).applyInArrow(_put_forward(plan), _FRAGMENT)
-    answers = stored(fragments.select("route", "fh", "frag", "lo", "hi").repartition(partitions(spark), "route").mapInArrow(_sharded(solve, plan), "route long, fh long, mins binary"))
+    answers = stored(fragments.select("route", "frag", "lo", "hi").repartition(partitions(spark), "route").mapInArrow(_sharded(solve, plan), "route long, fh long, mins binary"))
     back = fragments.select("route", "fh", "block").join(answers, ["route", "fh"])
     none = F.lit(None)
     both = back.select("block", "route", "fh", "mins", none.cast("binary").alias("cold"), none.cast("binary").alias("hot")).unionByName(
