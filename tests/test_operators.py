@@ -106,3 +106,27 @@ def test_snapshot_refuses_other_content(spark, tmp_path):
     with pytest.raises(ValueError):
         store.write_snapshot(df, f"{path}2", "ts", "1970-01-01 00:00:15")
     assert store.read_snapshot(spark, path, "ts").count() == 2
+
+
+def test_boosted_trees_follow_spark_ml(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 20, (150, 3)).astype(float) + np.array([0.0, 0.25, 0.5])
+    y = ((x[:, 0] > 8) ^ (x[:, 1] > 12) ^ (rng.random(150) < 0.2)).astype(float)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(spark.createDataFrame([(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "i int, a double, b double, c double, y double"))
+    model = GBTClassifier(labelCol="y", featuresCol="x", maxIter=20, maxDepth=3, seed=42, stepSize=0.05).fit(df.coalesce(1))
+    want = [r.p for r in model.transform(df).select("i", vector_to_array("probability")[1].alias("p")).orderBy("i").collect()]
+    np.testing.assert_allclose(R.boosted_trees()(x, y)(x), want, atol=1e-9)
+
+
+def test_boosted_trees_bins_gaps_and_one_class():
+    x = np.random.default_rng(1).normal(size=(500, 2))
+    assert len(R.split_points(x[:, 0], 32)) == 31
+    y = (x[:, 0] > 0).astype(float)
+    predict = R.boosted_trees()(np.where(np.random.default_rng(2).random(x.shape) < 0.05, np.nan, x), y)
+    assert ((predict(x) > 0.5) == (y > 0)).mean() > 0.9
+    assert np.isfinite(predict(np.full((1, 2), np.nan))).all()
+    assert R.boosted_trees()(x, np.ones(500))(x[:3]).tolist() == [1 - 1e-6] * 3

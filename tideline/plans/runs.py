@@ -73,10 +73,9 @@ register("c24_experiment_identity", experiment_ids, "series_id model experiment_
 
 
 def trees(s: SparkSession, f: str) -> DataFrame:
+    """Boosted trees for every (series, fold), fitted on its train part and scored on its test part."""
     rows = market.assigned(s, f).withColumn("y", c("target_positive"))
-    last = rows.groupBy("series_id").agg(F.max("fold").alias("fold"))
-    rows = rows.join(last, ["series_id", "fold"])
-    return R.boosted_trees(rows.where("part = 'train'"), rows.where("part = 'test'").select("series_id", "fold", "ts", "y", *COLS), COLS)
+    return R.fit_groups(rows, ["series_id", "fold"], COLS, R.boosted_trees()).where("part = 'test'")
 
 
 COLS = ["log_return", "realized_volatility", "z"]
