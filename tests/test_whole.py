@@ -11,3 +11,18 @@ def test_boosted_trees_score_every_fold(spark, sf_dir):
     assert got.count() == want.count()
     assert got.select("series_id", "fold").distinct().count() == want.select("series_id", "fold").distinct().count()
     assert got.where("p IS NULL OR p NOT BETWEEN 0 AND 1").count() == 0
+
+
+def tables(spark, folder, docs, events):
+    """documents (doc_id, text) and events (event_id) with fixed values in the other columns."""
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source")
+    e = spark.createDataFrame([(i,) for i in events], "event_id long").selectExpr("event_id", "timestamp_seconds(1704067200 + event_id) AS ts", "1L AS user_id", "'view' AS event_type", "10.0D AS value")
+    d.write.parquet(f"{folder}/documents.parquet")
+    e.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_pending_reads_all_stored_calls(spark, tmp_path):
+    folder = tables(spark, tmp_path, [(i, "x") for i in range(2000)], range(300, 1500))
+    got = {r.document_id for r in entry.queries()["d11_pending_extraction"](spark, folder).collect()}
+    assert got == {i for i in range(2000) if not (300 <= i < 1500 and i % 23)}

@@ -96,6 +96,15 @@ register("d12_chain", ledger, "source_id document_id:i seq:i sha prev_sha", LED)
 register("d12_f14_chain_report", lambda s, f: L.chain_report(ledger(s, f).withColumn("prev_sha", F.when(c("document_id") % 97 == 5, F.lit("x")).otherwise(c("prev_sha"))), "source_id"), "source_id rows:i roots:i broken:i disordered:i forks:i", f"""WITH t AS (SELECT * REPLACE (CASE WHEN document_id % 97 = 5 THEN 'x' ELSE prev_sha END AS prev_sha) FROM ({LED})), k AS (SELECT source_id, sum((n > 1)::INT) AS forks FROM (SELECT source_id, prev_sha, count(*) AS n FROM t WHERE prev_sha IS NOT NULL GROUP BY ALL) GROUP BY 1)
 SELECT t.source_id, count(*) AS rows, count(*) FILTER (t.prev_sha IS NULL) AS roots, count(*) FILTER (t.prev_sha IS NOT NULL AND p.sha IS NULL) AS broken, count(*) FILTER (p.seq >= t.seq) AS disordered, coalesce(any_value(forks), 0) AS forks FROM t LEFT JOIN t p ON p.source_id = t.source_id AND p.sha = t.prev_sha LEFT JOIN k ON k.source_id = t.source_id GROUP BY 1""")
 register("d11_pending", lambda s, f: L.unseen(docs(s, f).select("document_id", "source_id"), signals(s, f).where("signal_id % 3 = 0 AND signal_id < 500").select("document_id"), ["document_id"]), "document_id:i source_id", f"SELECT document_id, source_id FROM ({DOCS}) ANTI JOIN (SELECT document_id FROM ({SIG}) WHERE signal_id % 3 = 0 AND signal_id < 500) USING (document_id)")
+
+
+def extracted(s: SparkSession, f: str) -> DataFrame:
+    """The document of every successful call, found by the extraction key that both tables hold."""
+    return calls(s, f).where("status = 'success'").join(signals(s, f).select("extraction_key", "document_id"), "extraction_key").select("document_id")
+
+
+register("d11_pending_extraction", lambda s, f: L.unseen(docs(s, f).select("document_id", "source_id"), extracted(s, f), ["document_id"]), "document_id:i source_id",
+         f"SELECT document_id, source_id FROM ({DOCS}) ANTI JOIN (SELECT g.document_id FROM ({CALLS}) k JOIN ({SIG}) g USING (extraction_key) WHERE k.status = 'success') USING (document_id)")
 register("h3_first_wins", lambda s, f: L.first_wins(signals(s, f).select("document_id", "signal_id", "asset"), ["document_id"], ["signal_id"], ["asset"])[0], "document_id:i signal_id:i asset", f"SELECT document_id, min(signal_id) AS signal_id, arg_min(asset, signal_id) AS asset FROM ({SIG}) GROUP BY 1")
 register("h3_conflicts", lambda s, f: L.first_wins(signals(s, f), ["document_id"], ["signal_id"], ["asset"])[1], "document_id:i payloads:i", f"SELECT document_id, count(DISTINCT asset) AS payloads FROM ({SIG}) GROUP BY 1 HAVING count(DISTINCT asset) > 1")
 register("d13_dangling", lambda s, f: L.dangling(calls(s, f).select("call_id", "extraction_key"), signals(s, f).where("asset <> 'ETH'"), ["extraction_key"]), "call_id:i extraction_key", f"SELECT call_id, extraction_key FROM ({CALLS}) WHERE extraction_key NOT IN (SELECT extraction_key FROM ({SIG}) WHERE asset <> 'ETH')")
