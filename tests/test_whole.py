@@ -26,3 +26,10 @@ def test_pending_reads_all_stored_calls(spark, tmp_path):
     folder = tables(spark, tmp_path, [(i, "x") for i in range(2000)], range(300, 1500))
     got = {r.document_id for r in entry.queries()["d11_pending_extraction"](spark, folder).collect()}
     assert got == {i for i in range(2000) if not (300 <= i < 1500 and i % 23)}
+
+
+def test_keyword_classes_read_the_whole_text(spark, tmp_path):
+    ends = {0: "a hack", 1: "a RATE CUT", 2: "the sec said", 3: "a new release", 4: "nothing", 5: "a release after a hack"}
+    folder = tables(spark, tmp_path, [(i, "word " * 500 + w) for i, w in ends.items()] + [(6, ""), (7, None)], [1])
+    got = {r.document_id: r.event_type for r in entry.queries()["c14_whole_text_classes"](spark, folder).collect()}
+    assert got == {0: "security_incident", 1: "monetary_policy", 2: "regulation", 3: "protocol_release", 4: "general_update", 5: "security_incident", 6: "general_update", 7: "general_update"}

@@ -72,6 +72,8 @@ register("b8_relevance", decisions, "document_id:i accepted reason included excl
 register("c13_identities", lambda s, f: docs(s, f).select("document_id", X.identity(c("source_id"), c("title"), c("content_sha256")).alias("identity")), "document_id:i identity", f"SELECT document_id, {IDSQL('source_id', 'title', 'content_sha256')} AS identity FROM ({DOCS})")
 register("c14_keyword_classes", lambda s, f: docs(s, f).withColumn("k", X.classify(F.concat(F.element_at(F.array(*map(F.lit, ("Rate cut ahead ", "New release ", "A hack of ", "SEC filing ", "Plain "))), (c("document_id") % 5 + 1).cast("int")), c("title")))).select("document_id", "k.*"), "document_id:i event_type severity:d horizon",
          "SELECT *, CASE WHEN severity >= 0.6 THEN '1d_3d' ELSE '1w_plus' END AS horizon FROM (SELECT *, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for _, k, v in X.EVENT_RULES) + " ELSE 0.2 END AS severity FROM (SELECT document_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{k}'" for ws, k, _ in X.EVENT_RULES) + f" ELSE 'general_update' END AS event_type FROM (SELECT document_id, lower(['Rate cut ahead ', 'New release ', 'A hack of ', 'SEC filing ', 'Plain '][document_id % 5 + 1] || title) AS t FROM ({DOCS}))))")
+register("c14_whole_text_classes", lambda s, f: docs(s, f).withColumn("k", X.classify(F.concat_ws("\n", "title", "text"))).select("document_id", "k.*"), "document_id:i event_type severity:d horizon",
+         "SELECT *, CASE WHEN severity >= 0.6 THEN '1d_3d' ELSE '1w_plus' END AS horizon FROM (SELECT *, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for _, k, v in X.EVENT_RULES) + " ELSE 0.2 END AS severity FROM (SELECT document_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{k}'" for ws, k, _ in X.EVENT_RULES) + f" ELSE 'general_update' END AS event_type FROM (SELECT document_id, lower(concat_ws(chr(10), title, text)) AS t FROM ({DOCS}))))")
 register("c19_document_text", lambda s, f: docs(s, f).withColumn("body", X.document_text(c("title"), c("text"))).select("document_id", F.octet_length("body").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "document_id:i n_bytes:i sha", f"SELECT document_id, strlen(b) AS n_bytes, sha256(b) AS sha FROM (SELECT document_id, CASE WHEN text = '' THEN title ELSE title || chr(10) || chr(10) || text END AS b FROM ({DOCS}))")
 register("c20_slugs", lambda s, f: read(s, f, "pages").withColumn("slug", X.slug(c("url"))), "page_id:i slug", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
 register("c12_feed_times", lambda s, f: docs(s, f).withColumn("raw", F.when(c("document_id") % 3 == 0, F.date_format("retrieved_at", "EEE, d MMM yyyy HH:mm:ss 'GMT'")).when(c("document_id") % 3 == 1, F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("retrieved_at", "yyyy-MM-dd HH:mm:ss"))).withColumn("published_at", X.feed_time(c("raw"), F.timestamp_micros(F.unix_micros("retrieved_at") - F.when(c("document_id") % 5 == 0, 600_000_000).otherwise(0)), 300)), "document_id:i published_at:t", f"SELECT document_id, CASE WHEN document_id % 3 <> 2 AND document_id % 5 <> 0 THEN retrieved_at END AS published_at FROM ({DOCS})")
