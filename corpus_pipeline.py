@@ -17,7 +17,7 @@ from tideline.llm.common import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line-first rules."""
+    """Documents that pass the line-first rules, without the lines that fail them."""
     return quality.keep_quality(docs)
 
 

@@ -24,7 +24,8 @@ _WS = "[\\x20\\x09-\\x0D]"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _SYMBOL = "[#*$%&|<>]"
 _SEPARATOR = "(?:^|[\\x20\\x09-\\x0D])[|»›•·>](?=[\\x20\\x09-\\x0D]|$)"
-_FINAL = "[.!?:;,…。！？)\"'”’»][\\x20\\x09-\\x0D]*$"
+_BLANKS = " \t\n\x0b\x0c\r"
+_FINAL = "[.!?:;,…。！？)\"'”’»]"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -33,7 +34,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 def _line_passes(line: Column) -> Column:
     words = _count(line, _WORD)
-    fragment = (words < 5) & ~F.substring(line, -40, 40).rlike(_FINAL)
+    fragment = (words < 5) & ~F.substring(F.rtrim(line, F.lit(_BLANKS)), -1, 1).rlike(_FINAL)
     shouting = _count(line, "[!?]{2}") * 10 > words * 3
     noisy = _count(line, _SYMBOL + "+") * 10 > words * 2
     menu = _count(line, _SEPARATOR) * 10 > words
@@ -47,7 +48,8 @@ def _solid(text: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with _tl_n_words, _tl_word_chars, _tl_n_symbols, _tl_n_dup_lines, _tl_n_repeat_words, _tl_kept_chars."""
+    """``docs`` with _tl_n_words, _tl_word_chars, _tl_n_symbols, _tl_n_dup_lines, _tl_n_repeat_words, _tl_kept_chars and
+    _tl_kept_text (the lines that pass, and blank ones)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("_tl_lines", F.split(text, "\n", -1)).withColumn("_tl_split", F.split(text, _WS + "+", -1))
     head = (F.col("_tl_split")[0] == "").cast("int")
@@ -65,12 +67,13 @@ def measures(docs: DataFrame) -> DataFrame:
     p = F.col("_tl_p")
     covered = F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(x - a["last"], F.lit(3))).alias("n")))["n"]
     spoken = F.filter("_tl_lines", lambda x: x.rlike(_WORD))
-    kept = F.aggregate(F.filter("_tl_lines", lambda x: x.rlike(_WORD) & _line_passes(x)), F.lit(0).cast("long"), lambda a, x: a + _solid(x))
+    kept = F.array_join(F.filter("_tl_lines", lambda x: ~x.rlike(_WORD) | _line_passes(x)), "\n")
     d = d.withColumns({
         "_tl_n_repeat_words": covered, "_tl_word_chars": _solid(text).cast("long"),
-        "_tl_n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"), "_tl_spoken": spoken, "_tl_kept_chars": kept,
+        "_tl_n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"), "_tl_spoken": spoken, "_tl_kept_text": kept,
     })
     d = d.withColumn("_tl_n_dup_lines", (F.size("_tl_spoken") - F.size(F.array_distinct("_tl_spoken"))).cast("long"))
+    d = d.withColumn("_tl_kept_chars", _solid(F.col("_tl_kept_text")).cast("long"))
     return d.drop("_tl_lines", "_tl_split", "_tl_w", "_tl_g", "_tl_p", "_tl_spoken")
 
 
@@ -87,13 +90,16 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with its columns; texts stay as they are.
+    """The rows of ``docs`` that pass, with its columns; their texts lose the lines that fail, and n_chars follows.
 
-    The row number pins the filter above the measures: pushed below them, it would copy their
+    Blank lines stay. The row number pins the filter above the measures: pushed below them, it would copy their
     nested expressions into itself and evaluate them once per word.
     """
     judged = verdict(measures(docs)).withColumn("_tl_pin", F.monotonically_increasing_id())
-    return judged.where(F.col("_tl_keep") & (F.col("_tl_pin") >= 0)).select(*[F.col(f"`{x}`") for x in docs.columns])
+    own = {"text": F.col("_tl_kept_text").alias("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("_tl_kept_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return judged.where(F.col("_tl_keep") & (F.col("_tl_pin") >= 0)).select(*[own.get(x, F.col(f"`{x}`")) for x in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
