@@ -50,3 +50,12 @@ def test_final_mark_before_many_blanks(spark):
     prose = " ".join(f"word{i}" for i in range(80)) + "."
     df = spark.createDataFrame([(1, f"{prose}\nIt ends here.{' ' * 60}\nNo end{chr(9) * 60}")], "doc_id long, text string")
     assert quality.keep_quality(df).first().text == f"{prose}\nIt ends here.{' ' * 60}"
+
+
+def test_ablations_run_the_sealed_protocol(spark, sf_dir):
+    got = entry.queries()["i16_ablation_run"](spark, sf_dir).toPandas()
+    folds = market.assigned(spark, sf_dir).select("series_id", "fold").distinct().count()
+    assert got.ablation.nunique() == 7 and len(got) == folds * 7 * 2 * 3
+    assert got[got.model == "trend"][["threshold", "brier"]].isna().all().all()
+    assert got[got.model != "trend"][["threshold", "brier"]].notna().all().all()
+    assert set(got.cost_multiplier) == {1.0, 1.5, 2.0}

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators import features as N
 from tideline.operators import pnl as P
 from tideline.operators import prob as R
 from tideline.operators import stats as T
 from tideline.operators.features import ordered
-from tideline.plans.market import K, KEYS, M, SCORED, SEALED, assigned, read, stressed
+from tideline.plans.market import K, KEYS, M, SCORED, SEALED, assigned, bars_1h, read, stressed
 from tideline.plans.shape import register
 
 ANN = M.periods_per_year
@@ -60,23 +61,41 @@ def fitted(s: SparkSession, f: str) -> DataFrame:
 register("i10_i12_ridge_platt", fitted, "series_id fold:i part ts:t y:d p:d")
 
 
+def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The sealed protocol per key: fit, calibrate, choose a threshold on the validation part, trade the test part.
+
+    Returns the test P&L of model and trend under the costs 1.0, 1.5 and 2.0, and the model's probability metrics."""
+    own = ["series_id", "fold", *keys]
+    base = rows.withColumn("y", F.col("target_positive"))
+    scored = R.platt(R.ridge_logistic(base, own, columns), own).select(*own, "part", "ts", F.col("p").alias("fit_p"))
+    d = rows.join(scored, [*own, "part", "ts"]).withColumn("cost_multiplier", F.lit(1.0))
+    size = lambda x: x.withColumn("exposure", P.probability_exposure(M, F.col("fit_p"), F.col("threshold"), F.col("realized_volatility")))
+    val = size(d.where("part = 'validation'").withColumn("threshold", F.explode(F.array(*map(F.lit, (0.5, 0.55, 0.6, 0.65))))))
+    by = [*own, "threshold"]
+    chosen = P.choose_threshold(P.sealed_metrics(P.sealed_pnl(val, by, M), by, M), own, 3, 0.5).drop("utility")
+    test = size(d.where("part = 'test'").join(chosen, own)).withColumn("model", F.lit("ridge_logistic"))
+    trend = N.trend_exposure(N.features(bars_1h(s, f), M), M).select("series_id", "ts", F.col("desired_exposure").alias("_tl_trend"))
+    rule = test.join(trend, ["series_id", "ts"], "left").withColumns({"model": F.lit("trend"), "threshold": F.lit(None).cast("double"), "exposure": F.coalesce("_tl_trend", F.lit(0.0))}).drop("_tl_trend")
+    both = test.unionByName(rule).withColumn("cost_multiplier", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0))))
+    scores = R.probability_metrics(test.select(*own, "model", F.col("target_positive").alias("y"), F.col("fit_p").alias("p")), [*own, "model"])
+    return P.sealed_pnl(both, [*own, "model", "cost_multiplier"], M), scores
+
+
+def sealed_table(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per series, fold, key, model and cost multiplier; the rule's threshold and probability metrics are null."""
+    pnl, scores = sealed_runs(s, f, rows, keys, columns)
+    own = ["series_id", "fold", *keys, "model"]
+    chosen = pnl.groupBy(*own).agg(F.max("threshold").alias("threshold"))
+    return P.sealed_metrics(pnl, [*own, "cost_multiplier"], M).join(chosen, own).join(scores, own, "left")
+
+
 def benchmark(s: SparkSession, f: str) -> DataFrame:
-    """Fit, calibrate, choose a threshold on the validation part, trade the test part: one row per fold."""
-    rows = assigned(s, f)
-    scored = fitted(s, f).select("series_id", "fold", "part", "ts", F.col("p").alias("fit_p"))
-    d = rows.join(scored, ["series_id", "fold", "part", "ts"]).withColumn("cost_multiplier", F.lit(1.0))
-    val = d.where("part = 'validation'").withColumn("threshold", F.explode(F.array(*map(F.lit, (0.5, 0.55, 0.6)))))
-    val = val.withColumn("exposure", P.probability_exposure(M, F.col("fit_p"), F.col("threshold"), F.col("realized_volatility")))
-    keys = ["series_id", "fold", "threshold"]
-    chosen = P.choose_threshold(P.sealed_metrics(P.sealed_pnl(val, keys, M), keys, M), ["series_id", "fold"], 0, 0.5).drop("utility")
-    test = d.where("part = 'test'").join(chosen, ["series_id", "fold"])
-    test = test.withColumn("exposure", P.probability_exposure(M, F.col("fit_p"), F.col("threshold"), F.col("realized_volatility")))
-    money = P.sealed_metrics(P.sealed_pnl(test, keys, M), keys, M)
-    scores = R.probability_metrics(test.select("series_id", "fold", F.col("target_positive").alias("y"), F.col("fit_p").alias("p")), ["series_id", "fold"])
-    return money.join(scores, ["series_id", "fold"])
-
-
-register("i14_sealed_benchmark", benchmark, f"series_id fold:i threshold:d net_return:d sharpe:d max_drawdown:d turnover:d entries:i {PM}")
+    return sealed_table(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"])
+
+
+RUN = f"cost_multiplier:d threshold:d net_return:d sharpe:d max_drawdown:d turnover:d entries:i {PM}"
+register("i14_sealed_benchmark", benchmark, f"series_id fold:i model {RUN}")
+register("i14_sealed_predictions", lambda s, f: sealed_runs(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"])[0].where("cost_multiplier = 1.0").withColumn("probability", F.when(F.col("model") != "trend", F.col("fit_p"))), "series_id fold:i model ts:t probability:d exposure:d net_return:d")
 
 
 # statistics over the sealed predictions of all models

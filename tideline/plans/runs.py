@@ -83,16 +83,26 @@ register("i11_boosted_trees", trees, "series_id fold:i ts:t y:d p:d")
 
 
 def ablations(s: SparkSession, f: str) -> DataFrame:
-    """Ridge fits for every (series, fold, ablation) at once: columns outside an ablation's set are constant."""
-    sets = {"all": COLS, "without_z": COLS[:2], "without_volatility": [COLS[0], COLS[2]], "only_return": COLS[:1]}
+    """The sealed protocol for every (series, fold, ablation) at once: columns outside an ablation's set are constant.
+
+    The sets are those of I15's plan over one group per column: all, growing prefixes and leave-one-out."""
+    sets = {"all": COLS} | {f"with_{n}": COLS[: i + 1] for i, n in enumerate(COLS)} | {f"without_{n}": [x for x in COLS if x != n] for n in COLS}
     masks = F.array(*[F.struct(F.lit(n).alias("ablation"), *[F.lit(x in keep).alias(f"has_{x}") for x in COLS]) for n, keep in sets.items()])
-    rows = market.assigned(s, f).withColumn("y", c("target_positive")).select("*", F.inline(masks))
-    rows = rows.withColumns({x: F.when(c(f"has_{x}"), c(x)).otherwise(0.0) for x in COLS})
-    scored = R.ridge_logistic(rows, ["series_id", "fold", "ablation"], COLS).where("part = 'test'")
-    return R.probability_metrics(scored.select("series_id", "ablation", "y", "p"), ["series_id", "ablation"])
+    rows = market.assigned(s, f).select("*", F.inline(masks))
+    rows = rows.withColumns({f"x_{x}": F.when(c(f"has_{x}"), c(x)).otherwise(0.0) for x in COLS})
+    return research.sealed_table(s, f, rows, ["ablation"], [f"x_{x}" for x in COLS])
+
+
+register("i16_ablation_run", ablations, f"series_id fold:i ablation model {research.RUN}")
+
+
+def ablation_report(s: SparkSession, f: str) -> DataFrame:
+    d = ablations(s, f).where("cost_multiplier = 1.0").groupBy("ablation", "model")
+    g = d.agg(F.count("*").alias("folds"), F.avg("net_return").alias("mean_net"), F.median("net_return").alias("median_net"), F.avg((c("net_return") > 0).cast("double")).alias("positive_rate"), F.avg("sharpe").alias("mean_sharpe"), F.min("max_drawdown").alias("worst_drawdown"), F.avg("brier").alias("mean_brier"))
+    return g.orderBy(c("mean_net").desc(), c("mean_sharpe").desc())
 
 
-register("i16_ablation_run", ablations, f"series_id ablation {research.PM}")
+register("e8_i16_ablation_report", ablation_report, "ablation model folds:i mean_net:d median_net:d positive_rate:d mean_sharpe:d worst_drawdown:d mean_brier:d")
 
 
 def prepared(s: SparkSession, f: str) -> DataFrame:
