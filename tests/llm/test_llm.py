@@ -118,26 +118,77 @@ def test_suffix_array_dedup(docs, empty, hot):
     assert suffix_array.dedup_bytes(empty, plan).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(min_size=20, max_size=20).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=40))
-def test_deep_shallow_sorts(strings):
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    order, head = suffix_array.deep_shallow(data, np.arange(len(strings)) * 20, 20, shallow=8)
-    assert [strings[i] for i in order] == sorted(strings)
-    assert len(head) == len(set(strings))
+@pytest.mark.parametrize("k, m", [(5, 2), (13, 8), (40, 20)])
+def test_substring_dedup_at_other_widths(docs, k, m):
+    got = by_id(substring_dedup.dedup_words(docs, Plan(k=k, m=m, by_word=True, block_bytes=900)))
+    words = {d: WORD.findall(t or "") for d, t, *_ in rows() if d is not None}
+    gone = covered(words, k)
+    assert {d: r.n_removed for d, r in got.items()} == {d: gone[d].sum() for d in words}
+
+
+def test_large_ids_beside_a_null_id(spark):
+    big = 2**53
+    df = spark.createDataFrame([(None, PASSAGE), (big, PASSAGE), (big + 1, PASSAGE)], "doc_id long, text string").coalesce(1)
+    got = by_id(substring_dedup.dedup_words(df))
+    assert (got[big].n_removed, got[big + 1].n_removed) == (0, 40)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.binary(min_size=20, max_size=20)), min_size=1, max_size=60), st.sampled_from([4, 8, 16]), st.sampled_from([2, 4, 32]))
+def test_deep_shallow_sorts(rows_, shallow, blind):
+    rows_ = sorted((g, bytes(x % 3 for x in b)) for g, b in rows_)[::-1]
+    rows_.sort(key=lambda r: r[0])
+    data = np.frombuffer(b"".join(b for _, b in rows_), np.uint8)
+    order, head = suffix_array.deep_shallow(data, np.arange(len(rows_)) * 20, np.array([g for g, _ in rows_]), 20, shallow=shallow, blind=blind)
+    assert [rows_[i // 20] for i in order] == sorted(rows_)
+    assert len(head) == len(set(rows_))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 1), min_size=24, max_size=24), min_size=2, max_size=32))
+def test_blind_tries_keep_order_and_partings(strings):
+    data = np.array(strings, np.uint8)
+    data[:, :8] = 7
+    leaf, part = suffix_array.blind_tries(suffix_array.Characters(data.ravel()), np.arange(len(data))[None, :] * 24, 8, 24)
+    got = [bytes(data[i // 24]) for i in leaf[0]]
+    assert got == sorted(bytes(x) for x in data)
+    for i in range(1, len(got)):
+        apart = [d for d in range(24) if got[i][d] != got[i - 1][d]]
+        assert part[0, i] == (apart[0] if apart else 24)
+
+
+@settings(max_examples=80, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 5), st.lists(st.integers(1, 3), min_size=1, max_size=14)), min_size=1, max_size=9),
+    st.lists(st.tuples(st.integers(0, 7), st.lists(st.integers(1, 5), min_size=1, max_size=16)), min_size=1, max_size=6),
+    st.integers(1, 5),
+)
+def test_matching_statistics_find_all_earlier_stretches(texts, patterns, k):
+    """Patterns with symbols and orders that the index doesn't hold, so that matches break off and step to parent intervals."""
+    text = np.array([x for _, t in texts for x in [*t, 0]])
+    index = fm_index.FMIndex(text, 4, np.repeat([o for o, _ in texts], [len(t) + 1 for _, t in texts]), max(len(t) for _, t in texts) + 1)
+    flat, size = np.array([x for _, p in patterns for x in p]), np.array([len(p) for _, p in patterns])
+    number, begin, length = fm_index.matches(index, flat, np.cumsum(size) - size, size, np.array([o for o, _ in patterns]), k)
+    assert (length >= k).all()
+    for i, (limit, p) in enumerate(patterns):
+        held = lambda w: any(o < limit and any(t[a : a + len(w)] == w for a in range(len(t))) for o, t in texts)  # noqa: B023, E731
+        want, got = np.zeros(len(p), bool), np.zeros(len(p), bool)
+        for x in range(len(p) - k + 1):
+            if held(p[x : x + k]):
+                want[x : x + k] = True
+        for x, y in zip(begin[number == i], length[number == i]):
+            assert held(p[x : x + y]) and not (x > 0 and held(p[x - 1 : x + y]))
+            got[x : x + y] = True
+        assert (want == got).all()
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 3), min_size=3, max_size=12), min_size=1, max_size=12), st.lists(st.integers(1, 4), min_size=1, max_size=15))
-def test_backward_search_finds_all_windows(texts, pattern):
-    text = np.array([x for t in texts for x in [*t, 0]])
-    owner = np.repeat(np.arange(len(texts)) + 5, [len(t) + 1 for t in texts])
-    index = fm_index.FMIndex(text, 5, owner, 3)
-    got = fm_index.matching_windows(index, np.array(pattern), np.array([0]), np.array([len(pattern)]), 3)
-    for i in range(len(pattern) - 2):
-        w = pattern[i : i + 3]
-        want = min((j + 5 for j, t in enumerate(texts) if any(t[a : a + 3] == w for a in range(len(t) - 2))), default=np.iinfo(np.int64).max)
-        assert got[i] == want
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=200))
+def test_wavelet_tree_ranks(values):
+    tree = fm_index.WaveletTree(np.array(values), 10)
+    for c in set(values):
+        got = tree.rank(np.full(len(values) + 1, c), np.arange(len(values) + 1))
+        assert got.tolist() == [values[:i].count(c) for i in range(len(values) + 1)]
 
 
 def test_sharding(docs, empty):

@@ -18,10 +18,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share. A local session that names none gets one of its own; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = held.rsplit("/", 1)[0] if held else f"file://{tempfile.mkdtemp(prefix='tideline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -29,14 +31,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_HELD: dict[str, str | None] = {}
+
+
+def shared_path(spark: SparkSession, kind: str, table: str | None = None) -> str:
+    """A new path in the shared folder, which :func:`release` removes."""
+    path = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    _HELD[path] = table
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Removes everything that operators have written so far; results that were not taken yet are lost."""
+    while _HELD:
+        path, table = _HELD.popitem()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again; survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = shared_path(spark, "tables")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, n: int) -> DataFrame:
+    """``df`` written as a table of ``n`` buckets by a column, so that later joins on it leave these rows where they are."""
+    spark = df.sparkSession
+    name = f"tideline_{uuid.uuid4().hex}"
+    path = shared_path(spark, "tables", name)
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,5 +23,6 @@ ORACLES = {
     "op4_warc": warc.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op7_suffix_array": suffix_array.ORACLE,
     "op9_minhash": minhash.ORACLE,
 }

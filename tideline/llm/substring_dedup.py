@@ -1,13 +1,14 @@
 """Substring dedup over words: a compressed FM-index per shard and backward search.
 
-A shard indexes its distinct fragments as sequences of word numbers; each fragment is then
-streamed through the index from its last word to its first, and every position where the
-match has reached ``k`` words reports the smallest document among those that hold the window.
-See :mod:`repeats` for how documents, fragments and shards meet.
+A shard indexes the passages of its range of content as sequences of word numbers, each with the
+first document that holds it. The owners' passages are then streamed through the index from their last word to their first:
+matching statistics against the passages of earlier documents, with a step to the parent interval at every
+mismatch, report the stretches of at least ``k`` words that an earlier document holds too.
+See :mod:`repeats` for how documents, passages and shards meet, and :mod:`fm_index` for the search.
 
 Defined cases: a null or blank text has no words and keeps the empty text; a null doc_id takes
 no part; rows that repeat a doc_id don't count as earlier than each other; extra columns
-are left out.
+are left out; long texts are handled in steps, never as prefixes.
 """
 
 from __future__ import annotations
@@ -18,50 +19,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, slice_hashes, words
-from .fm_index import FMIndex, matching_windows
-from .repeats import Block, Plan, remove_repeats
+from .common import documents
+from .fm_index import FMIndex, matches
+from .repeats import Block, Intervals, Plan, remove_repeats
 
-WORDS = Plan(k=13, m=6, by_word=True)
+WORDS = Plan(k=13, m=8, by_word=True)
 LANES = 1 << 16
 
 
-def solve(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest document of each window of each fragment, by backward search."""
-    begin, end, n = words(data, starts, ends)
-    _, symbol = np.unique(slice_hashes(data, begin, end), return_inverse=True)
-    sigma = int(symbol.max()) + 2
-    text = np.zeros(len(symbol) + len(n), np.int64)
-    which = np.repeat(np.arange(len(n)), n)
-    text[np.arange(len(symbol)) + which] = symbol + 1
+def solve(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, group: np.ndarray, plan: Plan) -> Intervals:
+    """What each passage's owner loses to earlier documents. Every word of a passage has one blank behind it."""
+    stop = np.flatnonzero(data == 32) + 1
+    offsets = pa.py_buffer(np.r_[0, stop].astype(np.int64))
+    word = pa.Array.from_buffers(pa.large_binary(), len(stop), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+    n = np.searchsorted(stop, ends, "right") - np.searchsorted(stop, starts, "right")
+    text = np.zeros(len(stop) + len(n), np.int64)
+    text[np.arange(len(stop)) + np.repeat(np.arange(len(n)), n)] = word.indices.to_numpy() + 1
     first = np.cumsum(n + 1) - n - 1
-    index = FMIndex(text, sigma, np.repeat(lo, n + 1), plan.k)
-    windows = n - plan.k + 1
-    offsets = np.r_[0, np.cumsum(windows)]
-    mins = np.empty(int(offsets[-1]), np.int64)
-    for i in range(0, len(n), LANES):
-        j = min(i + LANES, len(n))
-        a, b = int(first[i]), int(first[j - 1] + n[j - 1])
-        found = matching_windows(index, text[a:b], first[i:j] - a, n[i:j], plan.k)
-        w = windows[i:j]
-        mins[offsets[i] : offsets[j]] = found[np.repeat(first[i:j] - a - (np.cumsum(w) - w), w) + np.arange(w.sum())]
-    return mins, offsets
-
-
-def finish(doc_id, block: Block, gone: np.ndarray) -> pa.Table:
+    index = FMIndex(text, len(word.dictionary) + 1, np.repeat(owner, n + 1), int(n.max()) + 1)
+    found = [matches(index, text, first[i : i + LANES], n[i : i + LANES], owner[i : i + LANES], plan.k) for i in range(0, len(n), LANES)]
+    return tuple(np.concatenate([x + i * LANES if part == 0 else x for i, x in enumerate(xs)]) for part, xs in enumerate(zip(*found)))
+
+
+def finish(block: Block, gone: np.ndarray) -> list:
     sums = np.r_[0, np.cumsum(gone)]
-    removed = sums[block.ends] - sums[block.starts]
-    keep = np.repeat(~gone, block.end - block.begin + 1) if len(gone) else np.zeros(0, bool)
+    keep = np.repeat(~gone, block.end - block.begin) if len(gone) else np.zeros(0, bool)
     digests = []
     for s, e in zip(block.starts, block.ends):
-        a, b = (block.begin[s], block.end[e - 1] + 1) if e > s else (0, 0)
+        a, b = (block.begin[s], block.end[e - 1]) if e > s else (0, 0)
         digests.append(hashlib.sha256(block.bytes[a:b][keep[a:b]].tobytes()[:-1]).hexdigest())
-    return pa.table({"doc_id": doc_id, "n_words": pa.array(block.ends - block.starts), "n_removed": pa.array(removed.astype(np.int64)), "kept_sha256": pa.array(digests, pa.string())})
+    return [block.ends - block.starts, sums[block.ends] - sums[block.starts], digests]
+
+
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def dedup_words(docs: DataFrame, plan: Plan = WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    return remove_repeats(docs, plan, solve, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(docs, plan, solve, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", SCHEMA)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
