@@ -63,6 +63,27 @@ class Plan:
         return self.k - self.m + 1
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def squeezed(x: np.ndarray | bytes) -> bytes:
+    """An array compressed, behind its length in bytes."""
+    raw = x if isinstance(x, bytes) else x.tobytes()
+    return len(raw).to_bytes(4, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def loosened(x: bytes) -> bytes:
+    return _ZSTD.decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True)
+
+
+def _loosened(table: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(loosened(x), kind) for x in table.column(name).to_pylist()]
+
+
+def _together(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 # 1. blocks
 
 _BLOCK = "block long, ids binary, known binary, ends binary, text binary"
@@ -80,7 +101,7 @@ def _packed(block_bytes: int):
             lo = 0
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + block_bytes, "right")))
-                row = [ids[lo:hi].tobytes(), known[lo:hi].tobytes(), (ends[lo:hi] - starts[lo]).tobytes(), data[starts[lo] : ends[hi - 1]].tobytes()]
+                row = [ids[lo:hi].tobytes(), known[lo:hi].tobytes(), (ends[lo:hi] - starts[lo]).tobytes(), squeezed(data[starts[lo] : ends[hi - 1]])]
                 yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), *(pa.array([x], pa.binary()) for x in row)], names=["block", "ids", "known", "ends", "text"])
                 made, lo = made + 1, hi
 
@@ -95,7 +116,7 @@ class Block:
         self.known = np.frombuffer(row["known"], bool)
         ends = np.frombuffer(row["ends"], np.int64)
         starts = np.r_[0, ends[:-1]]
-        data = np.frombuffer(row["text"], np.uint8)
+        data = np.frombuffer(loosened(row["text"]), np.uint8)
         if by_word:
             begin, end, n = words(data, starts, ends)
             self.unit = slice_hashes(data, begin, end)
@@ -300,15 +321,15 @@ def _equal_slices(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarr
     return same
 
 
-_PASSAGES = "bucket int, block long, kind int, a binary, b binary, c binary, text binary, lo binary, hi binary"
-_NAMES = ["bucket", "block", "kind", "a", "b", "c", "text", "lo", "hi"]
+_PASSAGES = "bucket int, block long, kind int, start long, a binary, b binary, text binary"
+_NAMES = ["bucket", "block", "kind", "start", "a", "b", "text"]
 PLACES, ASKED = 0, 1
 
 
 def _passages(plan: Plan, n_buckets: int):
-    """Rows of two kinds. ASKED, per bucket: numbers, routes and byte lengths of the block's distinct passages, their bytes,
-    and the smallest and largest document of the block that hold each. PLACES, one row: first window, number of windows and passage of
-    every occurrence, which only travel along."""
+    """Rows of two kinds. ASKED, per bucket: the number of the first of the block's distinct passages there (they are numbered by bucket), their
+    routes (the hash's upper half), byte lengths and the smallest and largest document of the block that hold each, and their bytes. PLACES, one row: first
+    window, number of windows and passage of every occurrence, which only travel along."""
 
     def of(docs: pa.Table, shared: pa.Table) -> pa.Table:
         out = []
@@ -328,19 +349,20 @@ def _passages(plan: Plan, n_buckets: int):
             same[pair] = _equal_slices(block.bytes, a[pair], a[pair - 1], (b - a)[pair])
             head = np.flatnonzero(~same)
             number = np.cumsum(~same) - 1
-            place = [first.astype(np.uint32), n.astype(np.uint16), number.astype(np.uint32)]
-            out.append((int(row["block"]) % n_buckets, row["block"], PLACES, *(x.tobytes() for x in place), b"", b"", b""))
+            by_place = np.argsort(first)
+            step = np.diff(first[by_place], prepend=0)
+            places = squeezed(np.concatenate([step, n[by_place], number[by_place]]).astype(np.uint32))
+            out.append((int(row["block"]) % n_buckets, row["block"], PLACES, 0, places, b"", b""))
             lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-            a, b, route, bucket = a[head], b[head], route[head], bucket[head]
-            size = (b - a).astype(np.uint32)
+            a, b, half, bucket = a[head], b[head], (route[head] >> np.uint64(32)).astype(np.uint32), bucket[head]
             text = block.bytes.tobytes()
             edge = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(head)]
-            index = np.arange(len(head), dtype=np.uint32)
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 joined = b"".join([text[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist())])
-                out.append((int(bucket[i]), row["block"], ASKED, *(x[i:j].tobytes() for x in (index, route, size)), joined, lo[i:j].tobytes(), hi[i:j].tobytes()))
-        types = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, types)], names=_NAMES)
+                about = squeezed(np.concatenate([b[i:j] - a[i:j], lo[i:j], hi[i:j] - lo[i:j]]))
+                out.append((int(bucket[i]), row["block"], ASKED, i, half[i:j].tobytes(), about, squeezed(joined)))
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=_NAMES)
 
     return of
 
@@ -348,18 +370,18 @@ def _passages(plan: Plan, n_buckets: int):
 # 4. shards
 
 Intervals = tuple[np.ndarray, np.ndarray, np.ndarray]
-_ANSWERS = "block long, kind int, a binary, b binary, c binary, d binary, e binary"
+_ANSWERS = "block long, kind int, a binary, b binary, c binary"
 
 
-def _answers(plan: Plan, solve: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Plan], Intervals]):
-    """PLACES as they come. Per row of questions: the passages that lose something, the first owner of each, and the number, starts
-    and lengths (in units) of the intervals which that owner loses."""
+def _answers(plan: Plan, solve: Callable[..., Intervals]):
+    """PLACES as they come. Per row of questions: the passages that lose something and the number of their intervals, the first
+    owner of each, and the starts and lengths (in units) of the intervals which that owner loses."""
 
     def of(batches):
         for t in _by_bucket(batches):
-            places = t.filter(pa.array(t.column("kind").to_numpy() == PLACES)).select(["block", "kind", "a", "b", "c"])
+            places = t.filter(pa.array(t.column("kind").to_numpy() == PLACES)).select(["block", "kind", "a"])
             empty = pa.array([b""] * places.num_rows, pa.binary())
-            yield from places.append_column("d", empty).append_column("e", empty).combine_chunks().to_batches()
+            yield from places.append_column("b", empty).append_column("c", empty).combine_chunks().to_batches()
             asked = t.filter(pa.array(t.column("kind").to_numpy() == ASKED)).combine_chunks()
             if asked.num_rows:
                 yield _shard(asked, plan, solve)
@@ -368,11 +390,15 @@ def _answers(plan: Plan, solve: Callable[[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def _shard(asked: pa.Table, plan: Plan, solve: Callable) -> pa.RecordBatch:
-    number, route, size = _joined(asked, "a", np.uint32), _joined(asked, "b", np.uint64), _joined(asked, "c", np.uint32).astype(np.int64)
-    lo, hi = _joined(asked, "lo", np.int64), _joined(asked, "hi", np.int64)
-    row = np.repeat(np.arange(asked.num_rows), _lengths(asked, "a", 4))
+    many_in = _lengths(asked, "a", 4)
+    row = np.repeat(np.arange(asked.num_rows), many_in)
+    route = _joined(asked, "a", np.uint32)
+    number = asked.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(many_in) - many_in, many_in)
+    about = [x.reshape(3, -1) for x in _loosened(asked, "b", np.int64)]
+    size, lo, more = (np.concatenate([x[i] for x in about]) for i in range(3))
+    hi = lo + more
     offsets = pa.py_buffer(np.r_[0, np.cumsum(size)])
-    text = pa.py_buffer(b"".join(asked.column("text").to_pylist()))
+    text = pa.py_buffer(b"".join(loosened(x) for x in asked.column("text").to_pylist()))
     coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, offsets, text]).dictionary_encode()
     code = coded.indices.to_numpy()
     n = len(coded.dictionary)
@@ -399,9 +425,9 @@ def _shard(asked: pa.Table, plan: Plan, solve: Callable) -> pa.RecordBatch:
         c = code[i:j]
         m = count[c]
         own = np.repeat(from_[c] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-        out.append((number[i:j].tobytes(), owner[c].tobytes(), m.astype(np.uint16).tobytes(), begin[own].astype(np.uint16).tobytes(), length[own].astype(np.uint16).tobytes()))
+        out.append((squeezed(np.concatenate([number[i:j], m]).astype(np.uint32)), squeezed(owner[c]), squeezed(np.concatenate([begin[own], length[own]]).astype(np.uint16))))
     kind = pa.array(np.full(asked.num_rows, ASKED, np.int32))
-    return pa.RecordBatch.from_arrays([asked.column("block").combine_chunks(), kind, *(pa.array(c, pa.binary()) for c in zip(*out))], names=["block", "kind", *"abcde"])
+    return pa.RecordBatch.from_arrays([asked.column("block").combine_chunks(), kind, *(pa.array(c, pa.binary()) for c in zip(*out))], names=["block", "kind", *"abc"])
 
 
 def covered_runs(late: np.ndarray, which: np.ndarray, start: np.ndarray, k: int) -> Intervals:
@@ -424,10 +450,13 @@ def _gone(block: Block, back: pa.Table, k: int) -> np.ndarray:
     kind = back.column("kind").to_numpy()
     places, answers = back.filter(pa.array(kind == PLACES)), back.filter(pa.array(kind == ASKED))
     if places.num_rows:
-        first, n, number = _joined(places, "a", np.uint32).astype(np.int64), _joined(places, "b", np.uint16).astype(np.int64), _joined(places, "c", np.uint32)
-        asked, owner = _joined(answers, "a", np.uint32), _joined(answers, "b", np.int64)
-        count = _joined(answers, "c", np.uint16).astype(np.int64)
-        begin, length = _joined(answers, "d", np.uint16).astype(np.int64), _joined(answers, "e", np.uint16).astype(np.int64)
+        step, n, number = _together(_loosened(places, "a", np.uint32), np.uint32).reshape(3, -1).astype(np.int64)
+        first = np.cumsum(step)
+        pairs = [x.reshape(2, -1) for x in _loosened(answers, "a", np.uint32)]
+        asked, count = (_together([x[i] for x in pairs], np.uint32).astype(np.int64) for i in range(2))
+        owner = _together(_loosened(answers, "b", np.int64), np.int64)
+        pairs = [x.reshape(2, -1) for x in _loosened(answers, "c", np.uint16)]
+        begin, length = (_together([x[i] for x in pairs], np.uint16).astype(np.int64) for i in range(2))
         size = int(number.max()) + 1
         owner_of, count_of, from_of = np.full(size, NOBODY), np.zeros(size, np.int64), np.zeros(size, np.int64)
         owner_of[asked], count_of[asked], from_of[asked] = owner, count, np.cumsum(count) - count
