@@ -18,6 +18,7 @@ repeated rows get equal pieces; extra columns are left out by :func:`encode`.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import BASE, documents, mix, slice_hashes, text_bytes
 
 MODEL, ALPHA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 17
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES, LONG_PART, SLOT_BITS = 4 << 20, 1024, 18
 _BLANK = "▁"
 
 
@@ -52,6 +53,19 @@ class Vocabulary:
         self.hashes, self.ids = hashes[order], np.array(list(prefixes.values()), np.int32)[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
+        # slots by scattered upper bits; entries of a slot stand together
+        slot = self._slot(self.hashes)
+        by_slot = np.argsort(slot, kind="stable")
+        self.hashes, self.ids = np.r_[self.hashes[by_slot], np.uint64(0)], np.r_[self.ids[by_slot], np.int32(-2)]
+        self.slots = np.searchsorted(slot[by_slot], np.arange((1 << SLOT_BITS) + 1))
+        self.most = int(np.diff(self.slots).max()) if len(prefixes) else 0
+        # prefixes of one and of two bytes by their bytes
+        self.one, self.two = np.full(256, -2, np.int32), np.full(1 << 16, -2, np.int32)
+        for p, i in prefixes.items():
+            if len(p) == 1:
+                self.one[p[0]] = i
+            elif len(p) == 2:
+                self.two[p[0] << 8 | p[1]] = i
         self.longest = max(map(len, prefixes), default=0)
         self.byte_ids, self.weights = np.array(byte_ids, np.int32), weights
         full = [b"" if p is None else p for p in pieces]
@@ -61,6 +75,28 @@ class Vocabulary:
         self.size = np.array([len(p) for p in full], np.int64)
         self.start = np.cumsum(self.size) - self.size
 
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The id of each prefix hash: -1 for a prefix that is no piece, -2 for none."""
+        slot = self._slot(h)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        out = np.full(len(h), -2, np.int32)
+        live = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            place = at[live]
+            hit = self.hashes[place] == h[live]
+            out[live[hit]] = self.ids[place[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+            if not len(live):
+                break
+        return out
+
     @staticmethod
     def hash_of(p: bytes) -> int:
         h = 0
@@ -82,36 +118,86 @@ class Vocabulary:
 def _edges(v: Vocabulary, data: np.ndarray, left: np.ndarray):
     """(from byte, length, piece) of every edge over ``data``; left: bytes from each one to its part's end."""
     char = (data & 0xC0) != 0x80
-    at = np.flatnonzero(char)
-    width = np.ones(len(data), np.int64)
+    at = np.flatnonzero(char).astype(np.int32)
+    width = np.ones(len(data), np.int8)
     width[data >= 0xC0], width[data >= 0xE0], width[data >= 0xF0] = 2, 3, 4
     alone = np.zeros(len(data), bool)
     out = []
-    h = np.zeros(len(at), np.uint64)
+    h = np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, v.longest + 1):
             go = left[at] >= n
-            at, h = at[go], h[go]
+            at, h = at[go], h[go] if n > 2 else h
             if not len(at):
                 break
-            h = h * BASE + data[at + (n - 1)] + np.uint64(1)
-            place = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            go = v.hashes[place] == h
-            at, h, piece = at[go], h[go], v.ids[place[go]]
+            if n == 1:
+                piece = v.one[data[at]]
+            elif n == 2:
+                a, b = data[at].astype(np.int32), data[at + 1]
+                piece = v.two[a << 8 | b]
+                h = (a + 1).astype(np.uint64) * BASE + b + np.uint64(1)
+            else:
+                h = h * BASE + data[at + (n - 1)] + np.uint64(1)
+                piece = v.find(h)
+            go = piece > -2
+            at, h, piece = at[go], h[go] if n > 1 else h, piece[go]
             whole = piece >= 0
             if whole.any():
-                out.append((at[whole], np.full(int(whole.sum()), n), piece[whole]))
+                out.append((at[whole], np.full(int(whole.sum()), n, np.int32), piece[whole]))
                 alone[at[whole][width[at[whole]] == n]] = True
     bare = np.flatnonzero(char & ~alone)
     if len(bare):
-        size = np.minimum(width[bare], left[bare])
-        at = np.repeat(bare, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-        out.append((at, np.ones(len(at), np.int64), v.byte_ids[data[at]]))
+        size = np.minimum(width[bare], left[bare]).astype(np.int64)
+        at = (np.repeat(bare, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))).astype(np.int32)
+        out.append((at, np.ones(len(at), np.int32), v.byte_ids[data[at]]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _filter_part(score: np.ndarray, source: np.ndarray, weight: np.ndarray, into: np.ndarray, root: int, size: int) -> None:
+    """The forward scores of one part's nodes, node after node."""
+    got = [0.0] + [-math.inf] * size
+    cut = into[root : root + size + 2].tolist()
+    e0 = cut[0]
+    src, w = (source[e0 : cut[-1]] - root).tolist(), weight[e0 : cut[-1]].tolist()
+    for i in range(1, size + 1):
+        values = [got[src[e]] + w[e] for e in range(cut[i] - e0, cut[i + 1] - e0)]
+        top = max(values, default=-math.inf)
+        if top > -math.inf:
+            got[i] = top + math.log(sum(math.exp(x - top) for x in values))
+    score[root : root + size + 1] = got
+
+
+def _draw_part(ladder: np.ndarray, source: np.ndarray, piece: np.ndarray, into: np.ndarray, root: int, size: int, state: int) -> np.ndarray:
+    """One part's pieces, drawn from its end to its begin with the same draws as :func:`sample` takes for short ones."""
+    cut = into[root : root + size + 2].tolist()
+    e0 = cut[0]
+    rungs, src, ids = ladder[e0 : cut[-1]].tolist(), (source[e0 : cut[-1]] - root).tolist(), piece[e0 : cut[-1]].tolist()
+    node, out = size, []
+    while node > 0:
+        u = (state >> 11) / float(1 << 53)
+        e = cut[node] - e0
+        while rungs[e] <= u:
+            e += 1
+        out.append(ids[e])
+        node = src[e]
+        state = _mix_one((state + int(BASE)) & _MASK)
+    return np.array(out[::-1], np.int32)
+
+
+_MASK = (1 << 64) - 1
+
+
+def _mix_one(x: int) -> int:
+    """common.mix for one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
 def sample(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of the texts data[start:end], end to end, and their offsets. keys: uint64 per text."""
     n = len(data)
@@ -128,19 +214,29 @@ def sample(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
     size = end[first] - begin[first]
     base = np.cumsum(size) - size
     own = data[np.repeat(begin[first] - base, size) + np.arange(size.sum())]
-    which = np.repeat(np.arange(len(first)), size)
-    left = np.repeat(base + size, size) - np.arange(len(own))
+    which = np.repeat(np.arange(len(first), dtype=np.int32), size)
+    left = (np.repeat(base + size, size) - np.arange(len(own))).astype(np.int32)
     at, length, piece = _edges(v, own, left)
     source = at + which[at]
+    order = np.argsort(source + length, kind="stable")
+    at, length, source, piece = at[order], length[order], source[order], piece[order]
     target = source + length
-    depth = at - base[which[at]] + length
-    order = np.argsort(target, kind="stable")
-    source, target, piece, depth = source[order], target[order], piece[order], depth[order]
     weight = v.weights[piece]
-    score = np.full(len(own) + len(first), -np.inf)
-    score[base + np.arange(len(first))] = 0.0
-    by_depth = np.argsort(depth, kind="stable")
-    levels = np.searchsorted(depth[by_depth], np.arange(1, int(size.max()) + 2))
+    n_nodes = len(own) + len(first)
+    into = np.r_[0, np.cumsum(np.bincount(target, minlength=n_nodes))].astype(np.int32)  # the edges into each node
+    root_of = base + np.arange(len(first))
+    score = np.full(n_nodes, -np.inf)
+    score[root_of] = 0.0
+    short = size <= LONG_PART
+    part_of = which[at]
+    depth = at - base[part_of].astype(np.int32) + length
+    if short.all():
+        by_depth = np.argsort(depth.astype(np.uint16), kind="stable")
+    else:
+        by_depth = np.flatnonzero(short[part_of])
+        by_depth = by_depth[np.argsort(depth[by_depth].astype(np.uint16), kind="stable")]
+    del at, length, part_of, which, left
+    levels = np.r_[0, np.cumsum(np.bincount(depth[by_depth], minlength=2))[:-1], len(by_depth)]
     for lo, hi in zip(levels[:-1], levels[1:]):
         e = by_depth[lo:hi]
         if not len(e):
@@ -151,27 +247,45 @@ def sample(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
         safe = np.where(np.isfinite(top), top, 0.0)
         with np.errstate(divide="ignore"):
             score[t[head]] = safe + np.log(np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.r_[head, len(e)]))), head))
+    for i in np.flatnonzero(~short):  # long parts: too narrow a lattice for whole levels at a time
+        _filter_part(score, source, weight, into, int(root_of[i]), int(size[i]))
     with np.errstate(invalid="ignore"):
         share = np.nan_to_num(np.exp(score[source] + weight - score[target]), nan=0.0)
-    total = np.cumsum(share)
-    head = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
-    many = np.diff(np.r_[head, len(target)])
-    within = total - np.repeat(total[head] - share[head], many)
-    ladder = target + np.minimum(within / np.repeat(within[head + many - 1], many), 1.0) * (1 - 1e-9)
+    # shares summed up inside each node, edge by edge, so that a node's ladder is the same in every batch
+    ladder, degree = share.copy(), np.diff(into)
+    nodes, j = np.flatnonzero(degree > 1), 1
+    while len(nodes):
+        e = into[nodes] + j
+        ladder[e] += ladder[e - 1]
+        j += 1
+        nodes = nodes[degree[nodes] > j]
+    ended = degree > 0
+    ladder[into[1:][ended] - 1] = np.inf  # the last edge takes what rounding leaves
     # backward, all occurrences at once
     nonempty = np.flatnonzero(ends > starts)
     text = nonempty[np.searchsorted(starts[nonempty], begin, "right") - 1]
     ordinal = np.arange(len(begin)) - np.searchsorted(begin, starts[text])
-    lane = np.argsort(part, kind="stable")  # near each other in memory
+    lane = np.argsort(part.astype(np.uint16) if len(first) < 65536 else part, kind="stable")  # near each other in memory
     with np.errstate(over="ignore"):
         state = mix(keys[text] + np.uint64(seed) * BASE + mix(ordinal.astype(np.uint64) + np.uint64(1)))[lane]
-    root = (base + np.arange(len(first)))[part]
+    root = root_of[part]
     node = (root + size[part])[lane]
     count = np.zeros(len(begin), np.int64)
     taken: list[tuple[np.ndarray, np.ndarray]] = []
+    alone = {}
+    if not short.all():
+        own_long = ~short[part[lane]]
+        for l, s in zip(lane[own_long].tolist(), state[own_long].tolist()):
+            alone[l] = _draw_part(ladder, source, piece, into, int(root[l]), int(size[part[l]]), s)
+            count[l] = len(alone[l])
+        lane, state, node = lane[~own_long], state[~own_long], node[~own_long]
     while len(lane):
         u = (state >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-        e = np.searchsorted(ladder, node + u * (1 - 2e-9), "right")
+        e = into[node]
+        open_ = np.flatnonzero(ladder[e] <= u)
+        while len(open_):
+            e[open_] += 1
+            open_ = open_[ladder[e[open_]] <= u[open_]]
         taken.append((lane, piece[e]))
         count[lane] += 1
         node = source[e]
@@ -183,6 +297,8 @@ def sample(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
     out = np.empty(int(count.sum()), np.int32)
     for step, (l, p) in enumerate(taken):
         out[offset[l] + count[l] - 1 - step] = p
+    for l, p in alone.items():
+        out[offset[l] : offset[l] + count[l]] = p
     per = np.bincount(text, weights=count, minlength=len(starts)).astype(np.int64)
     return out, np.r_[0, np.cumsum(per)]
 
