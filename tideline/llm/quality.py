@@ -20,10 +20,12 @@ MIN_WORDS, MAX_REPEAT, MAX_LOST = 50, 50, 30
 #: Stock phrases of web pages, and the longest line (in words) that they condemn.
 BOILERPLATE = ["all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "read more", "sign up", "log in", "subscribe to", "enable javascript", "lorem ipsum", "skip to content", "powered by", "share this"]
 STOCK_WORDS = 15
+FEW = 64  # repeated hashes up to which each word looks itself up among them
 _WS = "[\\x20\\x09-\\x0D]"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _SYMBOL = "[#*$%&|<>]"
 _SEPARATOR = "(?:^|[\\x20\\x09-\\x0D])[|»›•·>](?=[\\x20\\x09-\\x0D]|$)"
+_SIGN = "[|»›•·>]"
 _BLANKS = " \t\n\x0b\x0c\r"
 _FINAL = "[.!?:;,…。！？)\"'”’»]"
 
@@ -32,13 +34,19 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _line_passes(line: Column) -> Column:
-    words = _count(line, _WORD)
+def _stock_pattern() -> str:
+    """The stock phrases, grouped by their first letter, which most places in a text fail at once."""
+    letters = sorted({x[0] for x in BOILERPLATE})
+    groups = [f"{a}(?:{'|'.join(x[1:] for x in BOILERPLATE if x[0] == a)})" for a in letters]
+    return f"(?=[{''.join(letters)}])(?:{'|'.join(groups)})"
+
+
+def _line_passes(line: Column, words: Column) -> Column:
     fragment = (words < 5) & ~F.substring(F.rtrim(line, F.lit(_BLANKS)), -1, 1).rlike(_FINAL)
     shouting = _count(line, "[!?]{2}") * 10 > words * 3
     noisy = _count(line, _SYMBOL + "+") * 10 > words * 2
-    menu = _count(line, _SEPARATOR) * 10 > words
-    stock = (words <= STOCK_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE))
+    menu = line.rlike(_SIGN) & (_count(line, _SEPARATOR) * 10 > words)
+    stock = (words <= STOCK_WORDS) & F.lower(line).rlike(_stock_pattern())
     return ~(fragment | shouting | noisy | menu | stock)
 
 
@@ -58,23 +66,33 @@ def measures(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_tl_n_words", F.size("_tl_w").cast("long"))
     w = F.col("_tl_w")
     at = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(at, lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("p")))
-    d = d.withColumn("_tl_g", F.sort_array(grams))
-    g = F.col("_tl_g")
-    n = F.size(g)
-    twice = F.transform(g, lambda x, i: F.when(((i > 0) & (g[F.greatest(i - 1, F.lit(0))]["h"] == x["h"])) | ((i < n - 1) & (g[F.least(i + 1, n - 1)]["h"] == x["h"])), x["p"]))
-    d = d.withColumn("_tl_p", F.array_sort(F.array_compact(twice)))
+    d = d.withColumn("_tl_h", F.transform(at, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
+    h = F.col("_tl_h")
+    # hashes that occur twice: none in most texts, which costs a hash set; else from the sorted ones
+    d = d.withColumn("_tl_s", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(h)))
+    s = F.col("_tl_s")
+    d = d.withColumn("_tl_twice", F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == s[F.greatest(i - 1, F.lit(0))]))))
+    twice = F.col("_tl_twice")
+    few = F.filter(at, lambda i: F.array_contains(twice, h[i]))
+    # many of them: pairs (hash, place) are sorted instead, and neighbours compared
+    d = d.withColumn("_tl_g", F.when(F.size(twice) > FEW, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
+    g, n = F.col("_tl_g"), F.size(h)
+    beside = lambda x, j: F.coalesce(F.get(g, j)["h"] == x["h"], F.lit(False))
+    many = F.array_sort(F.transform(F.filter(g, lambda x, i: beside(x, i - 1) | ((i < n - 1) & beside(x, i + 1))), lambda x: x["p"]))
+    d = d.withColumn("_tl_p", F.when(twice.isNull(), F.array().cast("array<int>")).when(F.size(twice) <= FEW, few).otherwise(many))
     p = F.col("_tl_p")
     covered = F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(x - a["last"], F.lit(3))).alias("n")))["n"]
     spoken = F.filter("_tl_lines", lambda x: x.rlike(_WORD))
-    kept = F.array_join(F.filter("_tl_lines", lambda x: ~x.rlike(_WORD) | _line_passes(x)), "\n")
+    counted = F.transform("_tl_lines", lambda x: F.struct(x.alias("line"), _count(x, _WORD).alias("n")))  # so that words are counted once a line
+    passed = F.filter(counted, lambda x: (x["n"] == 0) | _line_passes(x["line"], x["n"]))
+    kept = F.array_join(F.transform(passed, lambda x: x["line"]), "\n")
     d = d.withColumns({
         "_tl_n_repeat_words": covered, "_tl_word_chars": _solid(text).cast("long"),
         "_tl_n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"), "_tl_spoken": spoken, "_tl_kept_text": kept,
     })
     d = d.withColumn("_tl_n_dup_lines", (F.size("_tl_spoken") - F.size(F.array_distinct("_tl_spoken"))).cast("long"))
     d = d.withColumn("_tl_kept_chars", _solid(F.col("_tl_kept_text")).cast("long"))
-    return d.drop("_tl_lines", "_tl_split", "_tl_w", "_tl_g", "_tl_p", "_tl_spoken")
+    return d.drop("_tl_lines", "_tl_split", "_tl_w", "_tl_h", "_tl_s", "_tl_twice", "_tl_g", "_tl_p", "_tl_spoken")
 
 
 def verdict(measured: DataFrame) -> DataFrame:
