@@ -6,11 +6,13 @@ half of all documents hold is still dealt evenly over tasks. Each task streams i
 sorted rows: the first document of a run of equal hashes keeps its lines, all later
 ones lose theirs. Only the runs at the two edges of a task can go on in another; their
 heads (two rows a task at most) are put together on the driver. What comes out is a
-compressed bitmap of kept lines for each document, never text.
+compressed bitmap of kept lines for each document that loses any, never text; the query and the pipeline's stage
+apply the bitmaps to the texts.
 
 Defined cases: a null or empty text is one empty line; lines with keys under
 ``min_chars`` code points stay; a null doc_id takes no part and keeps all its lines; rows
-that repeat a doc_id count as one document; extra columns are left out.
+that repeat a doc_id count as one document; extra columns are left out by :func:`keep_bitmaps` and kept by
+:func:`drop_lines`. A long text is split into lines by one task; its lines are dealt like all others.
 """
 
 from __future__ import annotations
@@ -125,17 +127,25 @@ def _losers(edges: dict[tuple[int, int], tuple[int, int]], min_docs: int):
 
 
 @F.pandas_udf(T.BinaryType())
-def _bitmap(dropped: pd.Series, n_lines: pd.Series) -> pd.Series:
-    def one(at, n):
-        bits = np.ones(int(n), np.uint8)
-        bits[at[at < n]] = 0
+def _bitmap(dropped: pd.Series) -> pd.Series:
+    """Line positions as a compressed bitmap, 1 for a kept line; it ends with the last dropped one, all lines behind it are kept."""
+
+    def one(at):
+        bits = np.ones(int(max(at)) + 1, np.uint8)
+        bits[np.asarray(at, np.int64)] = 0
         return zlib.compress(np.packbits(bits).tobytes())
 
-    return pd.Series([one(np.asarray(a, np.int64), n) if a is not None else None for a, n in zip(dropped, n_lines)], dtype=object)
+    return dropped.map(one)
+
 
+def dropped_at(bitmap: bytes, n_lines: int) -> np.ndarray:
+    """The positions below ``n_lines`` that a bitmap drops."""
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:n_lines]
+    return np.flatnonzero(bits == 0)
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, dropped: sorted line positions) of documents that lose lines, one row each."""
+
+def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, keep_bitmap) of documents that lose lines, one row each."""
     spark = docs.sparkSession
     shared_dir(spark)
     lines = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_keyed(min_chars), "h1 long, h2 long, doc_id long, pos int")
@@ -146,25 +156,26 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
         old = heads.setdefault((r.h1, r.h2), [r.keeper, 0])
         heads[r.h1, r.h2] = [max(old[0], r.keeper), old[1] + r.n]
     lost = ranged.mapInArrow(_losers({k: (v[0], v[1]) for k, v in heads.items()}, min_docs), "doc_id long, pos int")
-    return lost.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    return lost.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped")).select("doc_id", _bitmap("dropped").alias("keep_bitmap"))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and keep_bitmap (zlib over packed bits, 1 for a kept line) of every row."""
-    counted = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    joined = counted.join(dropped_lines(docs, min_chars, min_docs), "doc_id", "left")
-    full = F.coalesce("dropped", F.array().cast("array<int>"))
-    return joined.select("doc_id", F.col("n_lines").cast("long"), F.size(full).cast("long").alias("n_dropped"), _bitmap(full, F.col("n_lines")).alias("keep_bitmap"))
+    """doc_id, n_lines and keep_bitmap of every row (zlib over packed bits, 1 for a kept line, as far as the last dropped
+    one; null where all lines stay)."""
+    counted = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    return counted.join(line_bitmaps(docs, min_chars, min_docs), "doc_id", "left")
 
 
 def _cut(digest: bool):
+    """Applies bitmaps to texts, batch by batch."""
+
     def of(batches):
         for b in batches:
             text = ["" if t is None else t for t in b.column("text").to_pylist()]
             kept, n, lost = [], [], []
-            for t, d in zip(text, b.column("dropped").to_pylist()):
+            for t, bitmap in zip(text, b.column("keep_bitmap").to_pylist()):
                 lines = t.split("\n")
-                gone = {x for x in d or () if x < len(lines)}
+                gone = set(dropped_at(bitmap, len(lines)).tolist()) if bitmap else ()
                 n.append(len(lines))
                 lost.append(len(gone))
                 kept.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
@@ -178,7 +189,7 @@ def _cut(digest: bool):
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with its columns and with repeated lines cut from ``text``; a document may end up empty."""
-    lost = dropped_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "_tl_id")
+    lost = line_bitmaps(docs, min_chars, min_docs).withColumnRenamed("doc_id", "_tl_id")
     touched = docs.join(lost, docs["doc_id"].cast("long") == lost["_tl_id"], "left").drop("_tl_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     cut = touched.mapInArrow(_cut(False), f"{schema}, _tl_kept string")
@@ -188,7 +199,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    joined = docs.join(dropped_lines(docs), "doc_id", "left")
+    joined = docs.join(line_bitmaps(docs), "doc_id", "left")
     return joined.mapInArrow(_cut(True), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
