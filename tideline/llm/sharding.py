@@ -4,13 +4,14 @@ At each level a row draws ``-ln(u) / weight`` for every child of the node it has
 reached, u being a hash of doc_id and the child's name, and goes to the smallest
 draw. A child's draw depends on nothing but the row, its name and its weight, so a
 child whose weight grows only gains rows and one whose weight falls only loses
-some; movement stays in the subtrees whose weights change. :func:`grow` opens a new
-shard beyond full regions in a region of its own, so that the rows which move all
-land in that shard.
+some; movement stays in the subtrees whose weights change. :func:`grow` opens each new
+shard in a region of its own, however many there are, so that the rows which move all
+land in that shard. (A shard added to a region that holds others would raise that region's weight, and
+some of the rows it draws would reach the others.)
 
 Everything is DataFrame expressions. A null doc_id hashes as the text ``null``; a
-null text counts as empty. Rows that repeat get successive slots. Extra columns are
-left out, whatever their names.
+null text counts as empty. Rows that repeat get successive slots (rows with equal doc_id and text in any order). Extra columns are
+left out, whatever their names. A long text is only measured and checksummed.
 """
 
 from __future__ import annotations
@@ -39,6 +40,13 @@ def tree(n_shards: int, weights: dict[int, float] | None = None) -> Tree:
     return out
 
 
+def grow(topology: Tree) -> Tree:
+    """``topology`` with one more shard, alone in a new rack of a new region."""
+    racks = [k for region in topology.values() for k in region]
+    shards = [s for region in topology.values() for rack in region.values() for s in rack]
+    return topology | {f"g{len(topology)}": {f"k{len(racks)}": {len(shards): 1.0}}}
+
+
 def _unit(name: Column, key: Column) -> Column:
     """A uniform draw in (0, 1) for the node ``name``; the top 52 bits of an MD5."""
     bits = F.conv(F.substring(F.md5(F.concat(name, F.lit(":"), key)), 1, 13), 16, 10).cast("double")
@@ -75,26 +83,28 @@ def assign(df: DataFrame, key: Column, topology: Tree, out: str) -> DataFrame:
     return df.drop(k, g, r)
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+def shard_documents(docs: DataFrame, topology: Tree | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     Slots number a shard's rows without gaps in the order of MD5(doc_id). A shard is
     numbered in chunks of that order: chunk sizes give each chunk its first slot, so no
     task ever holds a whole shard.
     """
+    topology = tree(N_SHARDS) if topology is None else topology
+    n_shards = sum(len(rack) for region in topology.values() for rack in region.values())
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce(F.col("text"), F.lit(""))
     chunks = max(4, math.ceil(docs.count() / n_shards / ROWS_PER_CHUNK))
     order = F.md5(key)
     chunk = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * chunks / float(1 << 32)).cast("int")
-    placed = assign(docs.select("doc_id", "text"), key, tree(n_shards), "shard").withColumn("_tl_chunk", chunk)
+    placed = assign(docs.select("doc_id", "text"), key, topology, "shard").withColumn("_tl_chunk", chunk)
     first = F.sum("_tl_n").over(W.Window.partitionBy("shard").orderBy("_tl_chunk").rowsBetween(W.Window.unboundedPreceding, -1))
     starts = placed.groupBy("shard", "_tl_chunk").agg(F.count("*").alias("_tl_n")).select("shard", "_tl_chunk", F.coalesce(first, F.lit(0)).alias("_tl_first"))
     rows = placed.select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.lit("key").alias("law"), "shard", "_tl_chunk", order.alias("_tl_order"),
     )
-    rows = assign(rows, key, tree(n_shards + 1), "grown_shard")
+    rows = assign(rows, key, grow(topology), "grown_shard")
     within = F.row_number().over(W.Window.partitionBy("shard", "_tl_chunk").orderBy("_tl_order", "text_crc32"))
     return rows.join(starts, ["shard", "_tl_chunk"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("_tl_first") + within - 1).cast("long").alias("slot"), "grown_shard")
 
@@ -108,8 +118,7 @@ def _sql_pick(children: dict, prefix: str) -> str:
     return f"list_min([{draws}])['c']"
 
 
-def _sql_shard(n: int) -> str:
-    t = tree(n)
+def _sql_shard(t: Tree) -> str:
     region = _sql_pick({g: sum(sum(x.values()) for x in racks.values()) for g, racks in t.items()}, "")
     rack = "CASE g " + " ".join(f"WHEN '{g}' THEN {_sql_pick({m: sum(x.values()) for m, x in racks.items()}, '')}" for g, racks in t.items()) + " END"
     shard = "CASE r " + " ".join(f"WHEN '{m}' THEN {_sql_pick(x, 's')}" for racks in t.values() for m, x in racks.items()) + " END"
@@ -118,7 +127,7 @@ def _sql_shard(n: int) -> str:
 
 ORACLE = f"""
 WITH keys AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
-now AS ({_sql_shard(N_SHARDS)}), grown AS ({_sql_shard(N_SHARDS + 1)}),
+now AS ({_sql_shard(tree(N_SHARDS))}), grown AS ({_sql_shard(grow(tree(N_SHARDS)))}),
 steps AS (SELECT list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c, i FROM range(256) t(i)),
 crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps),
 crc AS (SELECT doc_id, coalesce(text, '') AS text,
