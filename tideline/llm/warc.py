@@ -11,7 +11,7 @@ with Spark's text writer (every record ends in two line ends, which is its line
 Defined cases: a null html is an empty payload; a null url becomes ``unknown:``, white space in
 one is percent-encoded; a null page_id gives a response of its own; rows that repeat a page_id are
 all of that page's type; payloads under ``MIN_REVISIT`` bytes are always responses; extra columns
-are left out.
+are left out. A long payload is held whole by the task that converts or reads it, never in parts.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import dealt_join, shared_path, stored
 
 MIN_REVISIT, RECORDS_PER_FILE = 100, 2000
 END = b"\r\n\r\n"
@@ -39,6 +39,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KEY_HEADER = b"X-Source-Key"
+#: Our own header fields of revisits: the key of the page whose record they refer to, and the bytes of the payload left out.
+REFERS_FIELD, BYTES_FIELD = "X-Refers-To-Key", "X-Payload-Length"
 
 
 @dataclass(frozen=True)
@@ -119,7 +121,7 @@ def to_warc(arc: ArcRecord, first_key: str | None) -> bytes:
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if first_key is not None:
-        lines += [f"WARC-Refers-To: {record_id(first_key)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(first_key)}", f"WARC-Profile: {REVISIT_PROFILE}", f"{REFERS_FIELD}: {first_key}", f"{BYTES_FIELD}: {len(payload)}"]
     return "\r\n".join(lines).encode() + END + block
 
 
@@ -149,11 +151,17 @@ def _converted(batches):
 
 
 def write_archive(pages: DataFrame, path: str) -> None:
-    """Archives of all pages under ``path``; equal payloads are stored once."""
+    """Archives of all pages under ``path``; equal payloads are stored once.
+
+    Only pages whose payload another page repeats are joined with its first page, a hot payload's over several tasks."""
     p = pages.select(F.col("page_id").cast("long"), "url", "html", F.when(F.octet_length("html") >= MIN_REVISIT, F.unhex(F.sha2("html", 256))).alias("digest"))
-    firsts = p.where("digest IS NOT NULL AND page_id IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    able = F.col("digest").isNotNull() & F.col("page_id").isNotNull()
+    firsts = p.where(able).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts)
     first = F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first")
-    records = p.join(firsts, "digest", "left").select("page_id", "url", "html", first).mapInArrow(_converted, "record binary")
+    large = dealt_join(p.where(able), firsts.drop("n"), ["digest"], "page_id", firsts, "left").select("page_id", "url", "html", first)
+    small = p.where(~able).select("page_id", "url", "html", F.lit(None).cast("long").alias("first"))
+    records = large.unionByName(small).mapInArrow(_converted, "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))
     text.write.option("compression", "gzip").option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
@@ -184,7 +192,7 @@ def _inflated(data: bytes) -> bytes:
     return b"".join(out)
 
 
-_READ = pa.schema([("key", pa.string()), ("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("bytes", pa.int64())])
+_READ = pa.schema([("key", pa.string()), ("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("refers_key", pa.string()), ("digest", pa.string()), ("bytes", pa.int64())])
 
 
 def _records(batches):
@@ -198,27 +206,25 @@ def _records(batches):
                 digest = hashlib.sha256(payload).hexdigest() if whole else declared
                 if digest != declared:
                     raise ValueError(f"payload digest of {f['warc-record-id']}")
-                rows.append((http_field(head, KEY_HEADER), f["warc-record-id"], f["warc-type"], f.get("warc-refers-to"), digest, len(payload) if whole else None))
+                rows.append((http_field(head, KEY_HEADER), f["warc-record-id"], f["warc-type"], f.get("warc-refers-to"), f.get(REFERS_FIELD.lower()), digest, len(payload) if whole else int(f.get(BYTES_FIELD.lower(), -1))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _READ)], schema=_READ)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """key, record_id, type, refers_to (a record_id), digest and bytes of the payload (null for revisits) of every record."""
+    """key, record_id, type, refers_to (a record_id), refers_key (a key), digest and bytes of the payload of every record; -1 bytes for revisits that don't tell."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_records, "key string, record_id string, type string, refers_to string, digest string, bytes long")
+    return files.mapInArrow(_records, "key string, record_id string, type string, refers_to string, refers_key string, digest string, bytes long")
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to (a page_id); revisits take the bytes of their response."""
-    whole = records.where("type = 'response' AND key <> ''").groupBy(F.col("record_id").alias("target")).agg(F.max("bytes").alias("full"), F.max("key").alias("owner"))
-    r = records.join(whole, records["refers_to"] == whole["target"], "left")
+    """page_id, payload_bytes, payload_digest, record_type and refers_to (a page_id), all from the records' own fields."""
     page = F.when(F.col("key") != "", F.col("key")).cast("long")
-    return r.select(page.alias("page_id"), F.coalesce("bytes", "full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("owner").cast("long").alias("refers_to"))
+    return records.select(page.alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_key").cast("long").alias("refers_to"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return resolved(read_archive(spark, path))
 
