@@ -1,19 +1,20 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 An item counts as leaked into a document that holds at least ``percent`` percent of the
-item's distinct shingles. Items are split into size classes (doubling shingle counts). An
-item's sketch is its k smallest shingle hashes, k being one more than the shingles which a
-leaked item of its class may lack; so every leaked item shows at least one hash of its
-sketch, and the sketch never misses. In each class the hashes lie below a ceiling (the largest
-one in its sketches); documents only put forward shingles below the highest ceiling, find
-sketch hits among them, and each hit is then verified on the full shingle sets.
+item's distinct shingles. Items are split into size classes (doubling shingle counts), and each class has
+a sketch length of its own: one hash more than the shingles which a leaked item of the class's largest size may lack.
+An item's sketch is that many of its smallest shingle hashes, so every leaked item shows at least one hash of its
+sketch, and the sketch never misses. The sketches of a class lie below the class's ceiling, which falls as sizes grow; a
+document searches each class with its shingles below that class's ceiling only, and each hit is then verified on
+the full shingle sets.
 
 The item table is counted first: up to ``MAX_BROADCAST`` bytes of shingles its sketches and
 sets go to the tasks, above that the same two steps run as shuffled joins.
 
 Defined cases: null or blank texts hold nothing; items of fewer than ``width`` words are one
-shingle; rows with a null item_id or doc_id take no part (and stay); repeated rows give a pair once;
-extra columns are left out by :func:`leaks` and kept by :func:`drop_leaked`.
+shingle, which only documents of just these words hold (a phrase so short isn't taken for a leak inside a longer text); rows with a null item_id or doc_id take no part (and stay); repeated rows give a pair once;
+extra columns are left out by :func:`leaks` and kept by :func:`drop_leaked`; a long text's shingles are
+held by one task at a time.
 """
 
 from __future__ import annotations
@@ -47,18 +48,30 @@ def _rank(h):
     return F.col(h).bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def size_class(n):
+    """0 for one shingle, 1 for two and three, and so on."""
+    return F.floor(F.log2(n.cast("double"))).cast("int")
+
+
 def sketches(grams: DataFrame, percent: int) -> DataFrame:
-    """The sketch rows (item_id, h, n) of all item shingles (item_id, h, n)."""
-    size_class = F.floor(F.log2(F.col("n").cast("double")))
-    most = F.least(F.col("n"), F.pow(F.lit(2.0), size_class + 1).cast("long") - 1)
-    k = F.floor(most * (100 - percent) / 100) + 1
+    """The sketch rows (item_id, h, n, size_class) of all item shingles (item_id, h, n)."""
+    largest = F.shiftleft(F.lit(2).cast("long"), size_class(F.col("n"))) - 1
+    length = F.floor(largest * (100 - percent) / 100) + 1
     place = F.row_number().over(W.Window.partitionBy("item_id").orderBy(_rank("h")))
-    return grams.withColumn("k", k).withColumn("place", place).where("place <= k").select("item_id", "h", "n")
+    return grams.withColumn("place", place).where(F.col("place") <= length).select("item_id", "h", "n", size_class(F.col("n")).alias("size_class"))
+
 
+def _search(ids: list, sizes: np.ndarray, items: np.ndarray, hashes: np.ndarray, classes: list[tuple[np.ndarray, np.ndarray]], width: int, percent: int):
+    """Documents against sketches (hashes in order and their items, by size class) and sets that every task holds."""
 
-def _search(ids: list, sizes: np.ndarray, items: np.ndarray, hashes: np.ndarray, sketch_h: np.ndarray, sketch_item: np.ndarray, width: int, percent: int):
-    """Documents against sketches and sets that every task holds; both sorted by hash."""
-    ceiling = sketch_h[-1] if len(sketch_h) else np.uint64(0)
+    def candidates(sh: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
+        found = set()
+        for sketch, item in classes:
+            low = np.flatnonzero(sh <= sketch[-1])
+            a, b = np.searchsorted(sketch, sh[low], "left"), np.searchsorted(sketch, sh[low], "right")
+            for i in np.flatnonzero(b > a):
+                found.update((int(owner[low[i]]), int(x)) for x in item[a[i] : b[i]])
+        return found
 
     def of(batches):
         for b in batches:
@@ -66,19 +79,15 @@ def _search(ids: list, sizes: np.ndarray, items: np.ndarray, hashes: np.ndarray,
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 sh, offsets = sets_of(part.column(1), width)
-                if not len(sketch_h) or not len(sh):
-                    continue
                 owner = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-                low = sh <= ceiling
-                place = np.searchsorted(sketch_h, sh[low])
-                seen = np.unique(owner[low][sketch_h[np.minimum(place, len(sketch_h) - 1)] == sh[low]])
-                for d in seen:
-                    own = sh[offsets[d] : offsets[d + 1]]
-                    likely = np.unique(sketch_item[np.isin(sketch_h, own)])
-                    count = np.bincount(items[np.isin(hashes, own)], minlength=len(ids))
-                    for i in likely:
+                likely: dict[int, list[int]] = {}
+                for d, i in candidates(sh, owner):
+                    likely.setdefault(d, []).append(i)
+                for d, wanted in sorted(likely.items()):
+                    count = np.bincount(items[np.isin(hashes, sh[offsets[d] : offsets[d + 1]])], minlength=len(ids))
+                    for i in sorted(wanted):
                         if 100 * count[i] >= percent * sizes[i]:
-                            docs.append(at + int(d)), found.append(ids[i]), hit.append(int(count[i])), of_n.append(int(sizes[i]))
+                            docs.append(at + d), found.append(ids[i]), hit.append(int(count[i])), of_n.append(int(sizes[i]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())), pa.array(found, pa.int64()), pa.array(of_n, pa.int64()), pa.array(hit, pa.int64())], names=["doc_id", "item_id", "n_item", "n_shared"])
 
     return of
@@ -97,12 +106,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: in
         sizes[at] = g["n"].to_numpy()
         h, sh = g["h"].to_numpy().view(np.uint64), s["h"].to_numpy().view(np.uint64)
         order, by = np.argsort(h), np.argsort(sh)
-        item = np.searchsorted(ids, s["item_id"].to_numpy())
-        run = _search(ids.tolist(), sizes, at[order], h[order], sh[by], item[by], width, percent)
+        item, kind = np.searchsorted(ids, s["item_id"].to_numpy())[by], s["size_class"].to_numpy()[by]
+        classes = [(sh[by][kind == x], item[kind == x]) for x in np.unique(kind)]
+        run = _search(ids.tolist(), sizes, at[order], h[order], classes, width, percent)
         return texts.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long").distinct()
-    ceiling = sketched.agg(F.max(_rank("h")).alias("m")).collect()[0].m  # one row
+    ceilings = sketched.groupBy("size_class").agg(F.max(_rank("h")).alias("m")).collect()  # a row per size class, 63 at most
     owned = texts.mapInArrow(_exploded(width, ("doc_id", "h")), "doc_id long, h long, n long").select("doc_id", "h")
-    hits = stored(owned.where(_rank("h") <= F.lit(ceiling)).join(sketched, "h").select("doc_id", "item_id").distinct())
+    below = F.array_compact(F.array(*[F.when(_rank("h") <= F.lit(r.m), F.lit(r.size_class)) for r in ceilings]))
+    asked = owned.select("doc_id", "h", F.explode(below).alias("size_class")) if ceilings else owned.withColumn("size_class", F.lit(0)).limit(0)
+    hits = stored(asked.join(sketched, ["size_class", "h"]).select("doc_id", "item_id").distinct())
     wanted = hits.join(grams, "item_id")
     full = wanted.join(owned, ["doc_id", "h"]).groupBy("doc_id", "item_id", F.col("n").alias("n_item")).agg(F.countDistinct("h").alias("n_shared"))
     return full.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
