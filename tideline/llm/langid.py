@@ -8,7 +8,8 @@ order. N-grams live in a hash space of 2**16 cells. Profiles hold PROFILE rows a
 language; more than ``MAX_LANGUAGES`` labels raise an error, so what goes to the tasks is bounded.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text
-if nothing was learned; rows with a null lang teach nothing; doc_id null counts as ''.
+if nothing was learned; rows with a null lang teach nothing; doc_id null counts as ''; equal distances go to the
+first language and equal counts to the lower cell; extra columns are left out; a long text costs a few arrays of its length.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ _LETTER: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _LETTER:
-        _LETTER.append(np.array([chr(i).isalpha() for i in range(0x30000)] + [False] * (0x110000 - 0x30000)))
+        _LETTER.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _LETTER[0]
 
 
