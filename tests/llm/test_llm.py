@@ -61,7 +61,7 @@ def test_line_dedup(docs, empty):
             if d is not None and len(key(x)) >= 20:
                 held.setdefault(key(x), set()).add(d)
     lost = {k: max(v) for k, v in held.items() if len(v) >= 3}
-    got = by_id(docs.select("doc_id", "text").join(line_dedup.dropped_lines(docs), "doc_id", "left").mapInArrow(line_dedup._cut(True), "doc_id long, n_lines long, n_dropped long, kept_sha256 string"))
+    got = by_id(docs.select("doc_id", "text").join(line_dedup.line_bitmaps(docs), "doc_id", "left").mapInArrow(line_dedup._cut(True), "doc_id long, n_lines long, n_dropped long, kept_sha256 string"))
     for d, t, *_ in rows():
         if d is not None:
             lines = (t or "").split("\n")
@@ -70,6 +70,12 @@ def test_line_dedup(docs, empty):
     assert len(lost) >= 1
     maps = by_id(line_dedup.keep_bitmaps(docs))
     assert np.unpackbits(np.frombuffer(zlib.decompress(maps[8].keep_bitmap), np.uint8))[:2].tolist() == [0, 1]
+    for d, t, *_ in rows():
+        if d is not None:
+            lines = (t or "").split("\n")
+            gone = [i for i, x in enumerate(lines) if lost.get(key(x), d) != d]
+            bitmap = maps[d].keep_bitmap
+            assert maps[d].n_lines == len(lines) and (line_dedup.dropped_at(bitmap, len(lines)).tolist() if bitmap else []) == gone
     cut = line_dedup.drop_lines(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert cut.where("doc_id = 0").first().text is None
@@ -192,7 +198,7 @@ def test_wavelet_tree_ranks(values):
 
 
 def test_sharding(docs, empty):
-    got = sharding.shard_documents(docs, 7).collect()
+    got = sharding.shard_documents(docs, sharding.tree(7)).collect()
     assert len(got) == len(rows())
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
@@ -202,11 +208,22 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_growth_moves_rows_into_the_new_shard_only(spark):
-    got = sharding.shard_documents(spark.range(4000).selectExpr("id AS doc_id", "'x' AS text")).collect()
+@pytest.mark.parametrize("base, grown", [(40, 0), (40, 1), (40, 2), (7, 0), (1, 0)])
+def test_growth_moves_rows_into_the_new_shard_only(spark, base, grown):
+    t = sharding.tree(base)
+    for _ in range(grown):
+        t = sharding.grow(t)
+    got = sharding.shard_documents(spark.range(4000).selectExpr("id AS doc_id", "'x' AS text"), t).collect()
     moved = [r for r in got if r.shard != r.grown_shard]
-    assert moved and {r.grown_shard for r in moved} == {40}
-    assert {r.shard for r in got} == set(range(40))
+    assert moved and {r.grown_shard for r in moved} == {base + grown}
+    assert {r.shard for r in got} == set(range(base + grown))
+
+
+def test_slots_of_tied_rows(spark):
+    d = spark.createDataFrame([(5, "a")] * 4 + [(5, "b"), (5, None), (None, "a"), (None, "a")], "doc_id long, text string")
+    got = sharding.shard_documents(d).collect()
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
 def test_weight_changes_stay_in_their_subtree(spark):
@@ -285,6 +302,28 @@ def test_prefix_pairs_lose_no_link(spark):
     assert got == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 5 != b % 5 and j(sets[a], sets[b])}
 
 
+def test_components_of_odd_edges(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert components(none).count() == 0
+    e = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (None, 3), (4, None), (9, 8)], "a long, b long")
+    assert {r.node: r.comp for r in components(e).collect()} == {1: 1, 2: 1, 8: 8, 9: 8}
+
+
+def test_components_of_a_hub(spark):
+    e = spark.range(1, 5001).selectExpr("0L AS a", "id AS b").union(spark.range(1).selectExpr("7L AS a", "90000L AS b"))
+    got = components(e)
+    assert got.count() == 5002 and got.where("comp <> 0").count() == 0
+
+
+def test_dealt_join_equals_a_join(spark):
+    rows_ = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN id % 50 END AS k", "id AS v")
+    table = spark.range(40).selectExpr("id AS k", "id * 10 AS w")
+    n = rows_.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = common.dealt_join(rows_, table, ["k"], "v", n, how)
+        assert sorted(got.select("k", "v", "w").collect(), key=str) == sorted(rows_.join(table, ["k"], how).select("k", "v", "w").collect(), key=str)
+
+
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50, 80)] + [(7, 5), (5, 9)], "a long, b long")
     got = {r.node: r.comp for r in components(e).collect()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that the contracts name, as bytes and as a Java class.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -68,6 +70,25 @@ def bucketed(df: DataFrame, by: str, n: int) -> DataFrame:
     return spark.table(name)
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, whose ``on`` values are unique, with a hot value's rows dealt over several tasks.
+
+    ``counts`` (on, n) tells how many rows each value has. Values with more than a thousandth of all rows are hot: at most a
+    thousand of them, whose list goes to all tasks. A hot value's rows are salted by ``by``, and its table row is repeated for each salt.
+    """
+    spark = rows.sparkSession
+    per = max(1000, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) / 1000))
+    hot = counts.where(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("_tl_m"))
+    found = hot.limit(1001).collect()
+    if not found:
+        return rows.join(table, on, how)
+    listed = F.broadcast(spark.createDataFrame(found, hot.schema))
+    many = F.coalesce("_tl_m", F.lit(1))
+    left = rows.join(listed, on, "left").withColumn("_tl_salt", F.pmod(F.xxhash64(by), many).cast("int")).drop("_tl_m")
+    right = table.join(listed, on, "left").withColumn("_tl_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_tl_m")
+    return left.join(right, [*on, "_tl_salt"], how).drop("_tl_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dealt_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,19 +17,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then the label of that
     label, so chains shorten by half a round; labels are written to a table every round.
-    Edges are pointed from the end with more of them to the other one before labels are looked up: a hub's
-    neighbours look up the hub's label, which a task does once for its rows (labels are unique, and skewed
-    partitions of the edge side are split), and what they send to the hub is combined to one
-    minimum per task before the shuffle.
+    The edges of a hub are dealt over several tasks where its label is looked up, and minima are combined before the
+    shuffle, so a node with very many edges costs no task more. Where many nodes look up one label's label, they are dealt likewise.
     """
     some = edges.where("a IS NOT NULL AND b IS NOT NULL")
     both = stored(some.select("a", "b").union(some.select("b", "a")).distinct())
+    degree = stored(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
+    sent = both.select("a", F.col("b").alias("node"))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("low"))
-        own = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("via"))
+        near = dealt_join(sent, labels, ["node"], "a", degree).groupBy("a").agg(F.min("comp").alias("low"))
+        own = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("via")))
         target = labels.select(F.col("node").alias("via"), F.col("comp").alias("jump"))
-        found = stored(own.join(target, "via").select("node", "old", F.least("via", "jump").alias("comp")))
+        found = dealt_join(own, target, ["via"], "node", own.groupBy("via").agg(F.count("*").alias("n")))
+        found = stored(found.select("node", "old", F.least("via", "jump").alias("comp")))
         labels = found.select("node", "comp")
         if not found.where("comp <> old").limit(1).count():
             return labels

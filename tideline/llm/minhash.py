@@ -10,7 +10,8 @@ bucket's smallest member, until no bucket has an untested pair across components
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; one or two
 words form one shingle; a null doc_id takes no part and is its own component; rows that
-repeat a doc_id with the same text are one document; extra columns are left out.
+repeat a doc_id with the same text are one document; extra columns are left out; a long text's set is held by one
+task at a time, as eight bytes a shingle.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from .common import BASE, LOWER, dealt_join, documents, mix, slice_hashes, stored, text_bytes, words
 from .components import components
-from .common import BASE, LOWER, documents, mix, slice_hashes, stored, text_bytes, words
 
 WIDTH, PERCENT = 3, 85
 N_PERMUTATIONS, ROWS = 120, 6  # 240 values in 40 bands: a pair at 0.85 misses all of them once in 10**8
@@ -136,60 +138,52 @@ def _confirmed(percent: int):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; sizes that rule it out go first."""
+    """The pairs (a, b) whose full sets reach the similarity; sizes that rule it out go first.
+
+    Sizes are joined before sets are. A set that many pairs share (a large cluster's pivot) is sent to each of several tasks, which share its pairs."""
+    n = sets.select("id", F.octet_length("sh").alias("n"))
+    many = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n"))
+    sized = dealt_join(pairs, n.select(F.col("id").alias("a"), F.col("n").alias("n_a")), ["a"], "b", many(pairs, "a"))
+    sized = dealt_join(sized, n.select(F.col("id").alias("b"), F.col("n").alias("n_b")), ["b"], "a", many(pairs, "b"))
+    near = stored(sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b"))
     left = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
-    size = [F.octet_length("x"), F.octet_length("y")]
-    near = pairs.join(right, "b").join(left, "a").where(F.least(*size) * 100 >= F.greatest(*size) * percent)
-    return near.mapInArrow(_confirmed(percent), "a long, b long")
+    full = dealt_join(dealt_join(near, right, ["b"], "a", many(near, "b")), left, ["a"], "b", many(near, "a"))
+    return full.mapInArrow(_confirmed(percent), "a long, b long")
 
 
-SKETCH_BITS = 18
-
-
-def _sketched(batches):
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+def _tokens(batches):
     for b in batches:
-        for sh in b.column("sh"):
-            total += np.bincount((np.frombuffer(sh.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-
-
-def _prefixes(counts: np.ndarray, percent: int):
-    def of(batches):
-        for b in batches:
-            ids, comps, tokens, sizes, places = [], [], [], [], []
-            for i, c, sh in zip(b.column("id").to_pylist(), b.column("comp").to_pylist(), b.column("sh")):
-                sh = np.frombuffer(sh.as_buffer(), np.uint64)
-                n = len(sh)
-                k = n - (percent * n + 99) // 100 + 1
-                order = np.lexsort((sh, counts[(sh >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:k]
-                ids.append(np.full(k, i)), comps.append(np.full(k, c)), tokens.append(sh[order].view(np.int64)), sizes.append(np.full(k, n)), places.append(np.arange(k))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, ids, comps, sizes, places)], names=["token", "id", "comp", "n", "p"])
-
-    return of
+        of, sh = [], []
+        for i, x in enumerate(b.column("sh")):
+            own = np.frombuffer(x.as_buffer(), np.int64)
+            of.append(np.full(len(own), i)), sh.append(own)
+        if of:
+            at = np.concatenate(of)
+            size = np.array([len(x) for x in sh])[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh)), b.column("id").take(pa.array(at)), b.column("comp").take(pa.array(at)), pa.array(size)], names=["token", "id", "comp", "n"])
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of rows (id, comp, sh) in different components that can reach the similarity.
 
     Two sets that similar share one of the first n - ceil(n * percent / 100) + 1 shingles of
-    any common order; rare shingles come first here, by a count sketch of fixed size. Pairs
+    any common order; rare shingles come first here, by their exact counts over ``sets``. Pairs
     meet at a shingle only if one of them lies outside the shingle's largest component, so
     a large component is never joined with itself.
     """
-    counted = sets.select("sh").mapInArrow(_sketched, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in counted.collect():  # at most 2 ** SKETCH_BITS cells
-        counts[r.cell] = r.n
-    rows = stored(sets.select("id", "comp", "sh").mapInArrow(_prefixes(counts, percent), "token long, id long, comp long, n long, p long"))
+    c = F.col
+    all_ = stored(sets.select("id", "comp", "sh").mapInArrow(_tokens, "token long, id long, comp long, n long"))
+    held = stored(all_.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))  # a shingle of one set makes no pair
+    ranked = dealt_join(all_, held.select("token", c("n").alias("held")), ["token"], "id", held, "left")
+    place = F.row_number().over(W.Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(1)), "token")) - 1
+    rows = ranked.withColumn("p", place).where(c("p") <= c("n") - F.ceil(c("n") * percent / 100)).where("held IS NOT NULL").drop("held")
+    rows = stored(rows)
     per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    largest = per.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("m")).where("m > 1").select("token", "main")
-    met = rows.join(largest, "token")
+    largest = per.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("m"), F.sum("k").alias("n")).where("m > 1")
+    largest = stored(largest.select("token", "main", "n"))
+    met = stored(dealt_join(rows, largest.select("token", "main"), ["token"], "id", largest))
     l, r = met.where("comp <> main").alias("l"), met.alias("r")
-    c = F.col
     least = F.floor((percent * (c("l.n") + c("r.n")) + 99 + percent) / (100 + percent))
     can = (c("l.comp") != c("r.comp")) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent) & (F.least(c("l.n") - c("l.p"), c("r.n") - c("r.p")) >= least)
     return l.join(r, (c("l.token") == c("r.token")) & can).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
@@ -200,25 +194,29 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stored(texts.mapInArrow(_signatures(width, n_permutations, rows), "doc_id long, n long, s1 long, s2 long, bands array<long>"))
     some = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = signed.where(some).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = stored(signed.drop("bands").join(classes, ["s1", "s2"], "left").select("doc_id", "n", F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")))
+    classes = stored(signed.where(some).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    own = dealt_join(signed.where(some).drop("bands"), classes.drop("n"), ["s1", "s2"], "doc_id", classes)
+    alone = signed.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("rep"))
+    members = stored(own.select("doc_id", "n", "rep").unionByName(alone))
     reps = classes.select(F.col("rep").alias("doc_id"))
     banded = signed.where(some).select("doc_id", "bands").join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     buckets = stored(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count("*").alias("m")).where("pivot < top"))
-    met = stored(banded.join(buckets.select("key", "pivot", "m"), "key"))
+    met = stored(dealt_join(banded, buckets.select("key", "pivot", "m"), ["key"], "id", buckets.select("key", F.col("m").alias("n"))))
     stars = stored(met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     ids = met.select("id").distinct()
     sets = stored(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_set_rows(width), "id long, sh binary"))
     linked = stored(confirm(stars, sets, percent))
     comps = components(linked)
     open_ = met.where("m > 2").join(comps, met["id"] == comps["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    split = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    again = stored(open_.join(split, "key").select("id", "comp").distinct())
+    open_ = stored(open_)
+    split = stored(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    again = stored(dealt_join(open_, split.select("key"), ["key"], "id", split).select("id", "comp").distinct())
     pairs = prefix_pairs(sets.join(again, "id"), percent)
     more = stored(confirm(pairs, sets, percent))
     if more.limit(1).count():
         comps = components(linked.union(more))
-    found = members.join(comps, members["rep"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    rep = comps.withColumnRenamed("node", "rep")
+    found = dealt_join(members, rep, ["rep"], "doc_id", members.groupBy("rep").agg(F.count("*").alias("n")), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
