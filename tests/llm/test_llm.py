@@ -402,6 +402,104 @@ def test_sampling_follows_the_weights():
     assert pieces.decode_ids(v, ids) == b"ab" * n
 
 
+def all_paths(v, text):
+    """Every segmentation of a short text into pieces, with its weight."""
+    held = {}
+    for i, (start, size) in enumerate(zip(v.start, v.size)):
+        if size and i not in set(v.byte_ids.tolist()):
+            held.setdefault(v.blob[start : start + size].tobytes(), i)
+    out, todo = {}, [(0, (), 0.0)]
+    while todo:
+        at, path, weight = todo.pop()
+        if at == len(text):
+            out[path] = weight
+            continue
+        char = next(n for n in range(1, 5) if at + n == len(text) or (text[at + n] & 0xC0) != 0x80)
+        for n in range(1, len(text) - at + 1):
+            if (i := held.get(text[at : at + n])) is not None:
+                todo.append((at + n, (*path, i), weight + v.weights[i]))
+        if text[at : at + char] not in held:
+            ids = v.byte_ids[list(text[at : at + char])].tolist()
+            todo.append((at + char, (*path, *ids), weight + sum(v.weights[j] for j in ids)))
+    return out
+
+
+@pytest.mark.parametrize("text", ["thing", " over", "añb", "☃x"])
+def test_sampling_over_all_paths_of_the_vocabulary(text):
+    v = pieces.Vocabulary.load()
+    data, n = text.encode(), 20_000
+    want = all_paths(v, data)
+    total = sum(np.exp(w) for w in want.values())
+    starts = np.arange(n) * len(data)
+    ids, offsets = pieces.sample(v, np.frombuffer(data * n, np.uint8), starts, starts + len(data), common.mix(np.arange(n, dtype=np.uint64)), 3)
+    got = {}
+    for x, y in zip(offsets[:-1], offsets[1:]):
+        got[tuple(ids[x:y].tolist())] = got.get(tuple(ids[x:y].tolist()), 0) + 1
+    assert set(got) <= set(want)
+    for path, w in want.items():
+        share = np.exp(w) / total
+        assert abs(got.get(path, 0) / n - share) < 4 * np.sqrt(share * (1 - share) / n) + 1e-4
+
+
+def test_samples_do_not_depend_on_batches():
+    v = pieces.Vocabulary.load()
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["reading", "Überlauf", "日本語", "x1y2", "antionhare"], 9)).encode() for _ in range(60)] + [b"q7" * 900]
+    keys = common.mix(np.arange(len(texts), dtype=np.uint64))
+
+    def run(at):
+        size = np.array([len(texts[i]) for i in at])
+        starts = np.cumsum(size) - size
+        ids, offsets = pieces.sample(v, np.frombuffer(b"".join(texts[i] for i in at), np.uint8), starts, starts + size, keys[at], 5)
+        return [ids[x:y].tolist() for x, y in zip(offsets[:-1], offsets[1:])]
+
+    whole = run(list(range(len(texts))))
+    assert [x for i in range(0, len(texts), 3) for x in run(list(range(i, min(i + 3, len(texts)))))] == whole
+
+
+def test_long_parts_follow_the_weights_too(monkeypatch):
+    v = pieces.Vocabulary.load()
+    n = 3000
+    data, starts = np.frombuffer(b"things" * n, np.uint8), np.arange(n) * 6
+    keys = common.mix(np.arange(n, dtype=np.uint64))
+    short = pieces.sample(v, data, starts, starts + 6, keys, 1)
+    monkeypatch.setattr(pieces, "LONG_PART", 2)
+    long_ = pieces.sample(v, data, starts, starts + 6, keys, 1)
+    assert (short[0] == long_[0]).mean() > 0.999 and (short[1] == long_[1]).mean() > 0.999
+
+
+def test_langid_equals_brute_force(spark):
+    train = [("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("le chat", "fr"), ("zzz", None), (None, "en")]
+    langs, ranks = langid.profiles(spark.createDataFrame(train, "text string, lang string"), 20)
+    assert langs == ["de", "en", "fr"]
+
+    def ranked(texts):
+        count = {}
+        for t in texts:
+            for cell in langid.gram_cells(t).tolist():
+                count[cell] = count.get(cell, 0) + 1
+        return sorted(count, key=lambda x: (-count[x], x))[:20]
+
+    tables = {x: ranked([t for t, lang in train if lang == x and t]) for x in langs}
+    asked = ["the hat", "die maus", "le chien et le chat", "the hat", "", None, "12 !", "𰀁", "q" * 5000, "le die the"]
+    df = spark.createDataFrame([(i, t, False, "x") for i, t in enumerate(asked)], "doc_id long, text string, held_out boolean, lang_pred string")
+    got = {r.doc_id: r for r in langid.identify(df, langs, ranks, 20).collect()}
+    for i, t in enumerate(asked):
+        own = ranked([t]) if t else []
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        apart = {x: sum(abs(k - tables[x].index(c)) if c in tables[x] else 20 for k, c in enumerate(own)) for x in langs}
+        best = min(langs, key=lambda x: (apart[x], x))
+        assert got[i].lang_pred == best and abs(got[i].score - (1 - apart[best] / (20 * len(own)))) < 1e-9
+    assert got[7].lang_pred != "und"
+
+
+def test_langid_query_over_an_empty_table(spark, tmp_path, empty):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["op10_langid"](spark, str(tmp_path)).count() == 0
+
+
 def test_langid_on_held_out_documents(spark, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = registry.QUERIES["op10_langid"](spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -432,3 +530,19 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = common.stored(stage(spark, none, sf))
     assert none.count() == 0
+
+
+def test_quality_removes_failing_lines(spark):
+    prose = [" ".join(f"word{9 * i + j}" for j in range(9)) + "." for i in range(12)]
+    text = "\n".join([*prose[:5], "", "Home | News | About | Contact | Search", "Read more about all of these things right here.", *prose[5:], "  "])
+    want = "\n".join([*prose[:5], "", *prose[5:], "  "])
+    df = spark.createDataFrame([(1, text, len(text), "x"), (2, "\n".join(prose), 7, "y"), (3, "a b", 3, "z"), (4, None, None, "z")], "doc_id long, text string, n_chars int, tag string")
+    got = {r.doc_id: (r.text, r.n_chars, r.tag) for r in quality.keep_quality(df).collect()}
+    assert got == {1: (want, len(want), "x"), 2: ("\n".join(prose), len("\n".join(prose)), "y")}
+    assert quality.keep_quality(df).dtypes == df.dtypes
+
+
+def test_final_mark_before_many_blanks(spark):
+    prose = " ".join(f"word{i}" for i in range(80)) + "."
+    df = spark.createDataFrame([(1, f"{prose}\nIt ends here.{' ' * 60}\nNo end{chr(9) * 60}")], "doc_id long, text string")
+    assert quality.keep_quality(df).first().text == f"{prose}\nIt ends here.{' ' * 60}"

@@ -55,7 +55,7 @@ def size_class(n):
 
 def sketches(grams: DataFrame, percent: int) -> DataFrame:
     """The sketch rows (item_id, h, n, size_class) of all item shingles (item_id, h, n)."""
-    largest = F.shiftleft(F.lit(2).cast("long"), size_class(F.col("n"))) - 1
+    largest = F.pow(F.lit(2.0), size_class(F.col("n")) + 1).cast("long") - 1
     length = F.floor(largest * (100 - percent) / 100) + 1
     place = F.row_number().over(W.Window.partitionBy("item_id").orderBy(_rank("h")))
     return grams.withColumn("place", place).where(F.col("place") <= length).select("item_id", "h", "n", size_class(F.col("n")).alias("size_class"))

@@ -131,7 +131,7 @@ def _bitmap(dropped: pd.Series) -> pd.Series:
     """Line positions as a compressed bitmap, 1 for a kept line; it ends with the last dropped one, all lines behind it are kept."""
 
     def one(at):
-        bits = np.ones(int(max(at)) + 1, np.uint8)
+        bits = np.ones(-(-(int(max(at)) + 1) // 8) * 8, np.uint8)  # whole bytes, the rest kept
         bits[np.asarray(at, np.int64)] = 0
         return zlib.compress(np.packbits(bits).tobytes())
 
