@@ -1,7 +1,6 @@
 """Queries return rows for the whole of their input, not for a part of it."""
 
 import __spark_entry__ as entry
-from tideline.llm import quality
 from tideline.plans import market
 
 
@@ -36,22 +35,6 @@ def test_keyword_classes_read_the_whole_text(spark, tmp_path):
     assert got == {0: "security_incident", 1: "monetary_policy", 2: "regulation", 3: "protocol_release", 4: "general_update", 5: "security_incident", 6: "general_update", 7: "general_update"}
 
 
-def test_quality_removes_failing_lines(spark):
-    prose = [" ".join(f"word{9 * i + j}" for j in range(9)) + "." for i in range(12)]
-    text = "\n".join([*prose[:5], "", "Home | News | About | Contact | Search", "Read more about all of these things right here.", *prose[5:], "  "])
-    want = "\n".join([*prose[:5], "", *prose[5:], "  "])
-    df = spark.createDataFrame([(1, text, len(text), "x"), (2, "\n".join(prose), 7, "y"), (3, "a b", 3, "z"), (4, None, None, "z")], "doc_id long, text string, n_chars int, tag string")
-    got = {r.doc_id: (r.text, r.n_chars, r.tag) for r in quality.keep_quality(df).collect()}
-    assert got == {1: (want, len(want), "x"), 2: ("\n".join(prose), len("\n".join(prose)), "y")}
-    assert quality.keep_quality(df).dtypes == df.dtypes
-
-
-def test_final_mark_before_many_blanks(spark):
-    prose = " ".join(f"word{i}" for i in range(80)) + "."
-    df = spark.createDataFrame([(1, f"{prose}\nIt ends here.{' ' * 60}\nNo end{chr(9) * 60}")], "doc_id long, text string")
-    assert quality.keep_quality(df).first().text == f"{prose}\nIt ends here.{' ' * 60}"
-
-
 def test_ablations_run_the_sealed_protocol(spark, sf_dir):
     got = entry.queries()["i16_ablation_run"](spark, sf_dir).toPandas()
     folds = market.assigned(spark, sf_dir).select("series_id", "fold").distinct().count()
