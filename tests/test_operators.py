@@ -130,3 +130,35 @@ def test_boosted_trees_bins_gaps_and_one_class():
     assert ((predict(x) > 0.5) == (y > 0)).mean() > 0.9
     assert np.isfinite(predict(np.full((1, 2), np.nan))).all()
     assert R.boosted_trees()(x, np.ones(500))(x[:3]).tolist() == [1 - 1e-6] * 3
+
+
+def test_urls_are_decoded_sorted_and_encoded(spark):
+    want = {
+        "HTTP://Example.COM:80/a//?b=2&a=1&utm_x=3&ref=q#f": "http://example.com/a?a=1&b=2", "http://bücher.de/ä?q=%C3%A9+x&k&z=1%zz": "http://xn--bcher-kva.de/ä?k=&q=%C3%A9+x&z=1%25zz",
+        "http://h?b=2&B=1&b=1": "http://h/?B=1&b=1&b=2", "http://h/?a=%7E*-._": "http://h/?a=~%2A-._", "https://[2001:DB8::1]:8443/x": "https://2001:db8::1:8443/x", "https://h.:443": "https://h/",
+        "http://h:/x": "http://h/x", "http://h:99999/": None, "http://a..b/": None, "http://u@h/": None, "ftp://h/x": None,
+    }
+    df = spark.createDataFrame([(u,) for u in want], "v string")
+    assert {r.v: r.c for r in df.select("v", X.canonical_url(F.col("v")).alias("c")).collect()} == want
+
+
+def test_public_hosts_are_globally_routable(spark):
+    want = {"8.8.8.8": True, "2606:4700::1111": True, "example.com": True, "10.1.1.1": False, "100.64.0.1": False, "192.0.2.4": False, "2001:db8::1": False, "::1": False, "localhost": False, "a.localhost": False, "": False}
+    df = spark.createDataFrame([(x,) for x in want], "v string")
+    assert {r.v: r.p for r in df.select("v", X.public_host(F.col("v")).alias("p")).collect()} == want
+
+
+def test_relevance_looks_at_folded_text(spark):
+    df = spark.createDataFrame([("A \ufb01ne\u00a0\n STRASSE",), ("nothing  here",), (None,)], "v string")
+    got = [r.r.included for r in df.select(X.relevance(X.fold(F.col("v")), ["fine strasse", "nothing here"], []).alias("r")).collect()]
+    assert got == [["fine strasse"], ["nothing here"], []]
+
+
+def test_feed_counts(spark):
+    from tideline.sources import landed as S
+
+    item = lambda title, link: f"<item><title>{title}</title><link>{link}</link></item>"
+    feed = [item("a", "https://x.org/1"), item("a", "https://x.org/1?utm_a=1"), item("", "https://x.org/2"), item("b", "nothing"), item("c", "https://y.org/"), item("d", "https://x.org/3"), item("e", "https://x.org/4")]
+    df = spark.createDataFrame([("s", f"<rss>{''.join(feed)}</rss>"), ("none", "<rss></rss>")], "source_id string, payload string").withColumn("retrieved_at", F.lit("2024-01-01").cast("timestamp"))
+    got = {r.source_id: (r.entries, r.truncated, r.skipped, r.duplicates, r.kept) for r in S.feed_counts(df, ["x.org"], 6, 300).collect()}
+    assert got == {"s": (7, 1, 3, 1, 2), "none": (0, 0, 0, 0, 0)}

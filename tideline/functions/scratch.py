@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """A new path under spark.checkpoint.dir; a temporary folder only in a local session that doesn't set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}/{uuid.uuid4().hex}"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import ipaddress
+import operator
 import re
 import unicodedata
 
@@ -30,6 +33,13 @@ def folded(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
 
 
+def fold(text: Column) -> Column:
+    """:func:`folded`; ASCII text stays in the JVM."""
+    plain = F.trim(F.regexp_replace(F.lower(text), "[\\x09-\\x0D\\x1C-\\x20]+", " "))
+    wide = text.rlike("[^\\x00-\\x7F]")
+    return F.when(wide, folded(F.when(wide, text))).otherwise(plain)
+
+
 @F.pandas_udf(T.StringType())
 def unescaped(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else re.sub(r"\s+", " ", html.unescape(v)).strip())
@@ -58,35 +68,72 @@ def strip_markup(markup: Column) -> Column:
     return unescaped(tagless(markup))
 
 
+@F.pandas_udf(T.BooleanType())
+def global_address(x: pd.Series) -> pd.Series:
+    """Whether an IP address is globally routable; true for what is no address."""
+
+    def one(v):
+        try:
+            return None if v is None else ipaddress.ip_address(v).is_global
+        except ValueError:
+            return True
+
+    return x.map(one)
+
+
+def _authority(url: Column) -> Column:
+    return F.regexp_extract(url, "^[A-Za-z]+://([^/?#]*)", 1)
+
+
+def host_of(url: Column) -> Column:
+    """The lower-case IDNA host without dots at its ends and without an IPv6 literal's brackets; '' where there is none or no valid one.
+
+    ASCII hosts stay in the JVM."""
+    authority = F.regexp_replace(_authority(F.trim(url)), "^.*@", "")
+    literal = F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)
+    host = F.trim(F.lower(F.when(literal != "", literal).otherwise(F.regexp_extract(authority, "^([^:\\[]*)", 1))), F.lit("."))
+    wide = host.rlike("[^\\x00-\\x7F]")
+    return F.coalesce(F.when(wide, ascii_host(F.when(wide, host))).when(~host.rlike(r"(^|\.)(\.|[^.]{64})"), host), F.lit(""))
+
+
+def _form_decoded(x: Column) -> Column:
+    """Percent forms and plus signs decoded; stray percent signs stay."""
+    return F.try_url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _form_encoded(x: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment, trailing slash or tracking keys,
-    query pairs in order; null for anything but an absolute http(s) URL without user information."""
+    """Lower-case scheme and IDNA host, no default port, fragment, trailing slash or tracking keys; query pairs decoded, in
+    order of (key, value) and encoded again, blank values kept. Null for anything but an absolute http(s) URL with a valid host and
+    port and without user information."""
     u = F.trim(url)
     scheme = F.lower(F.regexp_extract(u, "^([A-Za-z]+)://", 1))
-    authority = F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)", 1)
-    host = F.lower(F.rtrim(F.regexp_extract(authority, "^([^:]*)", 1), F.lit(".")))
-    port = F.regexp_extract(authority, ":([0-9]+)$", 1)
-    standard = (port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
+    authority, host = _authority(u), host_of(u)
+    port = F.regexp_extract(authority, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+    number = F.when(port.rlike("^[0-9]{1,9}$"), port.cast("int"))
+    standard = (port == "") | ((scheme == "https") & (number == 443)) | ((scheme == "http") & (number == 80))
     path = F.regexp_extract(u, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    path = F.when(path.rlike("^/*$"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
-    query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_") & ~F.array_contains(F.array(*map(F.lit, TRACKING)), F.lower(F.substring_index(p, "=", 1))))
-    kept = F.array_join(F.array_sort(pairs), "&")
-    out = F.concat(scheme, F.lit("://"), host, F.when(standard, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
-    return F.when(scheme.isin("http", "https") & (host != "") & ~authority.contains("@"), out)
-
-
-def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, "^[A-Za-z]+://([^/?#:]*)", 1))
+    path = F.when(path.isin("", "/"), "/").otherwise(F.rtrim(path, F.lit("/")))
+    parts = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
+    pairs = F.transform(parts, lambda p: F.struct(_form_decoded(F.substring_index(p, "=", 1)).alias("k"), _form_decoded(value(p)).alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(*TRACKING))
+    query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(_form_encoded(p["k"]), F.lit("="), _form_encoded(p["v"]))), "&")
+    out = F.concat(scheme, F.lit("://"), host, F.when(standard, "").otherwise(F.concat(F.lit(":"), number)), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(scheme.isin("http", "https") & (host != "") & ~authority.contains("@") & ((port == "") | (number <= 65535)), out)
 
 
 def host_allowed(host: Column, domains: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, domains)), lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
+    return functools.reduce(operator.or_, [(host == d) | host.endswith(f".{d}") for d in domains], F.lit(False))
 
 
 def public_host(host: Column) -> Column:
-    private = host.rlike(r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)[0-9.]+$")
-    return (host != "") & (host != "localhost") & ~host.endswith(".localhost") & ~private
+    """Neither local nor an address that isn't globally routable."""
+    address = F.when(host.rlike("^[0-9.]+$") | host.contains(":"), host)
+    return (host != "") & (host != "localhost") & ~host.endswith(".localhost") & F.coalesce(global_address(address), F.lit(True))
 
 
 def feed_time(text: Column, retrieved: Column, skew_s: int) -> Column:
@@ -120,7 +167,7 @@ def classify(text: Column) -> Column:
 
 
 def matched(text: Column, terms: list[str]) -> Column:
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: text.contains(t))
+    return F.array_compact(F.array(*[F.when(text.contains(t), t) for t in terms]))
 
 
 def relevance(text: Column, include: list[str], exclude: list[str]) -> Column:

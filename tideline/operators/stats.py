@@ -97,7 +97,7 @@ def regime_performance(df: DataFrame, keys: list[str], r: str, periods: int) ->
 
 
 RULES = {
-    "minimum_observations": "observations >= 300", "positive_total_return": "total_return > 0", "psr": "psr >= 0.95", "dsr": "dsr >= 0.95", "mean_improvement": "observed_mean > 0",
+    "minimum_observations": "observations >= 500", "positive_total_return": "total_return > 0", "psr": "psr >= 0.95", "dsr": "dsr >= 0.95", "mean_improvement": "observed_mean > 0",
     "bootstrap_significance": "pvalue <= 0.05 AND ci_low > 0", "positive_fold_ratio": "positive_fold_ratio >= 0.6", "top_fold_concentration": "top_share <= 0.5",
     "top_three_fold_concentration": "top_three_share <= 0.8", "positive_two_x_cost_return": "two_x_return > 0",
 }

@@ -50,12 +50,16 @@ INC, EXC = ["the", "der", "idiot"], ["scum", "moron"]
 IDSQL = lambda *p: "sha256(" + " || ".join(f"strlen(coalesce(({x})::VARCHAR, ''))::VARCHAR || ':' || coalesce(({x})::VARCHAR, '')" for x in p) + ")"
 
 # documents
-CU = r"""SELECT *, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || host || CASE WHEN regexp_matches(path, '^/*$') THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_sort(kept), '&') END END AS canonical FROM (
-SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
-list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT list_contains(['fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source'], lower(string_split(p, '=')[1]))) AS kept FROM pages)"""
+HOST = r"trim(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '.')"
+CU = rf"""SELECT *, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || host || CASE WHEN path IN ('', '/') THEN '/' ELSE rtrim(path, '/') END
+  || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_transform(list_sort(kept), lambda p: replace(url_encode(p['k']), '%20', '+') || '=' || replace(url_encode(p['v']), '%20', '+')), '&') END END AS canonical
+FROM (SELECT *, list_filter(list_transform(list_filter(string_split(query, '&'), lambda p: p <> ''), lambda p: {{
+    'k': url_decode(replace(string_split(p, '=')[1], '+', ' ')), 'v': url_decode(replace(CASE WHEN contains(p, '=') THEN substr(p, position('=' IN p) + 1) ELSE '' END, '+', ' '))}}),
+    lambda p: NOT starts_with(lower(p['k']), 'utm_') AND NOT list_contains({X.TRACKING}, lower(p['k']))) AS kept
+  FROM (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, {HOST} AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages))"""
 register("c10_canonical_url", lambda s, f: read(s, f, "pages").withColumn("canonical", X.canonical_url(c("url"))), "page_id:i canonical", CU)
 DOMS = ["example.com", "example.org"]
-register("b10_c11_hosts", lambda s, f: read(s, f, "pages").withColumns({"host": X.host_of(c("url")), "allowed": X.host_allowed(X.host_of(c("url")), DOMS), "public": X.public_host(X.host_of(c("url")))}), "page_id:i host allowed public", f"SELECT page_id, h AS host, {' OR '.join(f'h = {d!r} OR ends_with(h, {chr(39)}.{d}{chr(39)})' for d in DOMS)} AS allowed, h <> '' AS public FROM (SELECT *, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h FROM pages)")
+register("b10_c11_hosts", lambda s, f: read(s, f, "pages").withColumns({"host": X.host_of(c("url")), "allowed": X.host_allowed(X.host_of(c("url")), DOMS), "public": X.public_host(X.host_of(c("url")))}), "page_id:i host allowed public", f"SELECT page_id, h AS host, {' OR '.join(f'h = {d!r} OR ends_with(h, {chr(39)}.{d}{chr(39)})' for d in DOMS)} AS allowed, h <> '' AS public FROM (SELECT *, {HOST} AS h FROM pages)")
 register("c9_tagless", lambda s, f: read(s, f, "pages").withColumn("body", X.tagless(c("html"))).withColumns({"n": F.length("body"), "sha": F.sha2("body", 256)}), "page_id:i n:i sha",
          r"SELECT page_id, length(b) AS n, sha256(b) AS sha FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gsi'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM pages)")
 register("c9_strip_markup", lambda s, f: read(s, f, "pages").withColumn("body", X.strip_markup(c("html"))), "page_id:i body")
@@ -63,11 +67,12 @@ register("c8_relevance_text", lambda s, f: docs(s, f).withColumn("folded", X.fol
 
 
 def decisions(s: SparkSession, f: str) -> DataFrame:
-    d = docs(s, f).withColumn("r", X.relevance(F.lower("text"), INC, EXC))
+    d = docs(s, f).withColumn("r", X.relevance(X.fold(F.concat_ws("\n", "title", "text")), INC, EXC))
     return d.select("document_id", "source_id", "retrieved_at", "title", "content_sha256", "r.accepted", "r.reason", F.array_join("r.included", ",").alias("included"), F.array_join("r.excluded", ",").alias("excluded"))
 
 
-DEC = f"""SELECT *, reason LIKE 'accepted%' AS accepted FROM (SELECT *, array_to_string(i, ',') AS included, array_to_string(x, ',') AS excluded, CASE WHEN len(x) > 0 THEN 'rejected_excluded_term' WHEN len(i) = 0 THEN 'rejected_missing_include_term' ELSE 'accepted_include_match' END AS reason FROM (SELECT *, list_filter({INC}, lambda t: contains(lower(text), t)) AS i, list_filter({EXC}, lambda t: contains(lower(text), t)) AS x FROM ({DOCS})))"""
+DEC = f"""SELECT *, reason LIKE 'accepted%' AS accepted FROM (SELECT *, array_to_string(i, ',') AS included, array_to_string(x, ',') AS excluded, CASE WHEN len(x) > 0 THEN 'rejected_excluded_term' WHEN len(i) = 0 THEN 'rejected_missing_include_term' ELSE 'accepted_include_match' END AS reason FROM (SELECT *, list_filter({INC}, lambda t: contains(folded, t)) AS i, list_filter({EXC}, lambda t: contains(folded, t)) AS x
+  FROM (SELECT *, trim(regexp_replace(lower(concat_ws(chr(10), title, text)), '\\s+', ' ', 'g')) AS folded FROM ({DOCS}))))"""
 register("b8_relevance", decisions, "document_id:i accepted reason included excluded", DEC)
 register("c13_identities", lambda s, f: docs(s, f).select("document_id", X.identity(c("source_id"), c("title"), c("content_sha256")).alias("identity")), "document_id:i identity", f"SELECT document_id, {IDSQL('source_id', 'title', 'content_sha256')} AS identity FROM ({DOCS})")
 register("c14_keyword_classes", lambda s, f: docs(s, f).withColumn("k", X.classify(F.concat(F.element_at(F.array(*map(F.lit, ("Rate cut ahead ", "New release ", "A hack of ", "SEC filing ", "Plain "))), (c("document_id") % 5 + 1).cast("int")), c("title")))).select("document_id", "k.*"), "document_id:i event_type severity:d horizon",
@@ -113,7 +118,8 @@ register("d13_dangling", lambda s, f: L.dangling(calls(s, f).select("call_id", "
 register("d18_lineage", lambda s, f: L.disagreeing(signals(s, f).select(c("signal_id").alias("call_id"), F.when(c("signal_id") % 31 == 0, "srcX").otherwise(c("source_id")).alias("source_id")), calls(s, f), ["call_id"], ["source_id"]), "call_id:i source_id", f"SELECT signal_id AS call_id, 'srcX' AS source_id FROM ({SIG}) WHERE signal_id % 31 = 0")
 register("h4_set_differences", lambda s, f: docs(s, f).groupBy("lang").agg(F.collect_set("source_id").alias("x")).select("lang", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, ("src0", "src99", "web"))), "x")), ",").alias("missing"), F.array_join(F.array_sort(F.array_intersect(F.array(*map(F.lit, ("src0", "src1"))), "x")), ",").alias("present")), "lang missing present", f"SELECT lang, array_to_string(list_sort(list_filter(['src0', 'src99', 'web'], lambda v: NOT list_contains(x, v))), ',') AS missing, array_to_string(list_sort(list_filter(['src0', 'src1'], lambda v: list_contains(x, v))), ',') AS present FROM (SELECT lang, list_distinct(list(source_id)) AS x FROM ({DOCS}) GROUP BY 1)")
 ROWH = "sha256('document_id=' || document_id || '|content_sha256=' || content_sha256)"
-register("h5_content_hash", lambda s, f: L.content_hash(docs(s, f).select("source_id", "document_id", "content_sha256"), ["source_id"]), "source_id content_sha rows:i", f"""WITH r AS (SELECT source_id, {ROWH} AS h, count(*) AS n FROM ({DOCS}) GROUP BY ALL), b AS (SELECT source_id, left(h, 2) AS b, sha256(string_agg(h || 'x' || n, ',' ORDER BY h || 'x' || n)) AS d, sum(n) AS n FROM r GROUP BY ALL) SELECT source_id, sha256(string_agg(d, ',' ORDER BY b)) AS content_sha, sum(n) AS rows FROM b GROUP BY 1""")
+register("h5_content_hash", lambda s, f: L.content_hash(docs(s, f).select("source_id", "document_id", "content_sha256"), ["source_id"]), "source_id content_sha rows:i", f"""WITH r AS (SELECT source_id, {ROWH} AS h FROM ({DOCS}))
+         SELECT source_id, sha256(concat_ws('|', {", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR" for i in range(4))}, count(*)::VARCHAR)) AS content_sha, count(*) AS rows FROM r GROUP BY 1""")
 register("e38_call_totals", lambda s, f: calls(s, f).groupBy("status").agg(F.count("*").alias("n"), F.max_by("call_id", F.struct("completed_at", "call_id")).alias("latest")), "status n:i latest:i", f"SELECT status, count(*) AS n, arg_max(call_id, (completed_at, call_id)) AS latest FROM ({CALLS}) GROUP BY 1")
 register("e39_run_summary", lambda s, f: L.unseen(calls(s, f), calls(s, f).where("run < 3"), ["call_id"]).agg(F.count("*").alias("new_calls"), F.count_if(c("status") == "success").alias("success"), F.count_if(c("status") == "failed").alias("failed")), "new_calls:i success:i failed:i", f"SELECT count(*) AS new_calls, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed FROM ({CALLS}) WHERE run = 3")
 

@@ -73,6 +73,10 @@ def feeds(s: SparkSession, f: str) -> DataFrame:
 
 
 register("a11_feed_items", lambda s, f: S.feed_items(feeds(s, f), ["example.com", "example.org"], 30, 300).select("source_id", "canonical_url", "title", "summary", "published_at"), "source_id canonical_url title summary published_at:t")
+register("a11_feed_counts", lambda s, f: S.feed_counts(feeds(s, f), ["example.com", "example.org"], 30, 300), "source_id entries:i truncated:i skipped:i duplicates:i kept:i",
+         r"""WITH p AS (SELECT 'feed' || page_id // 40 AS source_id, row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id::VARCHAR || ']') AS pos,
+           regexp_matches(trim(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '.'), '^(.*\.)?example\.(com|org)$') AS usable FROM pages)
+         SELECT source_id, count(*) AS entries, greatest(count(*) - 30, 0) AS truncated, count(*) FILTER (pos <= 30 AND NOT usable) AS skipped, 0 AS duplicates, count(*) FILTER (pos <= 30 AND usable) AS kept FROM p GROUP BY 1""")
 
 # forecasts
 CTX, HOR, STR = 12, 6, 4

@@ -76,21 +76,40 @@ def chart_json(pages: DataFrame) -> DataFrame:
     return rows.select("series_id", F.timestamp_seconds("z.t").alias("event_time"), F.col("z.x").alias("close"), "equal").where("close IS NOT NULL")
 
 
-ITEM = "title STRING, link STRING, description STRING, summary STRING, pubDate STRING, published STRING, updated STRING"
+ITEM = "title STRING, link STRING, description STRING, summary STRING, content STRING, encoded STRING, pubDate STRING, published STRING, updated STRING"
 
 
-def feed_items(payloads: DataFrame, domains: list[str], max_items: int, skew_s: int) -> DataFrame:
-    """Documents of RSS or Atom payloads (source_id, payload, retrieved_at): markup stripped, links canonical and of
-    allowed hosts, times without a zone or from the future null, the first of equal links kept, ``max_items`` a payload."""
+def _entries(payloads: DataFrame, domains: list[str], max_items: int, skew_s: int) -> DataFrame:
+    """The first ``max_items`` entries of every payload with ``usable``: whether title, link and host will do."""
     parts = F.regexp_extract_all("payload", F.lit(r"(?s)(<(item|entry)\b.*?</\2>)"), F.lit(1))
     rows = payloads.select("source_id", "retrieved_at", F.posexplode(parts).alias("pos", "part")).where(F.col("pos") < max_items)
     x = F.from_xml("part", ITEM, {"ignoreNamespace": "true"})
     rows = rows.withColumn("x", x).withColumn("atom", F.nullif(F.regexp_extract("part", r"<link\b[^>]*\bhref=[\"']([^\"']+)", 1), F.lit("")))
     d = rows.select(
-        "source_id", "retrieved_at", "pos", F.substring(X.strip_markup(F.col("x.title")), 1, 500).alias("title"), X.strip_markup(F.coalesce("x.description", "x.summary")).alias("summary"),
-        X.canonical_url(F.coalesce("atom", "x.link")).alias("canonical_url"), X.feed_time(F.coalesce("x.pubDate", "x.published", "x.updated"), F.col("retrieved_at"), skew_s).alias("published_at"),
+        "source_id", "retrieved_at", "pos", F.substring(X.strip_markup(F.col("x.title")), 1, 500).alias("title"), X.strip_markup(F.coalesce("x.summary", "x.description", "x.content", "x.encoded")).alias("summary"),
+        X.canonical_url(F.coalesce("atom", "x.link")).alias("canonical_url"), X.feed_time(F.coalesce("x.published", "x.updated", "x.pubDate"), F.col("retrieved_at"), skew_s).alias("published_at"),
     )
-    d = d.where(F.col("canonical_url").isNotNull() & X.host_allowed(X.host_of(F.col("canonical_url")), domains))
-    first = d.groupBy("source_id", "canonical_url").agg(F.min_by(F.struct("pos", "title", "summary", "published_at", "retrieved_at"), F.struct("retrieved_at", "pos")).alias("b"))
-    d = first.select("source_id", "canonical_url", "b.*").withColumn("text", X.document_text(F.col("title"), F.col("summary")))
+    usable = (F.col("title") != "") & F.col("canonical_url").isNotNull() & X.host_allowed(X.host_of(F.col("canonical_url")), domains)
+    return d.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("text", X.document_text(F.col("title"), F.col("summary")))
+
+
+def feed_items(payloads: DataFrame, domains: list[str], max_items: int, skew_s: int) -> DataFrame:
+    """Documents of RSS or Atom payloads (source_id, payload, retrieved_at): markup stripped, links canonical and of
+    allowed hosts, times without a zone or from the future null, the first of equal links kept, ``max_items`` a payload."""
+    d = _entries(payloads, domains, max_items, skew_s).where("usable")
+    first = d.groupBy("source_id", "canonical_url").agg(F.min_by(F.struct("pos", "title", "summary", "published_at", "retrieved_at", "text"), F.struct("retrieved_at", "pos")).alias("b"))
+    d = first.select("source_id", "canonical_url", "b.*")
     return d.withColumns({"content_sha256": F.sha2("text", 256), "document_id": X.identity(F.col("source_id"), F.col("canonical_url"), F.col("title"))})
+
+
+def feed_counts(payloads: DataFrame, domains: list[str], max_items: int, skew_s: int) -> DataFrame:
+    """Per payload (source_id, retrieved_at): entries, truncated (beyond ``max_items``), skipped (no title, no valid link or a host
+    that isn't allowed), duplicates (entries equal in link, title, time and text to an earlier one) and kept."""
+    c = F.col
+    n = payloads.select("source_id", "retrieved_at", F.size(F.regexp_extract_all("payload", F.lit(r"(?s)(<(item|entry)\b.*?</\2>)"), F.lit(1))).alias("entries"))
+    d = _entries(payloads, domains, max_items, skew_s)
+    same = F.struct("canonical_url", "title", "published_at", F.sha2("text", 256))
+    g = d.groupBy("source_id", "retrieved_at").agg(F.count_if(~c("usable")).alias("skipped"), F.countDistinct(F.when(c("usable"), same)).alias("kept"), F.count_if("usable").alias("usable"))
+    d = n.join(g, ["source_id", "retrieved_at"], "left")
+    zero = lambda x: F.coalesce(c(x), F.lit(0))
+    return d.select("source_id", "retrieved_at", "entries", F.greatest(c("entries") - max_items, F.lit(0)).alias("truncated"), zero("skipped").alias("skipped"), (zero("usable") - zero("kept")).alias("duplicates"), zero("kept").alias("kept"))
