@@ -60,6 +60,7 @@ FROM (SELECT *, list_filter(list_transform(list_filter(string_split(query, '&'),
 register("c10_canonical_url", lambda s, f: read(s, f, "pages").withColumn("canonical", X.canonical_url(c("url"))), "page_id:i canonical", CU)
 DOMS = ["example.com", "example.org"]
 register("b10_c11_hosts", lambda s, f: read(s, f, "pages").withColumns({"host": X.host_of(c("url")), "allowed": X.host_allowed(X.host_of(c("url")), DOMS), "public": X.public_host(X.host_of(c("url")))}), "page_id:i host allowed public", f"SELECT page_id, h AS host, {' OR '.join(f'h = {d!r} OR ends_with(h, {chr(39)}.{d}{chr(39)})' for d in DOMS)} AS allowed, h <> '' AS public FROM (SELECT *, {HOST} AS h FROM pages)")
+TAGLESS = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gsi'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
 register("c9_tagless", lambda s, f: read(s, f, "pages").withColumn("body", X.tagless(c("html"))).withColumns({"n": F.length("body"), "sha": F.sha2("body", 256)}), "page_id:i n:i sha",
          r"SELECT page_id, length(b) AS n, sha256(b) AS sha FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gsi'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM pages)")
 register("c9_strip_markup", lambda s, f: read(s, f, "pages").withColumn("body", X.strip_markup(c("html"))), "page_id:i body")

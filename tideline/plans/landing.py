@@ -181,6 +181,34 @@ def stream_budget(s: SparkSession, f: str) -> DataFrame:
 register("j8_stream_budget", lambda s, f: stream_budget(s, f), "doc_id:i")
 
 
+def budget_recovered(s: SparkSession, f: str) -> DataFrame:
+    """A quarter of all documents a run, oldest first, until nothing waits: each document with the run that took it."""
+    out = scratch.folder(s, "recovered")
+    n = read(s, f, "documents").count()
+    d = J.source(s, f"{f}/documents.parquet").select("doc_id", F.timestamp_seconds(c("doc_id") * 60).alias("at"))
+    append = J.appender(out, ["doc_id"], ["at"], "at", budget=max(1, -(-n // 4)))
+    J.run_appender(d, append, f"{out}-state")
+    J.recover(s, append, out, ["doc_id"], first=1)
+    return s.read.parquet(out).select("doc_id", F.split_part("batch", F.lit("-"), F.lit(-1)).cast("long").alias("turn"))
+
+
+register("j8_budget_recovered", budget_recovered, "doc_id:i turn:i", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // (SELECT ceil(count(*) / 4.0)::BIGINT FROM documents) AS turn FROM documents")
+
+
+def capture(s: SparkSession, f: str) -> DataFrame:
+    """The capture chain as a stream: pages are parsed (canonical link, text), filtered by host and relevance, and appended once per link."""
+    out = scratch.folder(s, "capture")
+    p = J.source(s, f"{f}/pages.parquet").select("page_id", X.canonical_url(c("url")).alias("link"), X.fold(X.tagless(c("html"))).alias("text"))
+    p = p.where(c("link").isNotNull() & X.host_allowed(X.host_of(c("link")), P.DOMS) & X.relevance(c("text"), P.INC, P.EXC)["accepted"])
+    d = p.select("link", F.lit("2024-01-01").cast("timestamp").alias("at"))
+    J.run_appender(d, J.appender(out, ["link"], ["at"], "at"), f"{out}-state")
+    return s.read.parquet(f"{out}/batch=*").select("link")
+
+
+register("j1_capture_stream", capture, "link", f"""SELECT DISTINCT canonical AS link FROM ({P.CU}) JOIN (SELECT page_id, trim(regexp_replace(lower({P.TAGLESS}), '\\s+', ' ', 'g')) AS t FROM pages) USING (page_id)
+  WHERE ({' OR '.join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in P.DOMS)}) AND len(list_filter({P.INC}, lambda w: contains(t, w))) > 0 AND len(list_filter({P.EXC}, lambda w: contains(t, w))) = 0""")
+
+
 def switched(d: DataFrame) -> DataFrame:
     return d.select(c("event_type").alias("series_id"), c("ts").cast("timestamp").alias("ts"), (c("value") > 150).alias("entry"), (c("value") < 5).alias("exit"))
 

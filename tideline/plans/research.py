@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,41 +64,55 @@ def fitted(s: SparkSession, f: str) -> DataFrame:
 register("i10_i12_ridge_platt", fitted, "series_id fold:i part ts:t y:d p:d")
 
 
-def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The sealed protocol per key: fit, calibrate, choose a threshold on the validation part, trade the test part.
+def constant_prior(x, y):
+    """The train part's clipped mean, for :func:`R.fit_groups`."""
+    p = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
+    return lambda z: np.full(len(z), p)
+
+
+MODELS = {"prior": constant_prior, "ridge_logistic": None, "boosted_trees": R.boosted_trees()}
+
+
+def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str], models: tuple[str, ...] = ("ridge_logistic",)) -> tuple[DataFrame, DataFrame]:
+    """The sealed protocol per key and model: fit, calibrate, choose a threshold on the validation part, trade the test part.
 
-    Returns the test P&L of model and trend under the costs 1.0, 1.5 and 2.0, and the model's probability metrics."""
-    own = ["series_id", "fold", *keys]
+    Returns the test P&L of models and trend under the costs 1.0, 1.5 and 2.0, and the models' probability metrics."""
+    group = ["series_id", "fold", *keys]
+    own = [*group, "model"]
     base = rows.withColumn("y", F.col("target_positive"))
-    scored = R.platt(R.ridge_logistic(base, own, columns), own).select(*own, "part", "ts", F.col("p").alias("fit_p"))
-    d = rows.join(scored, [*own, "part", "ts"]).withColumn("cost_multiplier", F.lit(1.0))
+    fits = [(R.ridge_logistic(base, group, columns) if MODELS[m] is None else R.fit_groups(base, group, columns, MODELS[m])).withColumn("model", F.lit(m)) for m in models]
+    scored = R.platt(functools.reduce(DataFrame.unionByName, fits), own).select(*own, "part", "ts", F.col("p").alias("fit_p"))
+    d = rows.join(scored, [*group, "part", "ts"]).withColumn("cost_multiplier", F.lit(1.0))
     size = lambda x: x.withColumn("exposure", P.probability_exposure(M, F.col("fit_p"), F.col("threshold"), F.col("realized_volatility")))
     val = size(d.where("part = 'validation'").withColumn("threshold", F.explode(F.array(*map(F.lit, (0.5, 0.55, 0.6, 0.65))))))
     by = [*own, "threshold"]
     chosen = P.choose_threshold(P.sealed_metrics(P.sealed_pnl(val, by, M), by, M), own, 3, 0.5).drop("utility")
-    test = size(d.where("part = 'test'").join(chosen, own)).withColumn("model", F.lit("ridge_logistic"))
+    test = size(d.where("part = 'test'").join(chosen, own))
     trend = N.trend_exposure(N.features(bars_1h(s, f), M), M).select("series_id", "ts", F.col("desired_exposure").alias("_tl_trend"))
-    rule = test.join(trend, ["series_id", "ts"], "left").withColumns({"model": F.lit("trend"), "threshold": F.lit(None).cast("double"), "exposure": F.coalesce("_tl_trend", F.lit(0.0))}).drop("_tl_trend")
+    once = test.where(F.col("model") == models[0])
+    rule = once.join(trend, ["series_id", "ts"], "left").withColumns({"model": F.lit("trend"), "threshold": F.lit(None).cast("double"), "exposure": F.coalesce("_tl_trend", F.lit(0.0))}).drop("_tl_trend")
     both = test.unionByName(rule).withColumn("cost_multiplier", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0))))
-    scores = R.probability_metrics(test.select(*own, "model", F.col("target_positive").alias("y"), F.col("fit_p").alias("p")), [*own, "model"])
-    return P.sealed_pnl(both, [*own, "model", "cost_multiplier"], M), scores
+    scores = R.probability_metrics(test.select(*own, F.col("target_positive").alias("y"), F.col("fit_p").alias("p")), own)
+    return P.sealed_pnl(both, [*own, "cost_multiplier"], M), scores
 
 
-def sealed_table(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row per series, fold, key, model and cost multiplier; the rule's threshold and probability metrics are null."""
-    pnl, scores = sealed_runs(s, f, rows, keys, columns)
+def sealed_table(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str], models: tuple[str, ...] = ("ridge_logistic",)) -> DataFrame:
+    """One row per series, fold, key, model and cost multiplier with the rows of each part; the rule's threshold and probability metrics are null."""
+    pnl, scores = sealed_runs(s, f, rows, keys, columns, models)
+    parts = rows.groupBy("series_id", "fold", *keys).agg(*[F.count_if(F.col("part") == x).alias(f"{x}_rows") for x in PARTS])
     own = ["series_id", "fold", *keys, "model"]
     chosen = pnl.groupBy(*own).agg(F.max("threshold").alias("threshold"))
-    return P.sealed_metrics(pnl, [*own, "cost_multiplier"], M).join(chosen, own).join(scores, own, "left")
+    return P.sealed_metrics(pnl, [*own, "cost_multiplier"], M).join(chosen, own).join(scores, own, "left").join(parts, ["series_id", "fold", *keys])
 
 
 def benchmark(s: SparkSession, f: str) -> DataFrame:
-    return sealed_table(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"])
+    return sealed_table(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"], tuple(MODELS))
 
 
 RUN = f"cost_multiplier:d threshold:d net_return:d sharpe:d max_drawdown:d turnover:d entries:i {PM}"
-register("i14_sealed_benchmark", benchmark, f"series_id fold:i model {RUN}")
-register("i14_sealed_predictions", lambda s, f: sealed_runs(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"])[0].where("cost_multiplier = 1.0").withColumn("probability", F.when(F.col("model") != "trend", F.col("fit_p"))), "series_id fold:i model ts:t probability:d exposure:d net_return:d")
+PARTS = ("train", "calibration", "validation", "test")
+register("i14_sealed_benchmark", benchmark, f"series_id fold:i model {' '.join(f'{x}_rows:i' for x in PARTS)} {RUN}")
+register("i14_sealed_predictions", lambda s, f: sealed_runs(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"], tuple(MODELS))[0].where("cost_multiplier = 1.0").withColumn("probability", F.when(F.col("model") != "trend", F.col("fit_p"))), "series_id fold:i model ts:t probability:d exposure:d net_return:d")
 
 
 # statistics over the sealed predictions of all models

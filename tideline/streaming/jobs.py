@@ -63,7 +63,8 @@ def appender(path: str, keys: list[str], payload: list[str], at: str, order: Col
     """A foreachBatch function that appends rows whose keys aren't stored yet.
 
     A batch whose new rows contradict each other fails; rows behind the table's newest ``at`` go to
-    ``<path>-late``; beyond ``budget`` the rest waits in ``<path>-pending`` and is taken up by the next batch. Every batch
+    ``<path>-late``; beyond ``budget`` the rest waits in ``<path>-pending`` and is taken up by later batches, of this run or any
+    other (:func:`recover` works it off without new input); what has waited is never late. Every batch
     writes a folder of its own, the rows last; a batch whose rows are there has been done, so a replay changes nothing.
     ``run`` names the stream's checkpoint, whose batches count from 0."""
 
@@ -72,22 +73,31 @@ def appender(path: str, keys: list[str], payload: list[str], at: str, order: Col
         name = f"batch={run}-{batch_id}"
         if stored_or_none(spark, f"{path}/{name}") is not None:
             return
-        old, waiting = stored_or_none(spark, f"{path}/batch=*"), stored_or_none(spark, f"{path}-pending/batch={run}-{batch_id - 1}")
-        rows = batch if waiting is None else batch.unionByName(waiting)
+        held, old = None, stored_or_none(spark, f"{path}/batch=*")
+        waiting = None if budget is None else stored_or_none(spark, f"{path}-pending/batch=*")
+        rows = batch.withColumn("_tl_waits", F.lit(0))
+        if waiting is not None:
+            rows = rows.unionByName(waiting.withColumn("_tl_waits", F.lit(1)))
         if rows.groupBy(*keys).agg(F.countDistinct(F.struct(*payload)).alias("k")).where("k > 1").limit(1).count():
             raise ValueError("one key comes with different payloads")
-        fresh = rows.dropDuplicates(keys)
+        waits = rows.groupBy(*keys).agg(F.max("_tl_waits").alias("_tl_waits"))
+        fresh = rows.drop("_tl_waits").dropDuplicates(keys).join(waits, keys)
         if old is not None:
             fresh = fresh.join(old.select(*keys).distinct(), keys, "left_anti")
             head = old.agg(F.max(at).alias("m")).first().m  # one row
-            fresh.where(F.col(at) < F.lit(head)).write.mode("overwrite").parquet(f"{path}-late/{name}")
-            fresh = fresh.where(F.col(at) >= F.lit(head))
+            late = (F.col("_tl_waits") == 0) & (F.col(at) < F.lit(head))
+            held = fresh = fresh.persist()
+            fresh.where(late).drop("_tl_waits").write.mode("overwrite").parquet(f"{path}-late/{name}")
+            fresh = fresh.where(~late)
+        fresh = fresh.drop("_tl_waits").select(*batch.columns)
         if budget is not None:
             fresh = fresh.orderBy(order if order is not None else F.col(at), *keys)
             taken = fresh.limit(budget)
             fresh.join(taken.select(*keys), keys, "left_anti").write.mode("overwrite").parquet(f"{path}-pending/{name}")
             fresh = taken
         fresh.write.mode("overwrite").parquet(f"{path}/{name}")
+        if held is not None:
+            held.unpersist()
 
     return append
 
@@ -96,6 +106,21 @@ def run_appender(stream: DataFrame, append: Callable[[DataFrame, int], None], st
     stream.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def recover(spark: SparkSession, append: Callable[[DataFrame, int], None], path: str, keys: list[str], first: int = 0) -> int:
+    """Works off what waits in ``<path>-pending``, a budget at a time, by batches without input that count from ``first``; the number of them."""
+    done = 0
+    while True:
+        waiting = stored_or_none(spark, f"{path}-pending/batch=*")
+        stored = stored_or_none(spark, f"{path}/batch=*")
+        if waiting is None:
+            return done
+        left = waiting if stored is None else waiting.join(stored.select(*keys), keys, "left_anti")
+        if not left.limit(1).count():
+            return done
+        append(waiting.limit(0), first + done)
+        done += 1
+
+
 def latch(rows: DataFrame, key: str, entry: str, exit_: str) -> DataFrame:
     """The long/flat state of (key, ts, entry, exit) rows carried from batch to batch: key, ts, regime."""
 
