@@ -5,8 +5,8 @@ the minimum and the maximum are kept, so half as many evaluations give a signatu
 same length; minima and maxima fill separate bands. Documents with equal sets fall into
 one class first. Classes that share a band meet in a bucket, where each is linked to the
 bucket's smallest member instead of to all others; candidate links are confirmed on full
-sets. Members of a bucket that end in different components meet again, without their
-bucket's smallest member, until no bucket has an untested pair across components.
+sets. Members of buckets that end in different components meet again at their rarest shingles: a few turns each with one
+set of the shingle's largest component, which brings large clusters together, then all pairs across components that are left.
 
 Defined cases: a null or blank text has an empty set and is linked with nothing; one or two
 words form one shingle; a null doc_id takes no part and is its own component; rows that
@@ -27,6 +27,7 @@ from .components import components
 
 WIDTH, PERCENT = 3, 85
 N_PERMUTATIONS, ROWS = 120, 6  # 240 values in 40 bands: a pair at 0.85 misses all of them once in 10**8
+TURNS = 3  # of single pairs before all that are left
 
 
 def sets_of(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,34 +162,60 @@ def _tokens(batches):
         if of:
             at = np.concatenate(of)
             size = np.array([len(x) for x in sh])[at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh)), b.column("id").take(pa.array(at)), b.column("comp").take(pa.array(at)), pa.array(size)], names=["token", "id", "comp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh)), b.column("id").take(pa.array(at)), pa.array(size)], names=["token", "id", "n"])
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows (id, comp, sh) in different components that can reach the similarity.
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, id, n, p) of the shingles among which every set (id, sh) shares one with each set that it can reach the similarity with.
 
     Two sets that similar share one of the first n - ceil(n * percent / 100) + 1 shingles of
-    any common order; rare shingles come first here, by their exact counts over ``sets``. Pairs
-    meet at a shingle only if one of them lies outside the shingle's largest component, so
-    a large component is never joined with itself.
+    any common order; rare shingles come first here, by their exact counts over ``sets``. p is a shingle's place, n the set's size.
     """
     c = F.col
-    all_ = stored(sets.select("id", "comp", "sh").mapInArrow(_tokens, "token long, id long, comp long, n long"))
+    all_ = stored(sets.select("id", "sh").mapInArrow(_tokens, "token long, id long, n long"))
     held = stored(all_.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))  # a shingle of one set makes no pair
     ranked = dealt_join(all_, held.select("token", c("n").alias("held")), ["token"], "id", held, "left")
     place = F.row_number().over(W.Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(1)), "token")) - 1
-    rows = ranked.withColumn("p", place).where(c("p") <= c("n") - F.ceil(c("n") * percent / 100)).where("held IS NOT NULL").drop("held")
-    rows = stored(rows)
-    per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    largest = per.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("m"), F.sum("k").alias("n")).where("m > 1")
-    largest = stored(largest.select("token", "main", "n"))
-    met = stored(dealt_join(rows, largest.select("token", "main"), ["token"], "id", largest))
+    rows = ranked.withColumn("p", place).where(c("p") <= c("n") - F.ceil(c("n") * percent / 100)).where("held IS NOT NULL")
+    return stored(rows.select("token", "id", "n", "p"))
+
+
+def _largest(rows: DataFrame, turn: int) -> DataFrame:
+    """Of each token in several components: the component with most of its rows, one of its sets (another for each token and turn), and all rows."""
+    pick = F.min(F.struct(F.xxhash64("id", "token", F.lit(turn)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("n_pivot"))).alias("pick")
+    per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"), pick)
+    best = per.groupBy("token").agg(F.max(F.struct("k", "comp", "pick")).alias("b"), F.count("*").alias("m"), F.sum("k").alias("n")).where("m > 1")
+    return stored(best.select("token", F.col("b.comp").alias("main"), "b.pick.pivot", "b.pick.n_pivot", "n"))
+
+
+def pivot_pairs(rows: DataFrame, comps: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of sets outside a token's largest component with one set inside it: a row per set and token at most."""
+    own = rows.join(comps, "id")
+    largest = _largest(own, turn)
+    met = dealt_join(own, largest.drop("n"), ["token"], "id", largest)
+    can = (F.col("comp") != F.col("main")) & (F.least("n", "n_pivot") * 100 >= F.greatest("n", "n_pivot") * percent)
+    return met.where(can).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def meeting_pairs(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """All distinct pairs (a, b) in different components that can reach the similarity. Pairs
+    meet at a shingle only if one of them lies outside the shingle's largest component, so
+    a large component is never joined with itself."""
+    c = F.col
+    own = rows.join(comps, "id")
+    largest = _largest(own, 0)
+    met = stored(dealt_join(own, largest.select("token", "main"), ["token"], "id", largest))
     l, r = met.where("comp <> main").alias("l"), met.alias("r")
     least = F.floor((percent * (c("l.n") + c("r.n")) + 99 + percent) / (100 + percent))
     can = (c("l.comp") != c("r.comp")) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent) & (F.least(c("l.n") - c("l.p"), c("r.n") - c("r.p")) >= least)
     return l.join(r, (c("l.token") == c("r.token")) & can).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """:func:`meeting_pairs` of rows (id, comp, sh)."""
+    return meeting_pairs(prefix_rows(sets, percent), sets.select("id", "comp"), percent)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, n_permutations: int = N_PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -211,8 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     open_ = stored(open_)
     split = stored(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
     again = stored(dealt_join(open_, split.select("key"), ["key"], "id", split).select("id", "comp").distinct())
-    pairs = prefix_pairs(sets.join(again, "id"), percent)
-    more = stored(confirm(pairs, sets, percent))
+    rows_ = prefix_rows(sets.join(again.select("id"), "id", "left_semi"), percent)
+    # large clusters of near copies come together by single pairs first, so that few sets are left outside them
+    own = again
+    for turn in range(TURNS):
+        more = stored(confirm(pivot_pairs(rows_, own, percent, turn), sets, percent))
+        if not more.limit(1).count():
+            break
+        linked = stored(linked.union(more))
+        comps = components(linked)
+        own = stored(again.select("id").join(comps, again["id"] == comps["node"], "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    more = stored(confirm(meeting_pairs(rows_, own, percent), sets, percent))
     if more.limit(1).count():
         comps = components(linked.union(more))
     rep = comps.withColumnRenamed("node", "rep")
