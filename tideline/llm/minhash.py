@@ -154,15 +154,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _tokens(batches):
-    for b in batches:
-        of, sh = [], []
-        for i, x in enumerate(b.column("sh")):
-            own = np.frombuffer(x.as_buffer(), np.int64)
-            of.append(np.full(len(own), i)), sh.append(own)
-        if of:
-            at = np.concatenate(of)
-            size = np.array([len(x) for x in sh])[at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh)), b.column("id").take(pa.array(at)), pa.array(size)], names=["token", "id", "n"])
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            b = whole.slice(lo, 500)
+            sh = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("sh")]
+            size = np.array([len(x) for x in sh])
+            at = np.repeat(np.arange(len(sh)), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh)), b.column("id").take(pa.array(at)), pa.array(size[at])], names=["token", "id", "n"])
 
 
 def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import BASE, documents, mix, slice_hashes, text_bytes
 
 MODEL, ALPHA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 17
-CHUNK_BYTES, LONG_PART, SLOT_BITS = 4 << 20, 1024, 18
+CHUNK_BYTES, LONG_PART, SLOT_BITS = 2 << 20, 1024, 18
 _BLANK = "▁"
 
 
