@@ -70,19 +70,30 @@ def bucketed(df: DataFrame, by: str, n: int) -> DataFrame:
     return spark.table(name)
 
 
+def hot_keys(counts: DataFrame, on: list[str]) -> DataFrame | None:
+    """Of ``counts`` (on, n), the values with more than a thousandth of all rows and in how many parts (_tl_m) each is dealt; None where there are none."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    per = max(1000, math.ceil((total or 0) / 1000))
+    if (most or 0) <= per:
+        return None
+    hot = counts.where(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("_tl_m"))
+    return counts.sparkSession.createDataFrame(hot.limit(1001).collect(), hot.schema)
+
+
 def dealt_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, whose ``on`` values are unique, with a hot value's rows dealt over several tasks.
 
     ``counts`` (on, n) tells how many rows each value has. Values with more than a thousandth of all rows are hot: at most a
     thousand of them, whose list goes to all tasks. A hot value's rows are salted by ``by``, and its table row is repeated for each salt.
     """
-    spark = rows.sparkSession
-    per = max(1000, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) / 1000))
-    hot = counts.where(F.col("n") > per).select(*on, F.ceil(F.col("n") / per).cast("int").alias("_tl_m"))
-    found = hot.limit(1001).collect()
-    if not found:
+    return salted_join(rows, table, on, by, hot_keys(counts, on), how)
+
+
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """:func:`dealt_join` with the hot values of :func:`hot_keys`, for joins that repeat with the same values."""
+    if hot is None:
         return rows.join(table, on, how)
-    listed = F.broadcast(spark.createDataFrame(found, hot.schema))
+    listed = F.broadcast(hot)
     many = F.coalesce("_tl_m", F.lit(1))
     left = rows.join(listed, on, "left").withColumn("_tl_salt", F.pmod(F.xxhash64(by), many).cast("int")).drop("_tl_m")
     right = table.join(listed, on, "left").withColumn("_tl_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_tl_m")

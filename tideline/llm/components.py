@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, stored
+from .common import dealt_join, hot_keys, salted_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     some = edges.where("a IS NOT NULL AND b IS NOT NULL")
     both = stored(some.select("a", "b").union(some.select("b", "a")).distinct())
-    degree = stored(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")))
+    hubs = hot_keys(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")), ["node"])
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
     sent = both.select("a", F.col("b").alias("node"))
     while True:
-        near = dealt_join(sent, labels, ["node"], "a", degree).groupBy("a").agg(F.min("comp").alias("low"))
+        near = salted_join(sent, labels, ["node"], "a", hubs).groupBy("a").agg(F.min("comp").alias("low"))
         own = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("via")))
         target = labels.select(F.col("node").alias("via"), F.col("comp").alias("jump"))
         found = dealt_join(own, target, ["via"], "node", own.groupBy("via").agg(F.count("*").alias("n")))

@@ -240,13 +240,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     # large clusters of near copies come together by single pairs first, so that few sets are left outside them
     own = again
     for turn in range(TURNS):
-        more = stored(confirm(pivot_pairs(rows_, own, percent, turn), sets, percent))
+        more = stored(confirm(stored(pivot_pairs(rows_, own, percent, turn)), sets, percent))
         if not more.limit(1).count():
             break
         linked = stored(linked.union(more))
         comps = components(linked)
         own = stored(again.select("id").join(comps, again["id"] == comps["node"], "left").select("id", F.coalesce("comp", "id").alias("comp")))
-    more = stored(confirm(meeting_pairs(rows_, own, percent), sets, percent))
+    more = stored(confirm(stored(meeting_pairs(rows_, own, percent)), sets, percent))
     if more.limit(1).count():
         comps = components(linked.union(more))
     rep = comps.withColumnRenamed("node", "rep")
