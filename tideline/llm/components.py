@@ -1,4 +1,4 @@
-"""Connected components of an edge table, as joins and grouped minima.
+"""Connected components of an edge table by contraction, as joins and grouped minima.
 
 Defined cases: an empty edge table gives an empty result; repeated edges and edges from a node to
 itself change nothing; edges with a null end are left out.
@@ -9,28 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, hot_keys, salted_join, stored
+from .common import stored
+
+
+def _near_minima(both: DataFrame, seed: int) -> DataFrame:
+    """(node, comp): of all nodes within two steps, the one that comes first in an order drawn by ``seed``."""
+    drawn = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("v"))
+    one = both.groupBy("a").agg(F.min(drawn("b")).alias("low")).select(F.col("a").alias("b"), F.least("low", drawn("a")).alias("low"))
+    return both.join(stored(one), "b").groupBy("a").agg(F.min("low").alias("low")).select(F.col("a").alias("node"), F.col("low.v").alias("comp"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node in ``edges`` (a, b); comp is the smallest node that it reaches.
 
-    Each round takes the smallest label among the neighbours and then the label of that
-    label, so chains shorten by half a round; labels are written to a table every round.
-    The edges of a hub are dealt over several tasks where its label is looked up, and minima are combined before the
-    shuffle, so a node with very many edges costs no task more. Where many nodes look up one label's label, they are dealt likewise.
+    Each round merges every node with the first of its neighbours' neighbours in a random order and goes on with the edges between
+    merged nodes. A star is one node after one round and a chain loses a constant share of its nodes each round, so
+    rounds are few and each is smaller than the last. Minima are combined before the shuffle, so a hub costs no
+    task more; where names are looked up, rows are two integers, and adaptive execution splits the partition of a hub.
     """
-    some = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    both = stored(some.select("a", "b").union(some.select("b", "a")).distinct())
-    hubs = hot_keys(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")), ["node"])
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("comp")))
-    sent = both.select("a", F.col("b").alias("node"))
+    some = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+    names = []
     while True:
-        near = salted_join(sent, labels, ["node"], "a", hubs).groupBy("a").agg(F.min("comp").alias("low"))
-        own = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("via")))
-        target = labels.select(F.col("node").alias("via"), F.col("comp").alias("jump"))
-        found = dealt_join(own, target, ["via"], "node", own.groupBy("via").agg(F.count("*").alias("n")))
-        found = stored(found.select("node", "old", F.least("via", "jump").alias("comp")))
-        labels = found.select("node", "comp")
-        if not found.where("comp <> old").limit(1).count():
-            return labels
+        both = stored(some.union(some.select("b", "a")).distinct())
+        if names and both.isEmpty():
+            break
+        names.append(stored(_near_minima(both, len(names))))
+        at = lambda end, new: names[-1].select(F.col("node").alias(end), F.col("comp").alias(new))
+        some = both.where("a < b").join(at("b", "y"), "b").join(at("a", "x"), "a").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    last = names.pop()
+    while names:
+        after = last.select(F.col("node").alias("comp"), F.col("comp").alias("later"))
+        last = stored(names.pop().join(after, "comp", "left").select("node", F.coalesce("later", "comp").alias("comp")))
+    least = stored(last.groupBy("comp").agg(F.min("node").alias("least")))
+    return stored(last.join(least, "comp").select("node", F.col("least").alias("comp")))

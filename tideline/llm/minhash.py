@@ -125,7 +125,7 @@ def _set_rows(width: int):
     return of
 
 
-def _confirmed(percent: int):
+def _confirmed(percent: int, names: list[str]):
     def of(batches):
         for b in batches:
             keep = []
@@ -133,24 +133,27 @@ def _confirmed(percent: int):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names=names).filter(pa.array(keep, pa.bool_()))
 
     return of
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; sizes that rule it out go first.
+def can_reach(x: str, y: str, percent: int):
+    """Whether sets of so many shingles can reach the similarity."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    Sizes are joined before sets are. A set that many pairs share (a large cluster's pivot) is sent to each of several tasks, which share its pairs."""
-    n = sets.select("id", F.octet_length("sh").alias("n"))
-    many = lambda df, c: df.groupBy(c).agg(F.count("*").alias("n"))
-    sized = dealt_join(pairs, n.select(F.col("id").alias("a"), F.col("n").alias("n_a")), ["a"], "b", many(pairs, "a"))
-    sized = dealt_join(sized, n.select(F.col("id").alias("b"), F.col("n").alias("n_b")), ["b"], "a", many(pairs, "b"))
-    near = stored(sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b"))
-    left = sets.select(F.col("id").alias("a"), F.col("sh").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
-    full = dealt_join(dealt_join(near, right, ["b"], "a", many(near, "b")), left, ["a"], "b", many(near, "a"))
-    return full.mapInArrow(_confirmed(percent), "a long, b long")
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, hot: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """The rows of stored ``pairs`` (a, b, ...) whose full sets (id, sh) reach the similarity.
+
+    ``hot`` names the ends at which one set may stand in very many pairs: such a set (a large cluster's pivot) is sent to each of
+    several tasks, which share its pairs."""
+    full = pairs
+    for end, name in (("b", "y"), ("a", "x")):
+        side = sets.select(F.col("id").alias(end), F.col("sh").alias(name))
+        other = "a" if end == "b" else "b"
+        full = dealt_join(full, side, [end], other, pairs.groupBy(end).agg(F.count("*").alias("n"))) if end in hot else full.join(side, end)
+    return full.mapInArrow(_confirmed(percent, pairs.columns), ", ".join(f"{c} long" for c in pairs.columns))
 
 
 def _tokens(batches):
@@ -172,86 +175,92 @@ def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
     c = F.col
     all_ = stored(sets.select("id", "sh").mapInArrow(_tokens, "token long, id long, n long"))
     held = stored(all_.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))  # a shingle of one set makes no pair
-    ranked = dealt_join(all_, held.select("token", c("n").alias("held")), ["token"], "id", held, "left")
+    ranked = all_.join(held.select("token", c("n").alias("held")), "token", "left")
     place = F.row_number().over(W.Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(1)), "token")) - 1
     rows = ranked.withColumn("p", place).where(c("p") <= c("n") - F.ceil(c("n") * percent / 100)).where("held IS NOT NULL")
     return stored(rows.select("token", "id", "n", "p"))
 
 
-def _largest(rows: DataFrame, turn: int) -> DataFrame:
-    """Of each token in several components: the component with most of its rows, one of its sets (another for each token and turn), and all rows."""
+def split_tokens(rows: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """The rows of tokens that several components share, with the set's component (comp), the token's largest (main) and a set of it (pivot, n_pivot; another for each token and turn)."""
+    own = stored(rows.select("token", "id", "n", "p").join(comps, "id"))
     pick = F.min(F.struct(F.xxhash64("id", "token", F.lit(turn)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("n_pivot"))).alias("pick")
-    per = rows.groupBy("token", "comp").agg(F.count("*").alias("k"), pick)
-    best = per.groupBy("token").agg(F.max(F.struct("k", "comp", "pick")).alias("b"), F.count("*").alias("m"), F.sum("k").alias("n")).where("m > 1")
-    return stored(best.select("token", F.col("b.comp").alias("main"), "b.pick.pivot", "b.pick.n_pivot", "n"))
+    per = own.groupBy("token", "comp").agg(F.count("*").alias("k"), pick)
+    best = per.groupBy("token").agg(F.max(F.struct("k", "comp", "pick")).alias("b"), F.count("*").alias("m")).where("m > 1")
+    largest = stored(best.select("token", F.col("b.comp").alias("main"), "b.pick.pivot", "b.pick.n_pivot"))
+    return stored(own.join(largest, "token"))
 
 
-def pivot_pairs(rows: DataFrame, comps: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of sets outside a token's largest component with one set inside it: a row per set and token at most."""
-    own = rows.join(comps, "id")
-    largest = _largest(own, turn)
-    met = dealt_join(own, largest.drop("n"), ["token"], "id", largest)
-    can = (F.col("comp") != F.col("main")) & (F.least("n", "n_pivot") * 100 >= F.greatest("n", "n_pivot") * percent)
-    return met.where(can).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+def pivot_pairs(split: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a set inside a token's largest component with one outside it, and their components: a row per set and token at most."""
+    can = (F.col("comp") != F.col("main")) & can_reach("n", "n_pivot", percent)
+    return split.where(can).select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("main").alias("comp_a"), F.col("comp").alias("comp_b")).distinct()
 
 
-def meeting_pairs(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def meeting_pairs(split: DataFrame, percent: int) -> DataFrame:
     """All distinct pairs (a, b) in different components that can reach the similarity. Pairs
     meet at a shingle only if one of them lies outside the shingle's largest component, so
     a large component is never joined with itself."""
     c = F.col
-    own = rows.join(comps, "id")
-    largest = _largest(own, 0)
-    met = stored(dealt_join(own, largest.select("token", "main"), ["token"], "id", largest))
-    l, r = met.where("comp <> main").alias("l"), met.alias("r")
+    l, r = split.where("comp <> main").alias("l"), split.alias("r")
     least = F.floor((percent * (c("l.n") + c("r.n")) + 99 + percent) / (100 + percent))
-    can = (c("l.comp") != c("r.comp")) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent) & (F.least(c("l.n") - c("l.p"), c("r.n") - c("r.p")) >= least)
-    return l.join(r, (c("l.token") == c("r.token")) & can).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    can = (c("l.comp") != c("r.comp")) & can_reach("l.n", "r.n", percent) & (F.least(c("l.n") - c("l.p"), c("r.n") - c("r.p")) >= least)
+    first = c("l.id") < c("r.id")
+    ends = [F.when(first, c(f"{x}.{k}")).otherwise(c(f"{y}.{k}")).alias(name) for x, y, k, name in (("l", "r", "id", "a"), ("r", "l", "id", "b"), ("l", "r", "comp", "comp_a"), ("r", "l", "comp", "comp_b"))]
+    return l.join(r, (c("l.token") == c("r.token")) & can).select(*ends).distinct()
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """:func:`meeting_pairs` of rows (id, comp, sh)."""
-    return meeting_pairs(prefix_rows(sets, percent), sets.select("id", "comp"), percent)
+    return stored(meeting_pairs(split_tokens(prefix_rows(sets, percent), sets.select("id", "comp"), 0), percent))
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (id, comp) after joining the components (comp_a, comp_b) of ``links``."""
+    into = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    return stored(comps.join(into, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, n_permutations: int = N_PERMUTATIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Joins of narrow rows (a few integers each) leave hot keys to adaptive execution, which splits a partition by its bytes; where a join brings
+    sets to its rows, which bytes before the join don't show, hot keys are dealt out beforehand (:func:`confirm`).
+    """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stored(texts.mapInArrow(_signatures(width, n_permutations, rows), "doc_id long, n long, s1 long, s2 long, bands array<long>"))
     some = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = stored(signed.where(some).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    own = dealt_join(signed.where(some).drop("bands"), classes.drop("n"), ["s1", "s2"], "doc_id", classes)
+    classes = stored(signed.where(some).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+    own = signed.where(some).drop("bands").join(classes, ["s1", "s2"])
     alone = signed.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("rep"))
     members = stored(own.select("doc_id", "n", "rep").unionByName(alone))
     reps = classes.select(F.col("rep").alias("doc_id"))
-    banded = signed.where(some).select("doc_id", "bands").join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    buckets = stored(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count("*").alias("m")).where("pivot < top"))
-    met = stored(dealt_join(banded, buckets.select("key", "pivot", "m"), ["key"], "id", buckets.select("key", F.col("m").alias("n"))))
-    stars = stored(met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    banded = signed.where(some).select("doc_id", "n", "bands").join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
+    first = F.min(F.struct(F.col("id").alias("pivot"), F.col("n").alias("n_pivot"))).alias("first")
+    buckets = stored(banded.groupBy("key").agg(first, F.max("id").alias("top"), F.count("*").alias("m")).where("first.pivot < top").select("key", "first.*", "m"))
+    met = stored(banded.join(buckets, "key"))
+    stars = stored(met.where((F.col("id") != F.col("pivot")) & can_reach("n", "n_pivot", percent)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     ids = met.select("id").distinct()
     sets = stored(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_set_rows(width), "id long, sh binary"))
-    linked = stored(confirm(stars, sets, percent))
-    comps = components(linked)
-    open_ = met.where("m > 2").join(comps, met["id"] == comps["node"], "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    open_ = stored(open_)
-    split = stored(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
-    again = stored(dealt_join(open_, split.select("key"), ["key"], "id", split).select("id", "comp").distinct())
-    rows_ = prefix_rows(sets.join(again.select("id"), "id", "left_semi"), percent)
+    linked = stored(confirm(stars, sets, percent, ("a",)))  # a set is in as many buckets as there are bands at most, so b isn't hot
+    found = components(linked).withColumnRenamed("node", "id")
+    comps = stored(sets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    open_ = stored(met.where("m > 2").select("key", "id").join(comps, "id"))
+    split = stored(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    again = stored(open_.join(split, "key").select("id").distinct())
+    prefixes = prefix_rows(sets.join(again, "id", "left_semi"), percent)
     # large clusters of near copies come together by single pairs first, so that few sets are left outside them
-    own = again
     for turn in range(TURNS):
-        more = stored(confirm(stored(pivot_pairs(rows_, own, percent, turn)), sets, percent))
-        if not more.limit(1).count():
+        prefixes = split_tokens(prefixes, comps, turn)
+        more = stored(confirm(stored(pivot_pairs(prefixes, percent)), sets, percent, ("a",)))  # b has a pair per shingle of its own at most
+        if more.isEmpty():
             break
-        linked = stored(linked.union(more))
-        comps = components(linked)
-        own = stored(again.select("id").join(comps, again["id"] == comps["node"], "left").select("id", F.coalesce("comp", "id").alias("comp")))
-    more = stored(confirm(stored(meeting_pairs(rows_, own, percent)), sets, percent))
-    if more.limit(1).count():
-        comps = components(linked.union(more))
-    rep = comps.withColumnRenamed("node", "rep")
-    found = dealt_join(members, rep, ["rep"], "doc_id", members.groupBy("rep").agg(F.count("*").alias("n")), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        comps = merged(comps, more)
+    more = stored(confirm(stored(meeting_pairs(split_tokens(prefixes, comps, TURNS), percent)), sets, percent))
+    if not more.isEmpty():
+        comps = merged(comps, more)
+    all_ = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    return all_.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
