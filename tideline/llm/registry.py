@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, minhash, pieces, quality, sharding, substring_dedup, suffix_array, warc
+from . import decontaminate, langid, line_dedup, minhash, phrases, pieces, quality, sharding, substring_dedup, suffix_array, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
+    "op13_collocations": phrases.op13_collocations,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_quality_rules": quality.ORACLE,
     "op7_suffix_array": suffix_array.ORACLE,
     "op9_minhash": minhash.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
