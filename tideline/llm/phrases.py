@@ -11,7 +11,8 @@ survive at or above its threshold, the threshold falls to a score further down a
 lower one adds to the frontier is expanded; else nothing outside the frontier can reach the ``top``-th
 surviving score, ties included, and the language is settled.
 
-Each expansion is one pass over the texts: tasks count n-grams that the frontier admits, Spark sums them by string.
+Each expansion is a pass over the texts: tasks count n-grams that the frontier admits, Spark sums them by string. Words and pairs of words, which
+no bound thins out yet, take a pass before in which only their hashes are summed; those that are rare by it never become strings.
 The frontier travels as flags in ``CELLS`` one-byte cells addressed by hash, so its size doesn't grow with
 the data; phrases that share a cell only cause more phrases to be counted, never fewer, and every counted phrase is
 counted over all texts. Exact counts, scores and cuts come from joins of the counted tables.
@@ -34,8 +35,8 @@ from pyspark.sql import window as W
 from .common import LOWER, documents, mix, slice_hashes, stored, text_bytes, window_hashes
 
 LEAST, SHARE, TOP, LONGEST = 30, 80, 2000, 4
-#: One-byte cells of a frontier, and bytes of text that are counted at a time.
-CELLS, CHUNK = 1 << 23, 8 << 20
+#: One-byte cells of a frontier, bytes of text that are counted at a time, and strings that are put together at a time.
+CELLS, CHUNK, STRINGS = 1 << 23, 2 << 20, 1 << 16
 #: What separates words, and what separates pieces.
 BLANKS, CUTS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
@@ -93,15 +94,11 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tup
     """(texts, langs) of about ``most`` bytes each; a longer text is a chunk of its own."""
     for b in batches:
         texts, langs = b.column("text").cast(pa.large_string()), b.column("lang")
-        sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8))
-        lo = size = 0
-        for i, x in enumerate(sizes):
-            if size and size + x > most:
-                yield texts.slice(lo, i - lo), langs.slice(lo, i - lo)
-                lo, size = i, 0
-            size += x
-        if lo < len(texts):
-            yield texts.slice(lo), langs.slice(lo)
+        ends, lo = text_bytes(texts)[2], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield texts.slice(lo, hi - lo), langs.slice(lo, hi - lo)
+            lo = hi
 
 
 def admitted(cell: np.ndarray, flags: np.ndarray, all_known: bool) -> np.ndarray:
@@ -114,8 +111,27 @@ def admitted(cell: np.ndarray, flags: np.ndarray, all_known: bool) -> np.ndarray
     return known & (grows | checks) if all_known else (known & grows) | checks
 
 
-def counter(k: int, new=None, old=None) -> Callable:
-    """Counts the ``k``-grams that the broadcast flags ``new`` admit and ``old`` doesn't, a chunk at a time."""
+def cells_of(key: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    return (key & np.uint64(len(flags) - 1)).astype(np.int64)
+
+
+def taken(w: Words, k: int, new, old, own) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the ``k``-grams that the broadcast flags ``new`` admit and ``old`` doesn't, with their own cells in ``own``."""
+    key, take = w.grams(k)
+    if k > 1 and len(key):
+        part = w.grams(k - 1)[0]
+        cell = cells_of(part, new.value)
+        take &= admitted(cell, new.value, k == 3) if k > 2 else (new.value[cell[:-1]] & new.value[cell[1:]] & KNOWN) > 0
+        if old is not None:
+            take &= ~admitted(cell, old.value, k == 3)
+    at = np.flatnonzero(take)
+    if own is not None:
+        at = at[own.value[cells_of(key[at], own.value)] > 0]
+    return key[at], at
+
+
+def counter(k: int, new=None, old=None, own=None) -> Callable:
+    """Counts the ``k``-grams of a chunk of text at a time."""
 
     def count(batches):
         for texts, langs in chunks(batches):
@@ -123,25 +139,36 @@ def counter(k: int, new=None, old=None) -> Callable:
             if k == 1:  # also the number of all words, as the count of a null
                 total = np.bincount(w.lang, minlength=len(w.langs))
                 yield pa.RecordBatch.from_arrays([w.langs, pa.nulls(len(total), pa.string()), pa.array(total, pa.int64())], names=["lang", "phrase", "n"])
-            key, take = w.grams(k)
-            if k > 1 and len(key):
-                part, whole = w.grams(k - 1)
-                cell = (part & np.uint64(len(new.value) - 1)).astype(np.int64)
-                take &= admitted(cell, new.value, k == 3) if k > 2 else (new.value[cell[:-1]] & new.value[cell[1:]] & KNOWN) > 0
-                if old is not None and take.any():
-                    take &= ~admitted(cell, old.value, k == 3)
-            at = np.flatnonzero(take)
-            if len(at):
-                _, first, n = np.unique(key[at], return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[at])), w.strings(at, k), pa.array(n)], names=["lang", "phrase", "n"])
+            key, at = taken(w, k, new, old, own)
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            for lo in range(0, len(n), STRINGS):
+                some = at[first[lo : lo + STRINGS]]
+                yield pa.RecordBatch.from_arrays([w.langs.take(pa.array(w.lang[some])), w.strings(some, k), pa.array(n[lo : lo + STRINGS])], names=["lang", "phrase", "n"])
 
     return count
 
 
-def counts(docs: DataFrame, k: int, new=None, old=None) -> DataFrame:
+def hasher(k: int, new=None, old=None) -> Callable:
+    """Counts hashes of the ``k``-grams of a chunk of text at a time."""
+
+    def count(batches):
+        for texts, langs in chunks(batches):
+            key, n = np.unique(taken(Words(texts, langs), k, new, old, None)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    return count
+
+
+def often(docs: DataFrame, k: int, new=None, old=None, size: int = CELLS) -> np.ndarray:
+    """Cells of all ``k``-grams that may be found ``LEAST`` times: a pass that sums hashes, so that rare ones never become strings."""
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(hasher(k, new, old), "key long, n long")
+    cell = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select(F.col("key").bitwiseAND(size - 1).alias("cell"))
+    return _gathered(cell.select(F.shiftright("cell", 3).alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cell").bitwiseAND(7) * 8).cast("int")).alias("bits")), size)
+
+
+def counts(docs: DataFrame, k: int, new=None, old=None, own=None) -> DataFrame:
     """lang, phrase and count a of the ``k``-grams found ``LEAST`` times or more, and of the null phrase of k = 1."""
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(counter(k, new, old), "lang string, phrase string, n long")
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(counter(k, new, old, own), "lang string, phrase string, n long")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where((F.col("a") >= LEAST) | F.col("phrase").isNull())
 
 
@@ -160,7 +187,10 @@ def _cells(k: int, size: int) -> Callable:
 
 def flags_of(marked: DataFrame, k: int, size: int = CELLS) -> np.ndarray:
     """The cells of ``marked`` (lang, phrase, flags); at most ``size`` bytes reach the driver."""
-    rows = marked.select("lang", "phrase", "flags").where("flags > 0").mapInArrow(_cells(k, size), "slot long, bits long")
+    return _gathered(marked.select("lang", "phrase", "flags").where("flags > 0").mapInArrow(_cells(k, size), "slot long, bits long"), size)
+
+
+def _gathered(rows: DataFrame, size: int) -> np.ndarray:
     got = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size // 8, np.int64)
     out[got.column("slot").to_numpy()] = got.column("bits").to_numpy()
@@ -237,11 +267,12 @@ def collocations(docs: DataFrame, top: int = TOP, cells: int = CELLS) -> DataFra
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` surviving phrases of two to four words in (lang, text)."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    singles = stored(counts(docs, 1))
+    singles = stored(counts(docs, 1, own=share(often(docs, 1, size=cells))))
     totals = singles.where("phrase IS NULL").select("lang", F.col("a").alias("n"))
     a = F.col("a")
     frequent = singles.where("phrase IS NOT NULL").select("lang", "phrase", "a", a.alias("first"), a.alias("last"), a.alias("head"), a.alias("tail"))
-    known = {2: stored(scored(counts(docs, 2, share(flags_of(frequent.withColumn("flags", F.lit(KNOWN)), 1, cells))), frequent, 2))}
+    single = share(flags_of(frequent.withColumn("flags", F.lit(KNOWN)), 1, cells))
+    known = {2: stored(scored(counts(docs, 2, single, own=share(often(docs, 2, single, size=cells))), frequent, 2))}
     found: dict[int, list[DataFrame]] = {3: [], 4: []}
     seen = {3: None, 4: None}
     ranks = totals.select("lang", F.lit(top).cast("long").alias("rank"))
@@ -261,10 +292,11 @@ def collocations(docs: DataFrame, top: int = TOP, cells: int = CELLS) -> DataFra
             known[k] = stored(scored(both, known[k - 1], k))
         best = stored(surviving(known, least))
         have = best.groupBy("lang").agg(F.count("*").alias("have"))
-        state = ranks.join(least.select("lang", "least"), "lang").join(have, "lang", "left")
+        reached = known[2].unionByName(known[3]).unionByName(known[4]).join(least, "lang").where("score >= least").groupBy("lang").agg(F.count("*").alias("reached"))
+        state = ranks.join(least.select("lang", "least"), "lang").join(have, "lang", "left").join(reached, "lang", "left")
         have = F.coalesce("have", F.lit(0))
         open_ = (have < top) & (F.col("least") > 0)
-        further = F.ceil(F.col("rank") * F.greatest(F.lit(2.0), 1.5 * top / F.greatest(have, F.lit(1)))).cast("long")
+        further = F.ceil(F.coalesce("reached", "rank") * F.greatest(F.lit(3.0), 2.0 * top / F.greatest(have, F.lit(1)))).cast("long")
         ranks = stored(state.select("lang", F.when(open_, further).otherwise(F.col("rank")).alias("rank"), open_.alias("open")))
         if not ranks.where("open").limit(1).count():
             break
