@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, minhash, phrases, pieces, quality, sharding, substring_dedup, suffix_array, warc
+from . import decontaminate, langid, line_dedup, minhash, phrases, pieces, quality, sharding, substring_dedup, suffix_array, toxicity, warc, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_minhash": minhash.op9_minhash,
     "op10_langid": langid.op10_langid,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_collocations": phrases.op13_collocations,
 }
 ORACLES = {
