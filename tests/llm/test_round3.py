@@ -206,9 +206,9 @@ def test_queries_on_tables(spark, sf_dir, name):
     got = registry.QUERIES[name](spark, sf_dir).toPandas()
     con = duckdb.connect()
     if name == "op11_whitening":
-        assert len(got) == 4 * con.sql(f"SELECT count(*) FROM '{sf_dir}/embeddings.parquet'").fetchone()[0] and got.identity_error.max() <= 1e-4
+        assert len(got) == 4 * con.execute(f"SELECT count(*) FROM '{sf_dir}/embeddings.parquet'").fetchone()[0] and got.identity_error.max() <= 1e-4
         return
-    toxic = dict(con.sql(f"SELECT doc_id, toxic FROM '{sf_dir}/labels.parquet'").fetchall())
-    assert len(got) == con.sql(f"SELECT count(*) FROM '{sf_dir}/documents.parquet'").fetchone()[0] and got.score.between(0, 1).all()
+    toxic = dict(con.execute(f"SELECT doc_id, toxic FROM '{sf_dir}/labels.parquet'").fetchall())
+    assert len(got) == con.execute(f"SELECT count(*) FROM '{sf_dir}/documents.parquet'").fetchone()[0] and got.score.between(0, 1).all()
     held = got[got.held_out & got.doc_id.isin(toxic)]
     assert (held.predicted == held.doc_id.map(toxic)).mean() > 0.9
