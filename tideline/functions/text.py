@@ -27,10 +27,15 @@ EVENT_RULES = [
 SECRET = r"(?i)(authorization\s*[:=]|bearer\s+|\b(aa|sk)-[A-Za-z0-9_-]{6,})"
 
 
+def folded_text(v: str) -> str:
+    """NFKC, casefold, white space collapsed and trimmed."""
+    return " ".join(unicodedata.normalize("NFKC", v).casefold().split())
+
+
 @F.pandas_udf(T.StringType())
 def folded(x: pd.Series) -> pd.Series:
-    """NFKC, casefold, white space collapsed and trimmed."""
-    return x.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).casefold().split()))
+    """:func:`folded_text` of a batch."""
+    return x.map(lambda v: None if v is None else folded_text(v))
 
 
 def fold(text: Column) -> Column:
@@ -166,16 +171,25 @@ def classify(text: Column) -> Column:
     return F.struct(base["event_type"].alias("event_type"), base["severity"].alias("severity"), F.when(base["severity"] >= 0.6, "1d_3d").otherwise("1w_plus").alias("horizon"))
 
 
-def matched(text: Column, terms: list[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.contains(t), t) for t in terms]))
+def folded_terms(terms: list[str]) -> list[str]:
+    """Terms as :func:`fold` leaves texts, each once, without empty ones."""
+    return [t for t in dict.fromkeys(map(folded_text, terms)) if t]
 
 
-def relevance(text: Column, include: list[str], exclude: list[str]) -> Column:
-    """struct(accepted, reason, included, excluded); an excluded term beats an included one."""
-    inc, exc = matched(text, include), matched(text, exclude)
+def relevance(text: Column, include: list[str], exclude: list[str], is_folded: bool = False) -> Column:
+    """struct(accepted, reason, included, excluded) of a text, folded like the terms; an excluded term beats an included one.
+
+    The folded text is an element of an array that the terms are tested in, so it is made once per row and not once per term and use."""
+    include, exclude = folded_terms(include), folded_terms(exclude)
     no = F.array().cast("array<string>")
-    inc, exc = (inc if include else no), (exc if exclude else no)
-    reason = F.when(F.size(exc) > 0, "rejected_excluded_term").when((F.size(inc) == 0) if include else F.lit(False), "rejected_missing_include_term").otherwise("accepted_include_match" if include else "accepted_no_include_terms")
+    found = lambda t, terms: F.filter(F.array(*map(F.lit, terms)), lambda x: F.contains(t, x)) if terms else no
+    hits = F.transform(F.array(F.coalesce(text if is_folded else fold(text), F.lit(""))), lambda t: F.struct(found(t, include).alias("inc"), found(t, exclude).alias("exc")))
+    return F.transform(hits, lambda h: _decision(h["inc"], h["exc"], bool(include)))[0]
+
+
+def _decision(inc: Column, exc: Column, needed: bool) -> Column:
+    # The reasons.
+    reason = F.when(F.size(exc) > 0, "rejected_excluded_term").when((F.size(inc) == 0) if needed else F.lit(False), "rejected_missing_include_term").otherwise("accepted_include_match" if needed else "accepted_no_include_terms")
     return F.struct(reason.startswith("accepted").alias("accepted"), reason.alias("reason"), inc.alias("included"), exc.alias("excluded"))
 
 

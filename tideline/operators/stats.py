@@ -34,9 +34,9 @@ def psr_statistic(benchmark: Column) -> Column:
 def sharpe_diagnostics(df: DataFrame, keys: list[str], r: str, trials: DataFrame, declared: int, periods: int) -> DataFrame:
     """moments with psr, dsr and the deflated benchmark; ``trials`` has one column sharpe (annual)."""
     spread = trials.agg((F.stddev_samp("sharpe") / math.sqrt(periods)).alias("spread"))
-    factor = (1 - EULER) * normal.inverse(F.lit(1 - 1 / declared)) + EULER * normal.inverse(F.lit(1 - 1 / (declared * math.e)))
-    bench = spread.select((F.col("spread") * factor).alias("bench"))
-    d = moments(df, keys, r, periods).join(bench)  # one row
+    bench = spread.withColumns({"p0": F.lit(1 - 1 / declared), "p1": F.lit(1 - 1 / (declared * math.e))})
+    bench = bench.select((F.col("spread") * ((1 - EULER) * normal.inverse("p0") + EULER * normal.inverse("p1"))).alias("bench"))
+    d = moments(df, keys, r, periods).crossJoin(bench)  # one row
     d = d.withColumns({"z0": psr_statistic(F.lit(0.0)), "z1": psr_statistic(F.col("bench"))})
     return d.withColumns({"psr": normal.cdf("z0"), "dsr": normal.cdf("z1"), "deflated_benchmark": F.col("bench") * math.sqrt(periods)}).drop("bench", "z0", "z1")
 
@@ -47,19 +47,51 @@ def aligned(df: DataFrame, keys: list[str], model: str, benchmark: str, r: str)
     return df.where(F.col(model) != benchmark).withColumnRenamed(r, "candidate").join(b, keys)
 
 
-def block_bootstrap(df: DataFrame, key: str, samples: int, block: int, seed: int) -> DataFrame:
+#: Prefix sums of all keys together that go to all tasks; beyond, draws are joined with them.
+MOST_SUMS = 2_000_000
+
+
+def block_bootstrap(df: DataFrame, key: str, samples: int, block: int, seed: int, most: int = MOST_SUMS) -> DataFrame:
     """Circular block bootstrap of the mean of ``d`` per key: rows (key, pos, d) with pos from 0.
 
-    A block's sum is the difference of two prefix sums, so a sample costs n / block joins of
-    positions instead of n; starts come from an MD5 of key, sample and block."""
+    A block's sum is the difference of two prefix sums; starts come from an MD5 of key, sample and block. Where all prefix sums
+    are few (counted first) they travel as an array per key, and a sample is one row that looks its blocks up: no draw is shuffled."""
     c = F.col
     w = W.Window.partitionBy(key).orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)
     sums = df.withColumn("s", F.sum("d").over(w))
     total = df.groupBy(key).agg(F.count("*").alias("n"), F.sum("d").alias("total"), F.avg("d").alias("observed"))
+    means = (_looked_up if df.count() <= most else _joined)(sums, total, key, samples, block, seed)
+    return means.groupBy(key).agg(
+        F.max("n").alias("observations"), F.max("observed").alias("observed_mean"), ((1 + F.count_if(c("mean") - c("observed") >= c("observed"))) / (samples + 1)).alias("pvalue"),
+        F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"),
+    )
+
+
+def _start(seed: int, key: str, sample: Column, number: Column) -> Column:
+    word = F.concat_ws(":", F.lit(seed), F.col(key), sample.cast("string"), number.cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 12), 16, 10).cast("long"), F.col("n"))
+
+
+def _looked_up(sums: DataFrame, total: DataFrame, key: str, samples: int, block: int, seed: int) -> DataFrame:
+    c = F.col
+    arrays = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("sums")).join(total, key)
+    rows = sums.sparkSession.range(0, samples, 1, 2 * sums.sparkSession.sparkContext.defaultParallelism).withColumnRenamed("id", "sample").crossJoin(F.broadcast(arrays))  # at most MOST_SUMS numbers
+    upto = lambda i: F.when(i < 0, F.lit(0.0)).otherwise(F.element_at("sums", (i + 1).cast("int")))
+
+    def part(acc: Column, number: Column) -> Column:
+        drawn = F.array(F.struct(_start(seed, key, c("sample"), number).alias("at"), F.least(F.lit(block).cast("long"), c("n") - number * block).alias("len")))
+        one = F.transform(drawn, lambda x: upto(F.pmod(x["at"] + x["len"] - 1, c("n"))) - upto(x["at"] - 1) + F.when(x["at"] + x["len"] > c("n"), c("total")).otherwise(0.0))
+        return acc + one[0]
+
+    drawn = F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(c("n") / block) - 1), F.lit(0.0), part)
+    return rows.select(key, "sample", "n", "observed", (drawn / c("n")).alias("mean"))
+
+
+def _joined(sums: DataFrame, total: DataFrame, key: str, samples: int, block: int, seed: int) -> DataFrame:
+    c = F.col
     draws = total.select(key, "n", "total", "observed", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
     draws = draws.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(c("n") / block) - 1)))
-    word = F.concat_ws(":", F.lit(seed), c(key), c("sample"), c("block"))
-    start = F.pmod(F.conv(F.substring(F.md5(word), 1, 12), 16, 10).cast("long"), c("n"))
+    start = _start(seed, key, c("sample"), c("block"))
     length = F.least(F.lit(block).cast("long"), c("n") - c("block") * block)
     draws = draws.withColumns({"a": start - 1, "z": start + length - 1})
     draws = draws.withColumns({"wraps": (c("z") >= c("n")).cast("int"), "z": F.pmod("z", "n")})
@@ -67,11 +99,7 @@ def block_bootstrap(df: DataFrame, key: str, samples: int, block: int, seed: int
     right = sums.select(F.col(key).alias("k2"), F.col("pos").alias("p2"), F.col("s").alias("s2"))
     d = draws.join(right, (c(key) == c("k2")) & (c("z") == c("p2"))).join(left, (c(key) == c("k1")) & (c("a") == c("p1")), "left")
     d = d.withColumn("part", c("s2") - F.coalesce("s1", F.lit(0.0)) + c("wraps") * c("total"))
-    means = d.groupBy(key, "sample", "n", "observed").agg((F.sum("part") / F.first("n")).alias("mean"))
-    return means.groupBy(key).agg(
-        F.max("n").alias("observations"), F.max("observed").alias("observed_mean"), ((1 + F.count_if(c("mean") - c("observed") >= c("observed"))) / (samples + 1)).alias("pvalue"),
-        F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"),
-    )
+    return d.groupBy(key, "sample", "n", "observed").agg((F.sum("part") / F.first("n")).alias("mean"))
 
 
 def fold_concentration(folds: DataFrame, keys: list[str], r: str) -> DataFrame:
@@ -96,6 +124,7 @@ def regime_performance(df: DataFrame, keys: list[str], r: str, periods: int) ->
     return g.withColumn("annualized_sharpe", F.when(c("sd") > 0, c("mean_return") / c("sd") * math.sqrt(periods)).otherwise(0.0)).drop("sd")
 
 
+#: Names of the rules.
 RULES = {
     "minimum_observations": "observations >= 500", "positive_total_return": "total_return > 0", "psr": "psr >= 0.95", "dsr": "dsr >= 0.95", "mean_improvement": "observed_mean > 0",
     "bootstrap_significance": "pvalue <= 0.05 AND ci_low > 0", "positive_fold_ratio": "positive_fold_ratio >= 0.6", "top_fold_concentration": "top_share <= 0.5",
@@ -108,3 +137,17 @@ def candidate_gate(joined: DataFrame, rules: dict[str, str] | None = None) -> Da
     rules = rules or RULES
     failed = F.array_sort(F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(e), F.lit(False)), n) for n, e in rules.items()])))
     return joined.withColumn("_tl_f", failed).withColumns({"passed_rules": F.lit(len(rules)) - F.size("_tl_f"), "failed_rules": F.array_join("_tl_f", ","), "eligible": F.size("_tl_f") == 0}).drop("_tl_f")
+
+
+def ranked(gated: DataFrame, model: str = "model") -> DataFrame:
+    """``gated`` with each candidate's rank: eligible ones first, then by deflated Sharpe probability, then by total return."""
+    order = W.Window.orderBy(F.col("eligible").desc(), F.col("dsr").desc_nulls_last(), F.col("total_return").desc_nulls_last(), model)
+    return gated.withColumn("rank", F.row_number().over(order).cast("long"))  # a row per candidate
+
+
+def verdict(gated: DataFrame, model: str = "model") -> DataFrame:
+    """One row: verdict, recommended action, number of candidates and passing candidates in their rank's order."""
+    passing = F.array_sort(F.collect_list(F.when(F.col("eligible"), F.struct("rank", F.col(model).alias("model")))))
+    d = ranked(gated, model).agg(F.count("*").alias("candidate_count"), F.count_if("eligible").alias("passing_candidate_count"), F.array_join(F.transform(passing, lambda x: x["model"]), ",").alias("passing_candidates"))
+    some = F.col("passing_candidate_count") > 0
+    return d.withColumns({"verdict": F.when(some, "candidate_requires_human_freeze_review").otherwise("no_candidate_passed"), "recommended_action": F.when(some, "human_review_before_new_experiment").otherwise("retain_research_only")})

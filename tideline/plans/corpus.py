@@ -23,11 +23,12 @@ def docs(s: SparkSession, f: str) -> DataFrame:
     return d.select(c("doc_id").alias("document_id"), c("source").alias("source_id"), F.substring("text", 1, 80).alias("title"), "text", "lang", F.timestamp_seconds(F.lit(1704067200) + c("doc_id") * 60).alias("retrieved_at"), F.sha2("text", 256).alias("content_sha256"), tags.alias("asset_tags"))
 
 
-def signals(s: SparkSession, f: str) -> DataFrame:
-    e, n = read(s, f, "events"), read(s, f, "documents").agg(F.count("*").alias("n_docs"))
+def signals(s: SparkSession, f: str, e: DataFrame | None = None) -> DataFrame:
+    """Signals of the events, or of a stream of them."""
+    e, n = read(s, f, "events") if e is None else e, read(s, f, "documents").agg(F.count("*").alias("n_docs"))  # one row
     t = c("ts").cast("timestamp")
     k = c("event_type")
-    return e.join(n).select(
+    return e.crossJoin(n).select(
         c("event_id").alias("signal_id"), F.concat(F.lit("k"), c("event_id")).alias("extraction_key"), F.pmod("event_id", "n_docs").alias("document_id"), F.concat(F.lit("src"), c("user_id") % 7).alias("source_id"),
         F.element_at(F.array(*map(F.lit, ("BTC", "ETH", "MARKET"))), (c("event_id") % 3 + 1).cast("int")).alias("asset"), k.alias("event_type"), F.when(k.isin("purchase", "signup"), "bullish").when(k == "error", "bearish").otherwise("neutral").alias("direction"),
         F.least(c("value") / 500, F.lit(1.0)).alias("severity"), (c("event_id") % 10 / 10.0).alias("novelty"), ((c("user_id") % 5 + 1) / 5.0).alias("confidence"), F.lit(0.8).alias("source_quality"), t.alias("event_time"),
@@ -68,7 +69,7 @@ register("c8_relevance_text", lambda s, f: docs(s, f).withColumn("folded", X.fol
 
 
 def decisions(s: SparkSession, f: str) -> DataFrame:
-    d = docs(s, f).withColumn("r", X.relevance(X.fold(F.concat_ws("\n", "title", "text")), INC, EXC))
+    d = docs(s, f).withColumn("r", X.relevance(F.concat_ws("\n", "title", "text"), INC, EXC))
     return d.select("document_id", "source_id", "retrieved_at", "title", "content_sha256", "r.accepted", "r.reason", F.array_join("r.included", ",").alias("included"), F.array_join("r.excluded", ",").alias("excluded"))
 
 
@@ -76,8 +77,6 @@ DEC = f"""SELECT *, reason LIKE 'accepted%' AS accepted FROM (SELECT *, array_to
   FROM (SELECT *, trim(regexp_replace(lower(concat_ws(chr(10), title, text)), '\\s+', ' ', 'g')) AS folded FROM ({DOCS}))))"""
 register("b8_relevance", decisions, "document_id:i accepted reason included excluded", DEC)
 register("c13_identities", lambda s, f: docs(s, f).select("document_id", X.identity(c("source_id"), c("title"), c("content_sha256")).alias("identity")), "document_id:i identity", f"SELECT document_id, {IDSQL('source_id', 'title', 'content_sha256')} AS identity FROM ({DOCS})")
-register("c14_keyword_classes", lambda s, f: docs(s, f).withColumn("k", X.classify(F.concat(F.element_at(F.array(*map(F.lit, ("Rate cut ahead ", "New release ", "A hack of ", "SEC filing ", "Plain "))), (c("document_id") % 5 + 1).cast("int")), c("title")))).select("document_id", "k.*"), "document_id:i event_type severity:d horizon",
-         "SELECT *, CASE WHEN severity >= 0.6 THEN '1d_3d' ELSE '1w_plus' END AS horizon FROM (SELECT *, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for _, k, v in X.EVENT_RULES) + " ELSE 0.2 END AS severity FROM (SELECT document_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{k}'" for ws, k, _ in X.EVENT_RULES) + f" ELSE 'general_update' END AS event_type FROM (SELECT document_id, lower(['Rate cut ahead ', 'New release ', 'A hack of ', 'SEC filing ', 'Plain '][document_id % 5 + 1] || title) AS t FROM ({DOCS}))))")
 register("c14_whole_text_classes", lambda s, f: docs(s, f).withColumn("k", X.classify(F.concat_ws("\n", "title", "text"))).select("document_id", "k.*"), "document_id:i event_type severity:d horizon",
          "SELECT *, CASE WHEN severity >= 0.6 THEN '1d_3d' ELSE '1w_plus' END AS horizon FROM (SELECT *, CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for _, k, v in X.EVENT_RULES) + " ELSE 0.2 END AS severity FROM (SELECT document_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + f" THEN '{k}'" for ws, k, _ in X.EVENT_RULES) + f" ELSE 'general_update' END AS event_type FROM (SELECT document_id, lower(concat_ws(chr(10), title, text)) AS t FROM ({DOCS}))))")
 register("c19_document_text", lambda s, f: docs(s, f).withColumn("body", X.document_text(c("title"), c("text"))).select("document_id", F.octet_length("body").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "document_id:i n_bytes:i sha", f"SELECT document_id, strlen(b) AS n_bytes, sha256(b) AS sha FROM (SELECT document_id, CASE WHEN text = '' THEN title ELSE title || chr(10) || chr(10) || text END AS b FROM ({DOCS}))")
@@ -92,7 +91,7 @@ register("b21_reconciliation", lambda s, f: decisions(s, f).groupBy("source_id")
 ORDER = ["src3", "src1"]
 register("g4_round_robin", lambda s, f: L.select_round_robin(decisions(s, f).where("accepted"), "source_id", ["retrieved_at", "document_id"], ORDER, 50), "document_id:i source_id turn:i", f"SELECT document_id, source_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY retrieved_at, document_id) AS turn, CASE source_id WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END AS sr FROM ({DEC}) WHERE accepted) ORDER BY turn, sr, source_id LIMIT 50")
 register("g5_global_order", lambda s, f: decisions(s, f).where("accepted").orderBy("retrieved_at", "source_id", "document_id").limit(25), "document_id:i source_id retrieved_at:t", f"SELECT * FROM ({DEC}) WHERE accepted ORDER BY retrieved_at, source_id, document_id LIMIT 25")
-register("g6_item_cap", lambda s, f: L.round_robin(docs(s, f), "source_id", ["document_id"], []).groupBy("source_id").agg(F.count_if(c("turn") <= 10).alias("kept"), F.count_if(c("turn") > 10).alias("truncated")), "source_id kept:i truncated:i", f"SELECT source_id, least(count(*), 10) AS kept, greatest(count(*) - 10, 0) AS truncated FROM ({DOCS}) GROUP BY 1")
+register("g6_item_cap", lambda s, f: L.round_robin(docs(s, f), "source_id", ["document_id"], [], 100_000).groupBy("source_id").agg(F.count_if(c("turn") <= 10).alias("kept"), F.count_if(c("turn") > 10).alias("truncated")), "source_id kept:i truncated:i", f"SELECT source_id, least(count(*), 10) AS kept, greatest(count(*) - 10, 0) AS truncated FROM ({DOCS}) GROUP BY 1")
 
 # ledgers
 def ledger(s: SparkSession, f: str) -> DataFrame:
@@ -103,7 +102,6 @@ LED = f"SELECT *, lag(sha) OVER (PARTITION BY source_id ORDER BY seq) AS prev_sh
 register("d12_chain", ledger, "source_id document_id:i seq:i sha prev_sha", LED)
 register("d12_f14_chain_report", lambda s, f: L.chain_report(ledger(s, f).withColumn("prev_sha", F.when(c("document_id") % 97 == 5, F.lit("x")).otherwise(c("prev_sha"))), "source_id"), "source_id rows:i roots:i broken:i disordered:i forks:i", f"""WITH t AS (SELECT * REPLACE (CASE WHEN document_id % 97 = 5 THEN 'x' ELSE prev_sha END AS prev_sha) FROM ({LED})), k AS (SELECT source_id, sum((n > 1)::INT) AS forks FROM (SELECT source_id, prev_sha, count(*) AS n FROM t WHERE prev_sha IS NOT NULL GROUP BY ALL) GROUP BY 1)
 SELECT t.source_id, count(*) AS rows, count(*) FILTER (t.prev_sha IS NULL) AS roots, count(*) FILTER (t.prev_sha IS NOT NULL AND p.sha IS NULL) AS broken, count(*) FILTER (p.seq >= t.seq) AS disordered, coalesce(any_value(forks), 0) AS forks FROM t LEFT JOIN t p ON p.source_id = t.source_id AND p.sha = t.prev_sha LEFT JOIN k ON k.source_id = t.source_id GROUP BY 1""")
-register("d11_pending", lambda s, f: L.unseen(docs(s, f).select("document_id", "source_id"), signals(s, f).where("signal_id % 3 = 0 AND signal_id < 500").select("document_id"), ["document_id"]), "document_id:i source_id", f"SELECT document_id, source_id FROM ({DOCS}) ANTI JOIN (SELECT document_id FROM ({SIG}) WHERE signal_id % 3 = 0 AND signal_id < 500) USING (document_id)")
 
 
 def extracted(s: SparkSession, f: str) -> DataFrame:
@@ -138,12 +136,25 @@ def keyed(s: SparkSession, f: str) -> DataFrame:
     return signals(s, f).where(c("asset").isin("BTC", "ETH"))
 
 
-def win_sql(hours: int) -> str:
+def stats_sql(decisions: str, hours: int) -> str:
+    """The 14 statistics of each distinct (asset, decision_time)."""
     v = "CASE direction WHEN 'bullish' THEN 1.0 WHEN 'bearish' THEN -1.0 ELSE 0.0 END::DOUBLE"
     w = "source_quality * confidence * greatest(severity, 1e-12)"
-    return f"""SELECT d.*, event_count, bullish_count, bearish_count, neutral_count, coalesce(direction_balance, 0) AS direction_balance, coalesce(weighted_direction, 0) AS weighted_direction, coalesce(severity_mean, 0) AS severity_mean, coalesce(severity_max, 0) AS severity_max, coalesce(novelty_mean, 0) AS novelty_mean, coalesce(novelty_max, 0) AS novelty_max, coalesce(confidence_mean, 0) AS confidence_mean, coalesce(source_quality_mean, 0) AS source_quality_mean, unique_source_count, coalesce(age, {hours * 3600}) AS last_event_age_seconds FROM ({DR}) d JOIN (
-SELECT k.asset, k.decision_time, count(signal_id) AS event_count, count(*) FILTER (v > 0) AS bullish_count, count(*) FILTER (v < 0) AS bearish_count, count(*) FILTER (v = 0) AS neutral_count, avg(v) AS direction_balance, sum(v * w) / nullif(sum(w), 0) AS weighted_direction, avg(severity) AS severity_mean, max(severity) AS severity_max, avg(novelty) AS novelty_mean, max(novelty) AS novelty_max, avg(confidence) AS confidence_mean, avg(source_quality) AS source_quality_mean, count(DISTINCT source_id) AS unique_source_count, epoch(any_value(k.decision_time)) - epoch(max(available_at)) AS age
-FROM (SELECT DISTINCT asset, decision_time FROM ({DR})) k LEFT JOIN (SELECT *, {v} AS v, {w} AS w FROM ({SIG})) e ON e.asset = k.asset AND e.available_at <= k.decision_time AND e.available_at > k.decision_time - INTERVAL {hours} HOUR GROUP BY k.asset, k.decision_time) g ON g.asset = d.asset AND g.decision_time = d.decision_time"""
+    zero = lambda x: f"coalesce({x}, 0)"
+    return f"""SELECT k.asset, k.decision_time, count(signal_id) AS event_count,
+  count(*) FILTER (v > 0) AS bullish_count, count(*) FILTER (v < 0) AS bearish_count, count(*) FILTER (v = 0) AS neutral_count,
+  {zero('avg(v)')} AS direction_balance, {zero('sum(v * w) / nullif(sum(w), 0)')} AS weighted_direction,
+  {zero('avg(severity)')} AS severity_mean, {zero('max(severity)')} AS severity_max, {zero('avg(novelty)')} AS novelty_mean, {zero('max(novelty)')} AS novelty_max,
+  {zero('avg(confidence)')} AS confidence_mean, {zero('avg(source_quality)')} AS source_quality_mean, count(DISTINCT source_id) AS unique_source_count,
+  coalesce(epoch(any_value(k.decision_time)) - epoch(max(available_at)), {hours * 3600}) AS last_event_age_seconds
+FROM (SELECT DISTINCT asset, decision_time FROM ({decisions})) k
+LEFT JOIN (SELECT *, {v} AS v, {w} AS w FROM ({SIG})) e
+  ON e.asset = k.asset AND e.available_at <= k.decision_time AND e.available_at > k.decision_time - INTERVAL {hours} HOUR
+GROUP BY k.asset, k.decision_time"""
+
+
+def win_sql(hours: int) -> str:
+    return f"SELECT * FROM ({DR}) d JOIN ({stats_sql(DR, hours)}) g USING (asset, decision_time)"
 
 
 def windowed(s: SparkSession, f: str, hours: int = 24) -> DataFrame:
@@ -155,21 +166,39 @@ def windowed(s: SparkSession, f: str, hours: int = 24) -> DataFrame:
 WSPEC = "series_id ts:t " + " ".join(f"{x}:d" for x in E.STATS)
 register("e22_f15_event_windows_24h", windowed, WSPEC, win_sql(24))
 register("e22_event_windows_1h", lambda s, f: windowed(s, f, 1), WSPEC, win_sql(1))
-register("d10_window_pairs", lambda s, f: E.window_pairs(decision_rows(s, f).select("series_id", "asset", "decision_time"), keyed(s, f).select("asset", "signal_id", "available_at"), 6, ["asset"]).groupBy("series_id", "decision_time").agg(F.count("*").alias("pairs")), "series_id decision_time:t pairs:i", f"SELECT series_id, decision_time, count(*) AS pairs FROM ({DR}) d JOIN ({SIG}) e ON e.asset = d.asset AND e.available_at <= decision_time AND e.available_at > decision_time - INTERVAL 6 HOUR GROUP BY ALL")
+register("d10_window_pairs", lambda s, f: E.window_counts(decision_rows(s, f).select("series_id", "asset", "decision_time"), keyed(s, f).select("asset", "available_at"), 6, ["asset"]).where("pairs > 0"), "series_id decision_time:t pairs:i", f"SELECT series_id, decision_time, count(*) AS pairs FROM ({DR}) d JOIN ({SIG}) e ON e.asset = d.asset AND e.available_at <= decision_time AND e.available_at > decision_time - INTERVAL 6 HOUR GROUP BY ALL")
 CUT = "2024-01-25 00:00:00"
 register("b7_i21_matured_dataset", lambda s, f: E.matured(windowed(s, f), F.lit(CUT).cast("timestamp")), WSPEC + " target_return:d", f"SELECT * FROM ({win_sql(24)}) WHERE decision_time <= TIMESTAMP '{CUT}' AND label_available_at <= TIMESTAMP '{CUT}' AND target_return IS NOT NULL")
 
 
-def maturity(s: SparkSession, f: str) -> DataFrame:
-    d = E.matured(windowed(s, f), F.lit(CUT).cast("timestamp"))
-    a = d.groupBy("asset").agg(F.count("*").alias("rows"), F.countDistinct(F.to_date("decision_time")).alias("dates"), F.count_if(c("event_count") > 0).alias("active_rows"), F.sum("target_positive").alias("positives"))
-    a = a.withColumns(E.deficits({"rows": 300, "dates": 30, "active_rows": 250}))
-    r = E.reasons({"rows": c("rows") >= 300, "dates": c("dates") >= 30, "active_rows": c("active_rows") >= 250, "both_classes": (c("positives") > 0) & (c("positives") < c("rows"))})
+NEEDED = {"rows": 300, "dates": 30, "active_rows": 250}
+
+
+def maturity_of(rows: DataFrame) -> DataFrame:
+    """Counts, deficits, failing rules and status of matured rows, per asset."""
+    a = rows.groupBy("asset").agg(F.count("*").alias("rows"), F.countDistinct(F.to_date("decision_time")).alias("dates"), F.count_if(c("event_count") > 0).alias("active_rows"), F.sum("target_positive").alias("positives"))
+    a = a.withColumns(E.deficits(NEEDED))
+    r = E.reasons({n: c(n) >= k for n, k in NEEDED.items()} | {"both_classes": (c("positives") > 0) & (c("positives") < c("rows"))})
     return a.withColumn("r", r).withColumns({"reasons": F.array_join("r", ","), "status": F.when(F.size("r") == 0, "mature").otherwise("immature")})
 
 
-register("e23_c21_maturity", maturity, "asset rows:i dates:i active_rows:i positives:i missing_rows:i missing_dates:i missing_active_rows:i reasons status", f"""SELECT *, greatest(300 - rows, 0) AS missing_rows, greatest(30 - dates, 0) AS missing_dates, greatest(250 - active_rows, 0) AS missing_active_rows, array_to_string(list_filter([CASE WHEN rows < 300 THEN 'rows' END, CASE WHEN dates < 30 THEN 'dates' END, CASE WHEN active_rows < 250 THEN 'active_rows' END, CASE WHEN positives = 0 OR positives = rows THEN 'both_classes' END], lambda x: x IS NOT NULL), ',') AS reasons, CASE WHEN rows >= 300 AND dates >= 30 AND active_rows >= 250 AND positives > 0 AND positives < rows THEN 'mature' ELSE 'immature' END AS status FROM (
-SELECT asset, count(*) AS rows, count(DISTINCT decision_time::DATE) AS dates, count(*) FILTER (event_count > 0) AS active_rows, sum((target_return > 0)::INT) AS positives FROM ({win_sql(24)}) WHERE decision_time <= TIMESTAMP '{CUT}' AND label_available_at <= TIMESTAMP '{CUT}' AND target_return IS NOT NULL GROUP BY 1)""")
+def matured_at(s: SparkSession, f: str, cut: str) -> DataFrame:
+    return E.matured(windowed(s, f), F.lit(cut).cast("timestamp"))
+
+
+def matured_sql(cut: str) -> str:
+    return f"SELECT * FROM ({win_sql(24)}) WHERE decision_time <= TIMESTAMP '{cut}' AND label_available_at <= TIMESTAMP '{cut}' AND target_return IS NOT NULL"
+
+
+def maturity_sql(cut: str) -> str:
+    rules = [f"CASE WHEN {n} < {k} THEN '{n}' END" for n, k in NEEDED.items()] + ["CASE WHEN positives = 0 OR positives = rows THEN 'both_classes' END"]
+    return f"""SELECT *, {', '.join(f'greatest({k} - {n}, 0) AS missing_{n}' for n, k in NEEDED.items())},
+  array_to_string(list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL), ',') AS reasons, CASE WHEN reasons = '' THEN 'mature' ELSE 'immature' END AS status
+FROM (SELECT asset, count(*) AS rows, count(DISTINCT decision_time::DATE) AS dates, count(*) FILTER (event_count > 0) AS active_rows, sum((target_return > 0)::INT) AS positives
+  FROM ({matured_sql(cut)}) GROUP BY 1)"""
+
+
+register("e23_c21_maturity", lambda s, f: maturity_of(matured_at(s, f, CUT)), "asset rows:i dates:i active_rows:i positives:i missing_rows:i missing_dates:i missing_active_rows:i reasons status", maturity_sql(CUT))
 
 
 def health(s: SparkSession, f: str) -> DataFrame:
@@ -195,7 +224,27 @@ GSQL = "SELECT *, array_to_string(list_filter([CASE WHEN failed > 0 THEN 'failed
 register("e27_call_gate", lambda s, f: call_gate(calls(s, f)), GATE, GSQL.format(CALLS))
 register("e28_j9_delta_gate", lambda s, f: call_gate(L.unseen(calls(s, f), calls(s, f).where("run < 3"), ["call_id"])), GATE, GSQL.format(f"SELECT * FROM ({CALLS}) WHERE run = 3"))
 register("e29_diversity_gate", lambda s, f: signals(s, f).groupBy("event_type").agg(F.collect_set("source_id").alias("x"), F.collect_set("asset").alias("a")).select("event_type", F.size("x").alias("sources"), F.size("a").alias("assets"), F.size(F.array_except(F.array(*map(F.lit, ("src1", "src9"))), "x")).alias("missing")), "event_type sources:i assets:i missing:i", f"SELECT event_type, count(DISTINCT source_id) AS sources, count(DISTINCT asset) AS assets, 1 + (count(*) FILTER (source_id = 'src1') = 0)::INT AS missing FROM ({SIG}) GROUP BY 1")
-register("g2_g3_latest_state", lambda s, f: calls(s, f).where("status = 'success'").groupBy("source_id").agg(F.max_by(F.struct("call_id", "completed_at"), F.struct("completed_at", "run", "call_id")).alias("b"), F.count("*").alias("considered")).select("source_id", "b.*", "considered"), "source_id call_id:i completed_at:t considered:i", f"SELECT source_id, arg_max(call_id, (completed_at, run, call_id)) AS call_id, max(completed_at) AS completed_at, count(*) AS considered FROM ({CALLS}) WHERE status = 'success' GROUP BY 1")
+SINCE = "2024-01-08 00:00:00"
+
+
+def state_candidates(s: SparkSession, f: str) -> DataFrame:
+    """Stored states: every successful call, with the workflow that made it and whether it has expired."""
+    d = calls(s, f).where("status = 'success'")
+    return d.withColumns({"workflow": F.element_at(F.array(*map(F.lit, L.WORKFLOWS)), (c("call_id") % len(L.WORKFLOWS) + 1).cast("int")), "expired": c("call_id") % 5 == 0, "created_at": F.date_trunc("hour", "started_at")})
+
+
+def judged_states(s: SparkSession, f: str) -> DataFrame:
+    return L.judge_states(state_candidates(s, f), "source_id", "call_id", F.lit(SINCE).cast("timestamp"))
+
+
+CANDIDATES = f"SELECT *, {list(L.WORKFLOWS)}[call_id % {len(L.WORKFLOWS)} + 1] AS workflow, call_id % 5 = 0 AS expired, date_trunc('hour', started_at) AS created_at FROM ({CALLS}) WHERE status = 'success'"
+JUDGED = f"""SELECT *, CASE WHEN expired THEN 'rejected_expired' WHEN created_at < TIMESTAMP '{SINCE}' THEN 'rejected_too_old'
+  WHEN row_number() OVER (PARTITION BY source_id ORDER BY expired, created_at < TIMESTAMP '{SINCE}', created_at DESC, completed_at DESC, list_position({list(L.WORKFLOWS)}, workflow) DESC, run DESC, call_id DESC) = 1 THEN 'selected' ELSE 'rejected_older' END AS decision FROM ({CANDIDATES})"""
+register("g2_state_candidates", judged_states, "source_id call_id:i decision", f"SELECT source_id, call_id, decision FROM ({JUDGED})")
+register("g2_g3_latest_state", lambda s, f: L.selected_states(judged_states(s, f), "source_id", ["call_id", "completed_at", "workflow", "run"]), "source_id call_id:i completed_at:t workflow run:i considered:i rejected:i expired:i too_old:i",
+         f"""SELECT source_id, any_value(call_id) FILTER (decision = 'selected') AS call_id, any_value(completed_at) FILTER (decision = 'selected') AS completed_at,
+         any_value(workflow) FILTER (decision = 'selected') AS workflow, any_value(run) FILTER (decision = 'selected') AS run, count(*) AS considered, count(*) FILTER (decision <> 'selected') AS rejected,
+         count(*) FILTER (decision = 'rejected_expired') AS expired, count(*) FILTER (decision = 'rejected_too_old') AS too_old FROM ({JUDGED}) GROUP BY 1""")
 register("c15_direction_weights", lambda s, f: signals(s, f).withColumns({"v": E.direction_value(c("direction")), "w": E.weight(c("source_quality"), c("confidence"), c("severity"))}), "signal_id:i v:d w:d", f"SELECT signal_id, CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END AS v, source_quality * confidence * greatest(severity, 1e-12) AS w FROM ({SIG})")
 register("b9_asset_filter", lambda s, f: signals(s, f).where(c("asset").isin("BTC", "MARKET") & (c("available_at") <= F.lit(CUT).cast("timestamp"))).groupBy("asset").agg(F.count("*").alias("rows"), (F.count("*") - F.countDistinct("signal_id")).alias("repeated")), "asset rows:i repeated:i", f"SELECT asset, count(*) AS rows, count(*) - count(DISTINCT signal_id) AS repeated FROM ({SIG}) WHERE asset IN ('BTC', 'MARKET') AND available_at <= TIMESTAMP '{CUT}' GROUP BY 1")
 register("b14_record_contract", lambda s, f: Q.violations(signals(s, f).join(docs(s, f).select("document_id", "asset_tags", "retrieved_at"), "document_id"), {"asset_not_tagged": (c("asset") != "MARKET") & ~F.array_contains("asset_tags", c("asset")), "known_before_event": c("available_at") < c("event_time")}, ["asset"]), "asset rule violations:i",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import scratch
 from tideline.functions import text as X
+from tideline.operators import events as E
 from tideline.operators import forecast as C
 from tideline.operators import ledger as L
 from tideline.operators import quality as Q
@@ -17,6 +18,7 @@ from tideline.plans.shape import register
 from tideline.sources import landed as S
 from tideline.sources import store as T
 from tideline.streaming import jobs as J
+from tideline.streaming import keyed
 
 c = F.col
 UNTIL, NOW = "2024-01-20 00:00:00", "2024-01-19 06:00:00"
@@ -124,12 +126,20 @@ register("a1_a2_csv_round_trip", csv_round_trip, BARSPEC, BD)
 
 
 def ledger_round_trip(s: SparkSession, f: str) -> DataFrame:
+    """The documents' ledger written as JSON lines and read again, with links broken and forked on purpose."""
     path = scratch.folder(s, "ledger")
-    P.ledger(s, f).select("source_id", "document_id", "seq", "sha", "prev_sha").write.json(path)
+    d = P.ledger(s, f).select("source_id", "document_id", "seq", "sha", "prev_sha")
+    older = d.select("source_id", (c("seq") + 1).alias("seq"), c("prev_sha").alias("older"))
+    d = d.join(older, ["source_id", "seq"], "left")
+    forked = (c("document_id") % 89 == 7) & (c("seq") > 2)
+    d.withColumn("prev_sha", F.when(c("document_id") % 97 == 5, F.concat(F.lit("gone"), c("document_id"))).when(forked, c("older")).otherwise(c("prev_sha"))).drop("older").write.json(path)
     return L.chain_report(S.read_ledger(s, path, "source_id string, document_id long, seq long, sha string, prev_sha string"), "source_id")
 
 
-register("a12_ledger_scan", ledger_round_trip, "source_id rows:i roots:i broken:i forks:i", f"SELECT source_id, count(*) AS rows, 1 AS roots, 0 AS broken, 0 AS forks FROM ({P.DOCS}) GROUP BY 1")
+register("a12_ledger_scan", ledger_round_trip, "source_id rows:i roots:i broken:i disordered:i forks:i", f"""WITH n AS (SELECT source_id, document_id, row_number() OVER (PARTITION BY source_id ORDER BY retrieved_at, document_id) AS seq FROM ({P.DOCS})),
+         l AS (SELECT *, CASE WHEN document_id % 97 = 5 THEN -document_id - 1 WHEN document_id % 89 = 7 AND seq > 2 THEN seq - 2 WHEN seq > 1 THEN seq - 1 END AS prev FROM n),
+         f AS (SELECT source_id, count(*) AS forks FROM (SELECT source_id, prev FROM l WHERE prev IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY 1)
+         SELECT l.source_id, count(*) AS rows, count(*) FILTER (prev IS NULL) AS roots, count(*) FILTER (prev < 0) AS broken, 0 AS disordered, coalesce(any_value(forks), 0) AS forks FROM l LEFT JOIN f USING (source_id) GROUP BY 1""")
 
 # streams
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -150,6 +160,34 @@ def stream_trailing(s: SparkSession, f: str) -> DataFrame:
 register("j6_stream_trailing", stream_trailing, "series_id decision_time:t events:i weight:d", f"SELECT event_type AS series_id, d AS decision_time, count(*) AS events, sum(value) AS weight FROM (SELECT *, to_timestamp((floor(epoch(ts) / 7200) * 7200 + 7200 * unnest([1, 2, 3]))::BIGINT)::TIMESTAMP AS d FROM events) WHERE d <= {CLOSED} GROUP BY ALL")
 
 
+LATE = "1 hour"
+
+
+def streamed(s: SparkSession, f: str) -> tuple[DataFrame, DataFrame]:
+    """Two streams over the events: a decision (asset, decision_time) for each signup, and the signals of all."""
+    asset = F.element_at(F.array(*map(F.lit, ("BTC", "ETH", "MARKET"))), (c("event_id") % 3 + 1).cast("int")).alias("asset")
+    decisions = J.source(s, f"{f}/events.parquet").where("event_type = 'signup'").select(asset, c("event_id").alias("decision_id"), c("ts").cast("timestamp").alias("decision_time"))
+    return decisions, P.signals(s, f, J.source(s, f"{f}/events.parquet")).select("asset", "signal_id", "direction", "severity", "novelty", "confidence", "source_quality", "source_id", "available_at")
+
+
+def stream_windows(s: SparkSession, f: str) -> DataFrame:
+    return J.finish(J.trailing_statistics(*streamed(s, f), 6 * 3600, LATE, "asset"), scratch.folder(s, "windows"))
+
+
+def stream_pairs(s: SparkSession, f: str) -> DataFrame:
+    decisions, events = streamed(s, f)
+    return J.finish(J.trailing_pairs(decisions, events.select("asset", "signal_id", "available_at"), 3600, LATE, "asset"), scratch.folder(s, "pairs"))
+
+
+DECISIONS = "SELECT event_id AS decision_id, ['BTC', 'ETH', 'MARKET'][event_id % 3 + 1] AS asset, ts AS decision_time FROM events WHERE event_type = 'signup'"
+#: The watermark: the slower stream's newest time less the lateness; a window must have ended a window's length before it.
+MARK = f"(SELECT least((SELECT max(decision_time) FROM ({DECISIONS})), (SELECT max(available_at) FROM ({P.SIG}))) - INTERVAL 1 HOUR)"
+register("j6_stream_statistics", stream_windows, "asset decision_time:t " + " ".join(f"{x}:d" for x in E.STATS), f"SELECT * FROM ({P.stats_sql(DECISIONS, 6)}) WHERE decision_time <= {MARK} - INTERVAL 6 HOUR")
+register("j6_stream_pairs", stream_pairs, "decision_id:i signal_id:i decision_time:t available_at:t",
+         f"""SELECT decision_id, signal_id, decision_time, available_at FROM ({DECISIONS}) d
+         JOIN ({P.SIG}) e ON e.asset = d.asset AND e.available_at <= d.decision_time AND e.available_at > d.decision_time - INTERVAL 1 HOUR""")
+
+
 def stream_unique(s: SparkSession, f: str) -> DataFrame:
     e = J.source(s, f"{f}/events.parquet").select(F.concat_ws(":", "event_type", "user_id").alias("key"), c("ts").cast("timestamp").alias("at"))
     return J.finish(J.unique(e, "key", "at", "90 days"), scratch.folder(s, "unique"))
@@ -164,23 +202,12 @@ def stream_append(s: SparkSession, f: str) -> DataFrame:
     d = J.source(s, f"{f}/documents.parquet").select(F.sha2("text", 256).alias("sha"), F.lit("2024-01-01").cast("timestamp").alias("at"))
     for run in ("first", "second"):
         J.run_appender(d, J.appender(out, ["sha"], ["at"], "at", run=run), f"{out}-state-{run}")
-    return s.read.parquet(f"{out}/batch=*").select("sha")
+    return keyed.read(s, out).select("sha")
 
 
 register("j2_stream_append", stream_append, "sha", "SELECT DISTINCT sha256(text) AS sha FROM documents")
 
 
-def stream_budget(s: SparkSession, f: str) -> DataFrame:
-    """A budget of 100 documents a run: the first run takes the oldest hundred."""
-    out = scratch.folder(s, "budget")
-    d = J.source(s, f"{f}/documents.parquet").select("doc_id", F.timestamp_seconds(c("doc_id") * 60).alias("at"))
-    J.run_appender(d, J.appender(out, ["doc_id"], ["at"], "at", budget=100), f"{out}-state")
-    return s.read.parquet(f"{out}/batch=*").select("doc_id")
-
-
-register("j8_stream_budget", lambda s, f: stream_budget(s, f), "doc_id:i")
-
-
 def budget_recovered(s: SparkSession, f: str) -> DataFrame:
     """A quarter of all documents a run, oldest first, until nothing waits: each document with the run that took it."""
     out = scratch.folder(s, "recovered")
@@ -189,7 +216,7 @@ def budget_recovered(s: SparkSession, f: str) -> DataFrame:
     append = J.appender(out, ["doc_id"], ["at"], "at", budget=max(1, -(-n // 4)))
     J.run_appender(d, append, f"{out}-state")
     J.recover(s, append, out, ["doc_id"], first=1)
-    return s.read.parquet(out).select("doc_id", F.split_part("batch", F.lit("-"), F.lit(-1)).cast("long").alias("turn"))
+    return keyed.read(s, out).select("doc_id", F.split_part("batch", F.lit("-"), F.lit(-1)).cast("long").alias("turn"))
 
 
 register("j8_budget_recovered", budget_recovered, "doc_id:i turn:i", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // (SELECT ceil(count(*) / 4.0)::BIGINT FROM documents) AS turn FROM documents")
@@ -198,11 +225,11 @@ register("j8_budget_recovered", budget_recovered, "doc_id:i turn:i", "SELECT doc
 def capture(s: SparkSession, f: str) -> DataFrame:
     """The capture chain as a stream: pages are parsed (canonical link, text), filtered by host and relevance, and appended once per link."""
     out = scratch.folder(s, "capture")
-    p = J.source(s, f"{f}/pages.parquet").select("page_id", X.canonical_url(c("url")).alias("link"), X.fold(X.tagless(c("html"))).alias("text"))
+    p = J.source(s, f"{f}/pages.parquet").select("page_id", X.canonical_url(c("url")).alias("link"), X.tagless(c("html")).alias("text"))
     p = p.where(c("link").isNotNull() & X.host_allowed(X.host_of(c("link")), P.DOMS) & X.relevance(c("text"), P.INC, P.EXC)["accepted"])
     d = p.select("link", F.lit("2024-01-01").cast("timestamp").alias("at"))
     J.run_appender(d, J.appender(out, ["link"], ["at"], "at"), f"{out}-state")
-    return s.read.parquet(f"{out}/batch=*").select("link")
+    return keyed.read(s, out).select("link")
 
 
 register("j1_capture_stream", capture, "link", f"""SELECT DISTINCT canonical AS link FROM ({P.CU}) JOIN (SELECT page_id, trim(regexp_replace(lower({P.TAGLESS}), '\\s+', ' ', 'g')) AS t FROM pages) USING (page_id)
@@ -223,7 +250,7 @@ def trajectory(s: SparkSession, f: str) -> DataFrame:
     """One summary row a day of what was known then, each later than the one before, chained by hash."""
     d = P.signals(s, f).groupBy(F.to_date("available_at").alias("day")).agg(F.count("*").alias("records"), F.countDistinct("source_id").alias("sources"))
     d = d.withColumns({"ledger": F.lit("trajectory"), "ts": c("day").cast("timestamp"), "day": c("day").cast("string")})
-    return L.chain(d, "ledger", ["day"], F.concat_ws(":", c("day").cast("string"), "records", "sources")).withColumn("advances", F.coalesce(c("ts") > F.lag("ts").over(ordered(["ledger"])), F.lit(True)))
+    return L.chain(d, "ledger", ["ts"], F.concat_ws(":", c("day").cast("string"), "records", "sources"), 30 * DAY).withColumn("advances", F.coalesce(c("ts") > F.lag("ts").over(ordered(["ledger"])), F.lit(True)))
 
 
 register("j10_j11_trajectory", trajectory, "day records:i sources:i seq:i sha advances", f"SELECT day, records, sources, seq, sha256('trajectory|' || seq || '|' || day || ':' || records || ':' || sources) AS sha, true AS advances FROM (SELECT *, row_number() OVER (ORDER BY day) AS seq FROM (SELECT available_at::DATE::VARCHAR AS day, count(*) AS records, count(DISTINCT source_id) AS sources FROM ({P.SIG}) GROUP BY 1))")

@@ -24,15 +24,9 @@ def daily_discount(s: SparkSession, f: str) -> DataFrame:
 EXT = f"SELECT l_shipdate AS event_time, avg(l_discount) AS discount, l_shipdate + INTERVAL {DAY + 300} SECOND AS available_at FROM lineitem GROUP BY l_shipdate"
 
 
-def on_all(s: SparkSession, f: str) -> tuple[DataFrame, DataFrame]:
-    left = pit(bars_1d(s, f), DAY)
-    venues = left.select("series_id").distinct()
-    return left, daily_discount(s, f).join(venues)
-
-
 def d1(s: SparkSession, f: str) -> DataFrame:
-    left, right = on_all(s, f)
-    return A.asof(left.select("series_id", "ts", "available_at", "close"), right, ["discount"], 2 * DAY)
+    left = pit(bars_1d(s, f), DAY).select("series_id", "ts", "available_at", "close")
+    return A.asof(left, daily_discount(s, f), ["discount"], 2 * DAY, [])
 
 
 register("d1_asof_backward", d1, "series_id ts:t close:d discount:d discount__available_at:t",
@@ -46,8 +40,7 @@ def split_venues(s: SparkSession, f: str) -> tuple[DataFrame, DataFrame]:
 
 def d2(s: SparkSession, f: str) -> DataFrame:
     one, rest = split_venues(s, f)
-    venues = rest.select(F.col("series_id").alias("venue")).distinct()
-    left = one.select("ts", "available_at", "close").join(venues)
+    left = A.on_venues(one.select("ts", "available_at", "close"), rest.select(F.col("series_id").alias("venue")))
     right = rest.select(F.col("series_id").alias("venue"), "available_at", F.col("close").alias("other_close"))
     return A.asof(left, right, ["other_close"], 2 * DAY, ["venue"]).withColumn("spread_bps", A.spread_bps(F.col("close"), F.col("other_close")))
 
@@ -60,18 +53,18 @@ register("d2_c5_venue_spread", d2, "venue ts:t other_close:d spread_bps:d",
 def d3(s: SparkSession, f: str) -> DataFrame:
     d = pit(bars_1d(s, f), DAY)
     found = A.first_available(d.select(F.lit("ALL").alias("key"), F.col("series_id").alias("venue"), "available_at", F.col("close").alias("rate")), ["0-NONE", "5-LOW", "2-HIGH"], keys=["key"])
-    return A.asof(d.where(F.col("series_id") == PRIMARY).select(F.lit("ALL").alias("key"), "ts", "available_at"), found.drop("venue"), ["rate"], 3 * DAY, ["key"])
+    return A.asof(d.where(F.col("series_id") == PRIMARY).select("ts", "available_at"), found.select("available_at", "rate"), ["rate"], 3 * DAY, [])
 
 
 register("d3_fallback_order", d3, "ts:t rate:d rate__available_at:t", f"SELECT l.ts, CASE WHEN l.available_at - r.available_at <= INTERVAL 3 DAY THEN r.close END AS rate, CASE WHEN l.available_at - r.available_at <= INTERVAL 3 DAY THEN r.available_at END AS rate__available_at FROM (SELECT * FROM ({PD}) WHERE series_id = '{PRIMARY}') l ASOF LEFT JOIN (SELECT * FROM ({PD}) WHERE series_id = '5-LOW') r ON l.available_at >= r.available_at")
 
 
 def d4(s: SparkSession, f: str) -> DataFrame:
-    d = pit(bars_1d(s, f), DAY).select("series_id", "ts", "available_at", "close").withColumn("key", F.lit("ALL"))
-    leg = lambda venue, name: d.where(F.col("series_id") == venue).select("key", "available_at", F.col("close").alias(name))
-    one = d.where(F.col("series_id") == PRIMARY).select("key", "ts", "available_at", "close")
-    two = A.asof(one, leg("2-HIGH", "local"), ["local"], 8 * 3600, ["key"])
-    three = A.asof(two, leg("5-LOW", "stable"), ["stable"], 8 * 3600, ["key"])
+    d = pit(bars_1d(s, f), DAY).select("series_id", "ts", "available_at", "close")
+    leg = lambda venue, name: d.where(F.col("series_id") == venue).select("available_at", F.col("close").alias(name))
+    one = d.where(F.col("series_id") == PRIMARY).select("ts", "available_at", "close")
+    two = A.asof(one, leg("2-HIGH", "local"), ["local"], 8 * 3600, [])
+    three = A.asof(two, leg("5-LOW", "stable"), ["stable"], 8 * 3600, [])
     return three.withColumn("premium", A.premium(F.col("local"), F.col("close"), F.col("stable") / 100_000))
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions import normal
 from tideline.operators import features as N
 from tideline.operators import pnl as P
 from tideline.operators import prob as R
@@ -127,8 +129,22 @@ def trials(s: SparkSession, f: str) -> DataFrame:
 PRED = f"{SEALED}, pred AS (SELECT * FROM pnl WHERE cost_multiplier = 1.0)"
 MOM = """m0 AS (SELECT model, count(*)::DOUBLE AS n, avg(net_return) AS mu, stddev_samp(net_return) AS sd, var_pop(net_return) AS v FROM pred GROUP BY 1),
 m1 AS (SELECT m0.model, any_value(n) AS n, any_value(mu / sd) AS pp, avg(pow(net_return - mu, 3)) / pow(any_value(v), 1.5) AS g1, avg(pow(net_return - mu, 4)) / pow(any_value(v), 2) - 3 AS g2 FROM pred JOIN m0 USING (model) GROUP BY m0.model)"""
+TRIALS = 20
+
+
+def z_sql(benchmark: str) -> str:
+    under = "1 - skewness * per_period + (kurtosis - 1) / 4 * per_period * per_period"
+    return f"coalesce((per_period - {benchmark}) * sqrt(n - 1) / CASE WHEN {under} > 0 THEN sqrt({under}) END, CASE WHEN per_period > {benchmark} THEN 40e0 ELSE -40e0 END)"
+
+
+SHARPE = f"""{MOM}, mm AS (SELECT model, m0.n, CASE WHEN sd > 0 THEN mu / sd END AS per_period, CASE WHEN sd = 0 THEN 0 ELSE g1 * sqrt(m0.n * (m0.n - 1)) / (m0.n - 2) END AS skewness,
+  CASE WHEN sd = 0 THEN 3 ELSE (m0.n - 1) / ((m0.n - 2) * (m0.n - 3)) * ((m0.n + 1) * g2 + 6) + 3 END AS kurtosis FROM m0 JOIN m1 USING (model)),
+sp AS (SELECT stddev_samp(sharpe) / sqrt({ANN}) AS spread, {1 - 1 / TRIALS!r}::DOUBLE AS p0, {1 - 1 / (TRIALS * math.e)!r}::DOUBLE AS p1 FROM (SELECT avg(sharpe) AS sharpe FROM met GROUP BY model)),
+bench AS (SELECT spread * ({1 - T.EULER!r} * {normal.inverse_sql('p0')} + {T.EULER!r} * {normal.inverse_sql('p1')}) AS bench FROM sp),
+zz AS (SELECT *, {z_sql('0')} AS z0, {z_sql('bench')} AS z1 FROM mm, bench),
+diagnosed AS (SELECT model, n, per_period * sqrt({ANN}) AS sharpe, {normal.cdf_sql('z0')} AS psr, {normal.cdf_sql('z1')} AS dsr, bench * sqrt({ANN}) AS deflated_benchmark FROM zz)"""
 register("e18_e19_moments", lambda s, f: T.moments(predictions(s, f), ["model"], "net_return", ANN), "model n:i sharpe:d skewness:d kurtosis:d", f"{PRED}, {MOM} SELECT model, n, pp * sqrt({ANN}) AS sharpe, g1 * sqrt(n * (n - 1)) / (n - 2) AS skewness, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3 AS kurtosis FROM m1")
-register("e20_sharpe_diagnostics", lambda s, f: T.sharpe_diagnostics(predictions(s, f), ["model"], "net_return", trials(s, f), 20, ANN), "model n:i sharpe:d psr:d dsr:d deflated_benchmark:d")
+register("e20_sharpe_diagnostics", lambda s, f: T.sharpe_diagnostics(predictions(s, f), ["model"], "net_return", trials(s, f), TRIALS, ANN), "model n:i sharpe:d psr:d dsr:d deflated_benchmark:d", f"{PRED}, {SHARPE} SELECT * FROM diagnosed")
 
 
 def against(s: SparkSession, f: str) -> DataFrame:
@@ -139,18 +155,21 @@ AL = f"{PRED}, al AS (SELECT c.model, c.series_id, c.fold, c.ts, c.net_return AS
 register("d8_aligned_returns", against, "model series_id fold:i ts:t candidate:d benchmark:d", f"{AL} SELECT * FROM al")
 
 
+SAMPLES = 5000
+
+
 def bootstrap(s: SparkSession, f: str) -> DataFrame:
     d = against(s, f).select("model", "ts", (F.col("candidate") - F.col("benchmark")).alias("d"))
-    return T.block_bootstrap(d.withColumn("pos", (F.row_number().over(ordered(["model"])) - 1).cast("long")), "model", 500, 6, 42)
+    return T.block_bootstrap(d.withColumn("pos", (F.row_number().over(ordered(["model"])) - 1).cast("long")), "model", SAMPLES, 6, 42)
 
 
 BOOT = f"""{AL}, bd AS (SELECT model, candidate - benchmark AS d, row_number() OVER (PARTITION BY model ORDER BY ts) - 1 AS pos FROM al),
 bs AS (SELECT *, sum(d) OVER (PARTITION BY model ORDER BY pos) AS s FROM bd), bt0 AS (SELECT model, count(*) AS n, sum(d) AS total, avg(d) AS observed FROM bd GROUP BY 1),
-bdraw AS (SELECT *, unnest(range(0, ceil(n / 6.0)::BIGINT)) AS block FROM (SELECT *, unnest(range(0, 500)) AS sample FROM bt0)),
+bdraw AS (SELECT *, unnest(range(0, ceil(n / 6.0)::BIGINT)) AS block FROM (SELECT *, unnest(range(0, {SAMPLES})) AS sample FROM bt0)),
 bdr2 AS (SELECT *, ('0x' || substr(md5('42:' || model || ':' || sample || ':' || block), 1, 12))::BIGINT % n AS st, least(6, n - block * 6) AS len FROM bdraw),
 bpart AS (SELECT r.model, sample, r.n, observed, z.s - coalesce(a.s, 0) + CASE WHEN st + len - 1 >= r.n THEN total ELSE 0 END AS part FROM bdr2 r JOIN bs z ON z.model = r.model AND z.pos = (st + len - 1) % r.n LEFT JOIN bs a ON a.model = r.model AND a.pos = st - 1),
 bm AS (SELECT model, sample, any_value(n) AS n, any_value(observed) AS observed, sum(part) / any_value(n) AS mean FROM bpart GROUP BY ALL),
-boot AS (SELECT model, any_value(n) AS observations, any_value(observed) AS observed_mean, (1 + count(*) FILTER (mean - observed >= observed)) / 501.0 AS pvalue, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM bm GROUP BY 1)"""
+boot AS (SELECT model, any_value(n) AS observations, any_value(observed) AS observed_mean, (1 + count(*) FILTER (mean - observed >= observed)) / {SAMPLES + 1}.0 AS pvalue, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM bm GROUP BY 1)"""
 register("e21_block_bootstrap", bootstrap, "model observations:i observed_mean:d pvalue:d ci_low:d ci_high:d", f"{BOOT} SELECT * FROM boot")
 
 
@@ -175,12 +194,22 @@ register("e16_two_x_cost", two_x, "model two_x_return:d", f"{SEALED} SELECT mode
 
 
 def gate(s: SparkSession, f: str) -> DataFrame:
-    sharpe = T.sharpe_diagnostics(predictions(s, f), ["model"], "net_return", trials(s, f), 20, ANN).select("model", "psr", "dsr")
+    sharpe = T.sharpe_diagnostics(predictions(s, f), ["model"], "net_return", trials(s, f), TRIALS, ANN).select("model", "psr", "dsr")
     d = bootstrap(s, f).join(sharpe, "model").join(T.fold_concentration(fold_returns(s, f), ["model"], "r"), "model").join(two_x(s, f), "model")
     return T.candidate_gate(d)
 
 
-register("e33_candidate_gate", gate, "model observations:i total_return:d psr:d dsr:d pvalue:d passed_rules:i failed_rules eligible")
+FAILED = ", ".join(f"CASE WHEN NOT coalesce({rule}, false) THEN '{name}' END" for name, rule in T.RULES.items())
+GATE = f"""{BOOT}, {SHARPE}, fr AS (SELECT model, fold, product(1 + net_return) - 1 AS r FROM pred GROUP BY ALL), {CONC},
+tw AS (SELECT model, avg(net_return) AS two_x_return FROM met WHERE cost_multiplier = 2.0 GROUP BY 1),
+ga AS (SELECT *, list_sort(list_filter([{FAILED}], lambda x: x IS NOT NULL)) AS failed FROM boot JOIN diagnosed USING (model) JOIN fc USING (model) JOIN tw USING (model)),
+gated AS (SELECT *, {len(T.RULES)} - len(failed) AS passed_rules, array_to_string(failed, ',') AS failed_rules, len(failed) = 0 AS eligible,
+  row_number() OVER (ORDER BY len(failed) = 0 DESC, dsr DESC NULLS LAST, total_return DESC NULLS LAST, model) AS rank FROM ga)"""
+register("e33_candidate_gate", lambda s, f: T.ranked(gate(s, f)), "model rank:i observations:i total_return:d psr:d dsr:d pvalue:d passed_rules:i failed_rules eligible", f"{GATE} SELECT * FROM gated")
+register("e33_verdict", lambda s, f: T.verdict(gate(s, f)), "verdict recommended_action candidate_count:i passing_candidate_count:i passing_candidates", f"""{GATE} SELECT count(*) AS candidate_count, count(*) FILTER (eligible) AS passing_candidate_count,
+  coalesce(string_agg(model, ',' ORDER BY rank) FILTER (eligible), '') AS passing_candidates,
+  CASE WHEN passing_candidate_count > 0 THEN 'candidate_requires_human_freeze_review' ELSE 'no_candidate_passed' END AS verdict,
+  CASE WHEN passing_candidate_count > 0 THEN 'human_review_before_new_experiment' ELSE 'retain_research_only' END AS recommended_action FROM gated""")
 
 
 # report tables

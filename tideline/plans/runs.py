@@ -6,12 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tideline.functions import scratch
 from tideline.functions import text as X
 from tideline.operators import asof as A
 from tideline.operators import events as E
+from tideline.operators import extraction as Y
 from tideline.operators import features as N
 from tideline.operators import ledger as L
 from tideline.operators import pnl as P
@@ -20,6 +20,7 @@ from tideline.operators import quality as Q
 from tideline.plans import corpus, landing, market, panel, research
 from tideline.plans.market import BD, DAY, FEATURES, H4, KEYS, M, METRICS, SEALED, bars_1d, bars_4h, metrics_sql, pit, pit_sql, read
 from tideline.plans.shape import register
+from tideline.sources import commits as K
 from tideline.sources import store as W
 from tideline.streaming import jobs as J
 
@@ -123,18 +124,35 @@ def last_value_model(x: np.ndarray, y: np.ndarray):
 
 register("k1_model_plugin", lambda s, f: R.fit_groups(market.assigned(s, f).withColumn("y", c("target_positive")), ["series_id", "fold"], COLS, last_value_model).where("part = 'test'"), "series_id fold:i ts:t y:d p:d", f"{market.SCORED}, m AS (SELECT series_id, fold, avg(target_positive) AS m FROM purged WHERE part = 'train' GROUP BY ALL) SELECT p.series_id, p.fold, ts, target_positive AS y, m + 0.01 * sign(log_return) AS p FROM purged p JOIN m ON m.series_id = p.series_id AND m.fold = p.fold WHERE part = 'test'")
 
-SIGNAL = T.StructType([T.StructField("asset", T.StringType()), T.StructField("direction", T.StringType()), T.StructField("severity", T.DoubleType())])
 
+def scripted_extractor(prompt: str, texts: pd.Series) -> pd.Series:
+    """A stand-in for a language model: replies by the text's length, among them broken ones."""
 
-@F.pandas_udf(SIGNAL)
-def length_extractor(text: pd.Series) -> pd.DataFrame:
-    """A stand-in for a language-model extractor: text to a signal."""
-    n = text.str.len()
-    return pd.DataFrame({"asset": np.where(n % 2 == 0, "BTC", "ETH"), "direction": np.where(n % 3 == 0, "bullish", "neutral"), "severity": np.minimum(n / 20000.0, 1.0)})
+    def reply(text: str) -> str:
+        n = len(text)
+        if n % 11 == 0:
+            return '{"asset": "BTC", "direc'
+        if n % 13 == 0:
+            return '{"asset": "BTC", "severity": 0.5, "novelty": 0.1, "confidence": 0.9}'
+        if n % 17 == 0:
+            return '{"asset": "BTC", "direction": "neutral", "severity": "high", "novelty": 0.1, "confidence": 0.9}'
+        direction = "sideways" if n % 19 == 0 else "bullish" if n % 3 == 0 else "neutral"
+        asset = "eth" if n % 7 == 0 else "BTC" if n % 2 == 0 else "ETH"
+        return f'{{"asset": "{asset}", "direction": "{direction}", "severity": {n / 10000}, "novelty": 0.5, "confidence": {0.25 if prompt else 2.0}}}'
 
+    return texts.map(reply)
 
-register("k3_extractor_plugin", lambda s, f: corpus.docs(s, f).select("document_id", length_extractor(F.coalesce("text", F.lit(""))).alias("g")).select("document_id", "g.*", c("g.severity").between(0, 1).alias("valid")), "document_id:i asset direction severity:d valid",
-         "SELECT doc_id AS document_id, CASE WHEN length(text) % 2 = 0 THEN 'BTC' ELSE 'ETH' END AS asset, CASE WHEN length(text) % 3 = 0 THEN 'bullish' ELSE 'neutral' END AS direction, least(length(text) / 20000.0::DOUBLE, 1.0) AS severity, true AS valid FROM documents")
+
+def replies(s: SparkSession, f: str) -> DataFrame:
+    return Y.extracted(corpus.docs(s, f).select("document_id", "text"), "text", scripted_extractor, "Name the asset and the direction.")
+
+
+REPLIES = """SELECT *, CASE WHEN n % 11 = 0 OR (n % 13 <> 0 AND n % 17 = 0) THEN 'malformed' WHEN n % 13 = 0 THEN 'missing_field' ELSE
+  array_to_string(list_filter([CASE WHEN n % 7 = 0 THEN 'asset_form' END, CASE WHEN n % 19 = 0 THEN 'direction_name' END, CASE WHEN n / 10000 > 1 THEN 'severity_range' END], lambda x: x IS NOT NULL), ',') END AS problems,
+  CASE WHEN n % 2 = 0 THEN 'BTC' ELSE 'ETH' END AS asset, CASE WHEN n % 3 = 0 THEN 'bullish' ELSE 'neutral' END AS direction, n / 10000 AS severity
+FROM (SELECT doc_id AS document_id, length(coalesce(text, '')) AS n FROM documents)"""
+register("k3_extractor_plugin", lambda s, f: Y.accepted(replies(s, f)), "document_id:i asset direction severity:d novelty:d confidence:d", f"SELECT document_id, asset, direction, severity, 0.5 AS novelty, 0.25 AS confidence FROM ({REPLIES}) WHERE problems = ''")
+register("k3_replies_set_aside", lambda s, f: Y.set_aside(replies(s, f)).select("document_id", F.array_join("problems", ",").alias("problems")), "document_id:i problems", f"SELECT document_id, problems FROM ({REPLIES}) WHERE problems <> ''")
 
 
 def late_rows(s: SparkSession, f: str) -> DataFrame:
@@ -158,13 +176,55 @@ def skewed(s: SparkSession, f: str) -> DataFrame:
 register("j4_stream_clock_skew", skewed, "doc_id:i published_at:t", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id) - INTERVAL 60 SECOND END AS published_at FROM documents")
 
 
-def overlap_run(s: SparkSession, f: str) -> DataFrame:
-    """One scheduled run for an as-of time: maturity per asset with the dataset's content hash."""
-    d = E.matured(corpus.windowed(s, f), F.lit(corpus.CUT).cast("timestamp")).select("asset", "series_id", "ts", "event_count", "target_positive")
-    return corpus.maturity(s, f).select("asset", "rows", "status").join(L.content_hash(d, ["asset"]).select("asset", "content_sha"), "asset")
+ENTRY = ["as_of", "rows", "active_rows", "status", "content_sha"]
+
+
+def overlap(s: SparkSession, root: str, as_of: str, matured: DataFrame) -> K.Commit:
+    """One scheduled run: the dataset known at ``as_of``, its maturity and one more trajectory row per asset, published as one commit.
+
+    The run builds on the head that it finds and fails if another run gets there first; a repeated run publishes nothing."""
+    now = K.head(s, root)
+    dataset = matured.select("asset", "series_id", F.unix_seconds("ts").alias("at"), c("event_count").cast("long").alias("event_count"), c("target_positive").cast("long").alias("target_positive"))
+    state = corpus.maturity_of(matured).drop("r")
+    entries = state.join(L.content_hash(dataset, ["asset"]).drop("rows"), "asset").select("asset", F.lit(as_of).alias("as_of"), "rows", "active_rows", "status", "content_sha")
+    old = s.read.parquet(now.tables["trajectory"]) if now else None
+    trajectory = L.extend(old, entries, "asset", "as_of", ENTRY).persist()
+    try:
+        if now and trajectory.count() == old.count():  # a row per asset and run
+            return now
+        return K.publish(s, root, {"dataset": dataset, "maturity": state, "trajectory": trajectory}, {"as_of": as_of}, now.sha if now else None)
+    finally:
+        trajectory.unpersist()
+
+
+RUNS = ["2024-01-12 00:00:00", "2024-01-20 00:00:00", corpus.CUT]
+
+
+def overlap_runs(s: SparkSession, f: str) -> DataFrame:
+    """Three runs, the last of them twice: the trajectory that is left."""
+    root = scratch.folder(s, "overlap")
+    rows = corpus.windowed(s, f)
+    for cut in [*RUNS, RUNS[-1]]:
+        overlap(s, root, cut, E.matured(rows, F.lit(cut).cast("timestamp")))
+    K.history(s, root)
+    return K.table(s, root, "trajectory")
+
+
+def overlap_sql() -> str:
+    part = lambda i: f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::HUGEINT)::VARCHAR"
+    row = "sha256('series_id=' || series_id || '|at=' || epoch(ts)::BIGINT || '|event_count=' || event_count::BIGINT || '|target_positive=' || (target_return > 0)::BIGINT)"
+    runs = []
+    for i, cut in enumerate(RUNS):
+        sums = " || '|' || ".join(part(k) for k in range(4))
+        digest = f"SELECT asset, sha256({sums} || '|' || count(*)) AS content_sha FROM (SELECT asset, {row} AS h FROM ({corpus.matured_sql(cut)})) GROUP BY asset"
+        before = f"r{i - 1}" if i else "(SELECT NULL::VARCHAR AS asset, 0::BIGINT AS seq, NULL::VARCHAR AS sha WHERE false)"
+        runs.append(f"""r{i} AS (SELECT m.asset, '{cut}' AS as_of, m.rows::BIGINT AS rows, m.active_rows::BIGINT AS active_rows, m.status, d.content_sha, coalesce(b.seq, 0) + 1 AS seq, b.sha AS prev_sha,
+  sha256(m.asset || '|' || (coalesce(b.seq, 0) + 1) || '|{cut}:' || m.rows || ':' || m.active_rows || ':' || m.status || ':' || d.content_sha || '|' || coalesce(b.sha, '')) AS sha
+  FROM ({corpus.maturity_sql(cut)}) m JOIN ({digest}) d USING (asset) LEFT JOIN {before} b ON b.asset = m.asset)""")
+    return f"WITH {', '.join(runs)} " + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(len(RUNS)))
 
 
-register("j12_overlap_run", overlap_run, "asset rows:i status content_sha")
+register("j12_overlap_run", overlap_runs, "asset as_of rows:i active_rows:i status content_sha seq:i prev_sha sha", overlap_sql())
 
 
 def multi_source(s: SparkSession, f: str) -> DataFrame:
@@ -175,11 +235,10 @@ def multi_source(s: SparkSession, f: str) -> DataFrame:
     status = Q.outcomes(d, panel.declared(s, order), "series_id", "ts")
     rank = F.array_position(F.array(*map(F.lit, order)), c("series_id"))
     primary = status.where("status = 'succeeded'").agg(F.min_by("series_id", rank).alias("primary"))  # one row
-    marked = d.join(primary)
+    marked = d.crossJoin(primary)
     one = marked.where("series_id = primary").select("ts", "available_at", "close", "primary")
     others = marked.where("series_id <> primary").select(c("series_id").alias("venue"), "available_at", c("close").alias("other_close"))
-    left = one.join(others.select("venue").distinct())
-    j = A.asof(left, others, ["other_close"], 2 * DAY, ["venue"])
+    j = A.asof(A.on_venues(one, others), others, ["other_close"], 2 * DAY, ["venue"])
     return j.groupBy("primary", "venue").agg(F.count("*").alias("rows"), F.count("other_close").alias("matched"), F.avg(A.spread_bps(c("close"), c("other_close"))).alias("mean_bps"))
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tideline.operators import events as E
+from tideline.streaming.keyed import KeyedTable, stored_or_none
+
 
 def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream over a Parquet table's files."""
@@ -38,25 +40,34 @@ def trailing_counts(events: DataFrame, width: str, step: str, lateness: str, key
     return e.groupBy(F.window("available_at", width, step), *keys).agg(F.count("*").alias("events"), F.sum("weight").alias("weight")).select(*keys, F.col("window.end").alias("decision_time"), "events", "weight")
 
 
-def trailing_pairs(decisions: DataFrame, events: DataFrame, seconds: int, lateness: str, key: str) -> DataFrame:
-    """Stream-stream interval join: decisions with the events of the trailing window."""
+def near(decisions: DataFrame, events: DataFrame, seconds: int, lateness: str, key: str, how: str) -> DataFrame:
+    """Both sides carry watermarks, so the state holds the events of a window and the lateness, and the decisions that still wait."""
     d = decisions.withWatermark("decision_time", lateness).alias("d")
     e = events.withWatermark("available_at", lateness).alias("e")
-    near = (F.col(f"d.{key}") == F.col(f"e.{key}")) & (F.col("e.available_at") <= F.col("d.decision_time")) & (F.col("e.available_at") > F.col("d.decision_time") - F.expr(f"INTERVAL {seconds} SECONDS"))
-    return d.join(e, near)
+    c = F.col
+    return d.join(e, (c(f"d.{key}") == c(f"e.{key}")) & (c("e.available_at") <= c("d.decision_time")) & (c("e.available_at") > c("d.decision_time") - F.expr(f"INTERVAL {seconds} SECONDS")), how)
 
 
-def unique(rows: DataFrame, key: str, at: str, lateness: str) -> DataFrame:
-    return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
+def trailing_pairs(decisions: DataFrame, events: DataFrame, seconds: int, lateness: str, key: str) -> DataFrame:
+    """Stream-stream interval join: decisions (key, decision_time, ...) with the events of the trailing window, a row per pair."""
+    rest = [F.col(f"e.{x}") for x in events.columns if x not in decisions.columns]
+    return near(decisions, events, seconds, lateness, key, "inner").select("d.*", *rest)
 
 
-def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+def trailing_statistics(decisions: DataFrame, events: DataFrame, seconds: int, lateness: str, key: str) -> DataFrame:
+    """The 14 statistics of :func:`tideline.operators.events.window_features` for each (key, decision_time) of a stream.
+
+    Decisions without events come too. A decision appears once the watermark is a window past it; until then its state is a few sums, maxima
+    and the set of its sources. Events later than the watermark are dropped."""
+    sums, maxima = E.measures()
+    hit = F.col("e.available_at").isNotNull()
+    made = [F.sum(F.when(hit, x)).alias(f"_tl_{n}") for n, x in sums.items()] + [F.max(F.when(hit, x)).alias(f"_tl_{n}") for n, x in maxima.items()]
+    g = near(decisions.select(key, "decision_time"), events, seconds, lateness, key, "leftOuter").groupBy(F.col(f"d.{key}").alias(key), F.col("d.decision_time").alias("decision_time"))
+    return E.statistics(g.agg(*made, F.size(F.collect_set("source_id")).alias("_tl_sources")), seconds)
+
+
+def unique(rows: DataFrame, key: str, at: str, lateness: str) -> DataFrame:
+    return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def appender(path: str, keys: list[str], payload: list[str], at: str, order: Column | None = None, budget: int | None = None, run: str = "main") -> Callable[[DataFrame, int], None]:
@@ -65,38 +76,37 @@ def appender(path: str, keys: list[str], payload: list[str], at: str, order: Col
     A batch whose new rows contradict each other fails; rows behind the table's newest ``at`` go to
     ``<path>-late``; beyond ``budget`` the rest waits in ``<path>-pending`` and is taken up by later batches, of this run or any
     other (:func:`recover` works it off without new input); what has waited is never late. Every batch
-    writes a folder of its own, the rows last; a batch whose rows are there has been done, so a replay changes nothing.
+    writes a folder of its own, its manifest last; a batch that has one has been done, so a replay changes nothing. Of what is stored only the files are
+    opened whose filters let a key of the batch through (:class:`tideline.streaming.keyed.KeyedTable`).
     ``run`` names the stream's checkpoint, whose batches count from 0."""
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        name = f"batch={run}-{batch_id}"
-        if stored_or_none(spark, f"{path}/{name}") is not None:
+        name, table = f"{run}-{batch_id}", KeyedTable(spark, path, keys, at)
+        if table.has(name):
             return
-        held, old = None, stored_or_none(spark, f"{path}/batch=*")
         waiting = None if budget is None else stored_or_none(spark, f"{path}-pending/batch=*")
         rows = batch.withColumn("_tl_waits", F.lit(0))
         if waiting is not None:
             rows = rows.unionByName(waiting.withColumn("_tl_waits", F.lit(1)))
-        if rows.groupBy(*keys).agg(F.countDistinct(F.struct(*payload)).alias("k")).where("k > 1").limit(1).count():
-            raise ValueError("one key comes with different payloads")
-        waits = rows.groupBy(*keys).agg(F.max("_tl_waits").alias("_tl_waits"))
-        fresh = rows.drop("_tl_waits").dropDuplicates(keys).join(waits, keys)
-        if old is not None:
-            fresh = fresh.join(old.select(*keys).distinct(), keys, "left_anti")
-            head = old.agg(F.max(at).alias("m")).first().m  # one row
-            late = (F.col("_tl_waits") == 0) & (F.col(at) < F.lit(head))
-            held = fresh = fresh.persist()
-            fresh.where(late).drop("_tl_waits").write.mode("overwrite").parquet(f"{path}-late/{name}")
-            fresh = fresh.where(~late)
-        fresh = fresh.drop("_tl_waits").select(*batch.columns)
-        if budget is not None:
-            fresh = fresh.orderBy(order if order is not None else F.col(at), *keys)
-            taken = fresh.limit(budget)
-            fresh.join(taken.select(*keys), keys, "left_anti").write.mode("overwrite").parquet(f"{path}-pending/{name}")
-            fresh = taken
-        fresh.write.mode("overwrite").parquet(f"{path}/{name}")
-        if held is not None:
+        per = rows.groupBy(*keys).agg(F.max("_tl_waits").alias("_tl_waits"), F.min(F.struct(*payload)).alias("_tl_least"), F.max(F.struct(*payload)).alias("_tl_most"), F.first(F.struct(*batch.columns)).alias("_tl_row"))
+        held = per.persist()
+        try:
+            if held.where(~F.col("_tl_least").eqNullSafe(F.col("_tl_most"))).limit(1).count():
+                raise ValueError("one key comes with different payloads")
+            fresh, _ = table.unknown(held.select("_tl_waits", "_tl_row.*"))
+            if table.head is not None:
+                late = (F.col("_tl_waits") == 0) & (F.unix_micros(F.col(at)) < F.lit(table.head))
+                fresh.where(late).drop("_tl_waits").write.mode("overwrite").parquet(f"{path}-late/batch={name}")
+                fresh = fresh.where(~F.coalesce(late, F.lit(False)))
+            fresh = fresh.select(*batch.columns)
+            if budget is not None:
+                fresh = fresh.orderBy(order if order is not None else F.col(at), *keys)
+                taken = fresh.limit(budget)
+                fresh.join(taken.select(*keys), keys, "left_anti").write.mode("overwrite").parquet(f"{path}-pending/batch={name}")
+                fresh = taken
+            table.append(name, fresh)
+        finally:
             held.unpersist()
 
     return append
@@ -111,7 +121,7 @@ def recover(spark: SparkSession, append: Callable[[DataFrame, int], None], path:
     done = 0
     while True:
         waiting = stored_or_none(spark, f"{path}-pending/batch=*")
-        stored = stored_or_none(spark, f"{path}/batch=*")
+        stored = KeyedTable(spark, path, keys, keys[0]).rows()
         if waiting is None:
             return done
         left = waiting if stored is None else waiting.join(stored.select(*keys), keys, "left_anti")
