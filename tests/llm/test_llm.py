@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline.llm import common, decontaminate, fm_index, langid, line_dedup, minhash, pieces, quality, registry, sharding, substring_dedup, suffix_array, warc
-from tideline.llm.components import components
+from tideline.llm.components import components, contracted
 from tideline.llm.repeats import Plan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,11 +297,46 @@ def test_prefix_pairs_lose_no_link(spark):
         s[at] = rng.integers(0, 2**63, len(at), dtype=np.int64)
         sets.append(np.unique(s))
     df = spark.createDataFrame([(i, i % 5, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, comp long, sh binary")
-    got = {(r.a, r.b) for r in minhash.confirm(minhash.prefix_pairs(df, 85), df.select("id", "sh"), 85).collect()}
+    pairs = minhash.prefix_pairs(df, 85)
+    assert set(minhash.prefix_pairs(df.union(df).union(df), 85).collect()) == set(pairs.collect())  # rows that repeat
+    got = {(r.a, r.b) for r in minhash.confirm(pairs, df.select("id", "sh"), 85).collect()}
     j = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
     assert got == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 5 != b % 5 and j(sets[a], sets[b])}
 
 
+def test_components_in_rounds_equal_those_of_one_task(spark):
+    rng = np.random.default_rng(6)
+    e = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)], "a long, b long")
+    want = {tuple(r) for r in components(e).collect()}
+    for few in (0, 60):
+        assert {tuple(r) for r in contracted(e, few).collect()} == want
+    ends = {r.comp for r in components(e).where("node >= 1000").collect()}
+    assert ends == {1000}
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for i in range(24):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 6)), replace=False):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {(r.doc_id, r.component_id, r.n_shingles) for r in minhash.near_duplicates(d).collect()}
+    twice = minhash.near_duplicates(d.union(d).union(d)).collect()
+    assert len(twice) == 72 and {(r.doc_id, r.component_id, r.n_shingles) for r in twice} == once
+
+
+def test_lines_are_dropped_whatever_columns_are_called(spark):
+    line = "a line that is long enough to count"
+    names = "keep_bitmap doc2 n_lines dropped pos h key".split()
+    d = spark.createDataFrame([(i, f"{line}\n{i}", *["c"] * 7) for i in range(3)], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    got = line_dedup.drop_lines(d).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["0", "1", f"{line}\n2"] and all(r.keep_bitmap == "c" for r in got)
+
+
 def test_components_of_odd_edges(spark):
     none = spark.createDataFrame([], "a long, b long")
     assert components(none).count() == 0

@@ -166,14 +166,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     return counted.join(line_bitmaps(docs, min_chars, min_docs), "doc_id", "left")
 
 
-def _cut(digest: bool):
-    """Applies bitmaps to texts, batch by batch."""
+def _cut(digest: bool, column: str = "keep_bitmap"):
+    """Applies the bitmaps in ``column`` to texts, batch by batch."""
 
     def of(batches):
         for b in batches:
             text = ["" if t is None else t for t in b.column("text").to_pylist()]
             kept, n, lost = [], [], []
-            for t, bitmap in zip(text, b.column("keep_bitmap").to_pylist()):
+            for t, bitmap in zip(text, b.column(column).to_pylist()):
                 lines = t.split("\n")
                 gone = set(dropped_at(bitmap, len(lines)).tolist()) if bitmap else ()
                 n.append(len(lines))
@@ -189,10 +189,10 @@ def _cut(digest: bool):
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with its columns and with repeated lines cut from ``text``; a document may end up empty."""
-    lost = line_bitmaps(docs, min_chars, min_docs).withColumnRenamed("doc_id", "_tl_id")
+    lost = line_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "_tl_id", "keep_bitmap": "_tl_keep_bitmap"})
     touched = docs.join(lost, docs["doc_id"].cast("long") == lost["_tl_id"], "left").drop("_tl_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    cut = touched.mapInArrow(_cut(False), f"{schema}, _tl_kept string")
+    cut = touched.mapInArrow(_cut(False, "_tl_keep_bitmap"), f"{schema}, _tl_kept string")
     text = F.when(F.col("text").isNotNull(), F.col("_tl_kept"))
     return cut.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -169,7 +169,7 @@ def _tokens(batches):
 def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
     """(token, id, n, p) of the shingles among which every set (id, sh) shares one with each set that it can reach the similarity with.
 
-    Two sets that similar share one of the first n - ceil(n * percent / 100) + 1 shingles of
+    An id stands in one row of ``sets``. Two sets that similar share one of the first n - ceil(n * percent / 100) + 1 shingles of
     any common order; rare shingles come first here, by their exact counts over ``sets``. p is a shingle's place, n the set's size.
     """
     c = F.col
@@ -211,7 +211,8 @@ def meeting_pairs(split: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """:func:`meeting_pairs` of rows (id, comp, sh)."""
+    """:func:`meeting_pairs` of rows (id, comp, sh); rows that repeat an id are one set."""
+    sets = sets.dropDuplicates(["id"])
     return stored(meeting_pairs(split_tokens(prefix_rows(sets, percent), sets.select("id", "comp"), 0), percent))
 
 
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     met = stored(banded.join(buckets, "key"))
     stars = stored(met.where((F.col("id") != F.col("pivot")) & can_reach("n", "n_pivot", percent)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     ids = met.select("id").distinct()
-    sets = stored(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_set_rows(width), "id long, sh binary"))
+    sets = stored(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_set_rows(width), "id long, sh binary").dropDuplicates(["id"]))
     linked = stored(confirm(stars, sets, percent, ("a",)))  # a set is in as many buckets as there are bands at most, so b isn't hot
     found = components(linked).withColumnRenamed("node", "id")
     comps = stored(sets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
