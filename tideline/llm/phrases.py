@@ -305,7 +305,8 @@ def collocations(docs: DataFrame, top: int = TOP, cells: int = CELLS) -> DataFra
             break
         ranks = ranks.drop("open")
     order = W.Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    first = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    close = best.join(at_rank(best, totals.select("lang", F.lit(top).cast("long").alias("rank"))).select("lang", "least"), "lang").where("score >= least")  # little more than is wanted
+    first = close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
