@@ -108,28 +108,56 @@ def test_snapshot_refuses_other_content(spark, tmp_path):
     assert store.read_snapshot(spark, path, "ts").count() == 2
 
 
-def test_boosted_trees_follow_spark_ml(spark):
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+def supervised(spark, n=160):
+    """Rows of three keys: two classes, one class, no train rows; with missing values and a constant column."""
     rng = np.random.default_rng(7)
-    x = rng.integers(0, 20, (150, 3)).astype(float) + np.array([0.0, 0.25, 0.5])
-    y = ((x[:, 0] > 8) ^ (x[:, 1] > 12) ^ (rng.random(150) < 0.2)).astype(float)
-    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(spark.createDataFrame([(i, *map(float, v), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "i int, a double, b double, c double, y double"))
-    model = GBTClassifier(labelCol="y", featuresCol="x", maxIter=20, maxDepth=3, seed=42, stepSize=0.05).fit(df.coalesce(1))
-    want = [r.p for r in model.transform(df).select("i", vector_to_array("probability")[1].alias("p")).orderBy("i").collect()]
-    np.testing.assert_allclose(R.boosted_trees()(x, y)(x), want, atol=1e-9)
-
-
-def test_boosted_trees_bins_gaps_and_one_class():
-    x = np.random.default_rng(1).normal(size=(500, 2))
-    assert len(R.split_points(x[:, 0], 32)) == 31
-    y = (x[:, 0] > 0).astype(float)
-    predict = R.boosted_trees()(np.where(np.random.default_rng(2).random(x.shape) < 0.05, np.nan, x), y)
-    assert ((predict(x) > 0.5) == (y > 0)).mean() > 0.9
-    assert np.isfinite(predict(np.full((1, 2), np.nan))).all()
-    assert R.boosted_trees()(x, np.ones(500))(x[:3]).tolist() == [1 - 1e-6] * 3
+    rows = []
+    for key in ("two", "one", "none"):
+        for i in range(n):
+            x = rng.normal(size=2)
+            y = float(x[0] + rng.normal() > 0) if key == "two" else 1.0
+            part = "test" if key == "none" or i % 4 == 3 else "calibration" if i % 4 == 2 else "train"
+            rows.append((key, part, i, y, None if i % 9 == 0 else float(x[0]), float("nan") if i % 7 == 0 else float(x[1]), 3.0))
+    return spark.createDataFrame(rows, "key string, part string, ts int, y double, a double, b double, flat double").repartition(5), rows
+
+
+def test_fits_from_sums_equal_those_of_one_task(spark):
+    df, rows = supervised(spark)
+    got = {(r.key, r.ts): r.p for r in R.ridge_logistic(df, ["key"], ["a", "b", "flat"]).collect()}
+    two = [r for r in rows if r[0] == "two"]
+    x = np.array([[np.nan if v is None else v for v in r[4:]] for r in two], float)
+    train = np.array([r[1] == "train" for r in two])
+    x = np.where(np.isnan(x), np.nanmedian(x[train], axis=0), x)
+    scale = x[train].std(axis=0)
+    z = (x - x[train].mean(axis=0)) / np.where(scale == 0, 1, scale)
+    y = np.array([r[3] for r in two])
+    w = R.newton_logistic(z[train], y[train], 1.0)
+    want = 1 / (1 + np.exp(-(w[0] + z @ w[1:])))
+    np.testing.assert_allclose([got["two", r[2]] for r in two], want, atol=1e-8)
+    assert all(got["one", r[2]] == 1 - 1e-6 and got["none", r[2]] == 0.5 for r in two)
+    scored = spark.createDataFrame([(*r[:4], float(p)) for r, p in zip(two, want, strict=True)], "key string, part string, ts int, y double, p double")
+    cal = np.array([r[1] == "calibration" for r in two])
+    q = np.log(want / (1 - want))
+    v = R.newton_logistic(q[cal][:, None], y[cal], 1e-6)
+    again = {r.ts: r.p for r in R.platt(scored, ["key"]).collect()}
+    np.testing.assert_allclose([again[r[2]] for r in two], 1 / (1 + np.exp(-(v[0] + v[1] * q))), atol=1e-8)
+    assert {r.p for r in R.platt(scored.withColumn("p", F.lit(0.3)), ["key"]).collect()} == {np.clip(y[cal].mean(), 1e-6, 1 - 1e-6)}
+
+
+def test_sums_of_a_column_set_are_part_of_the_whole(spark):
+    df, _ = supervised(spark, 20)
+    all_, some = R.gram(df, ["key"], ["a", "b", "flat"], "y").orderBy("key").collect(), R.gram(df, ["key"], ["a", "flat"], "y").orderBy("key").collect()
+    for x, y in zip(all_, some, strict=True):
+        assert np.allclose([x.xx_0_0, x.xx_0_1, x.xx_0_3, x.xx_1_1, x.xx_1_3, x.xx_3_3, x.xy_1, x.xy_3], [y.xx_0_0, y.xx_0_1, y.xx_0_2, y.xx_1_1, y.xx_1_2, y.xx_2_2, y.xy_1, y.xy_2])
+
+
+def test_boosted_trees_learn_with_gaps_and_one_class(spark):
+    df, rows = supervised(spark)
+    got = {(r.key, r.ts): r.p for r in R.boosted_trees(df, ["key"], ["a", "b"], trees=8).collect()}
+    assert len(got) == len(rows)
+    two = [r for r in rows if r[0] == "two" and r[1] == "train" and r[4] is not None]
+    assert np.mean([(got["two", r[2]] > 0.5) == (r[3] > 0) for r in two]) > 0.7
+    assert all(got["one", r[2]] == 1 - 1e-6 and got["none", r[2]] == 0.5 for r in two)
 
 
 def test_urls_are_decoded_sorted_and_encoded(spark):

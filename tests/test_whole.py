@@ -38,7 +38,7 @@ def test_keyword_classes_read_the_whole_text(spark, tmp_path):
 def test_ablations_run_the_sealed_protocol(spark, sf_dir):
     got = entry.queries()["i16_ablation_run"](spark, sf_dir).toPandas()
     folds = market.assigned(spark, sf_dir).select("series_id", "fold").distinct().count()
-    assert got.ablation.nunique() == 7 and len(got) == folds * 7 * 2 * 3
+    assert got.ablation.nunique() == 7 and len(got) == folds * 7 * 3 * 3
     assert got[got.model == "trend"][["threshold", "brier"]].isna().all().all()
     assert got[got.model != "trend"][["threshold", "brier"]].notna().all().all()
     assert set(got.cost_multiplier) == {1.0, 1.5, 2.0}

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tideline.functions import scratch
+
 #: The inner edges of ten equal bins as doubles.
 EDGES = np.linspace(0.0, 1.0, 11)[1:-1].tolist()
 
@@ -69,49 +77,94 @@ def newton_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 5
     return w
 
 
-def ridge_logistic(rows: DataFrame, keys: list[str], columns: list[str], c: float = 1.0) -> DataFrame:
-    """keys, part, ts, y, p of all rows (part, ts, y, *columns), fitted on each key's train part.
+def prior_model(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, part, ts, y, p of all rows with the clipped mean of the key's train part."""
+    share = rows.where("part = 'train'").groupBy(*keys).agg(_share("y").alias("p"))
+    return rows.select(*keys, "part", "ts", "y").join(share, keys, "left").withColumn("p", F.coalesce("p", F.lit(0.5)))
 
-    Missing values take the train median, columns are standardised; a train part with one class
-    gives its prior. One task fits one key; a fold's rows are bounded by its series."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[pdf["part"] == "train"]
-        x, y = pdf[columns].astype("float64"), train["y"].to_numpy(float)
-        out = pdf[[*keys, "part", "ts", "y"]].copy()
-        if len(np.unique(y)) < 2:
-            out["p"] = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
-            return out
-        x = x.fillna(x.loc[train.index].median()).fillna(0.0)
-        base = x.loc[train.index]
-        scale = base.std(ddof=0).replace(0, 1.0)
-        w = newton_logistic(((base - base.mean()) / scale).to_numpy(), y, 1.0 / c)
-        out["p"] = 1 / (1 + np.exp(-(w[0] + ((x - base.mean()) / scale).to_numpy() @ w[1:])))
-        return out
+def gram(rows: DataFrame, keys: list[str], columns: list[str], y: str, weight: Column | None = None) -> DataFrame:
+    """Sums of products per key, in one pass with partial sums: xx_i_j of the columns (0 is the constant 1), times ``weight``, and xy_i.
 
+    Sums of a set of columns are those of its i and j."""
+    x = [F.lit(1.0), *[F.col(c) for c in columns]]
+    wide = weight if weight is not None else F.lit(1.0)
+    products = [F.sum(wide * x[i] * x[j]).alias(f"xx_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
+    return rows.groupBy(*keys).agg(*products, *[F.sum(x[i] * F.col(y)).alias(f"xy_{i}") for i in range(len(x))], F.count("*").alias("n"))
+
+
+def newton_summed(rows: DataFrame, keys: list[str], columns: list[str], y: str, penalty: float, steps: int = 50) -> DataFrame:
+    """(keys, w): the weights of :func:`newton_logistic` for every key at once.
+
+    A step is one aggregate: Spark sums each key's gradient and second derivatives over its rows, wherever they lie, and one small
+    system per key is solved from the sums. The state between steps, a row per key, is a table."""
+    spark, k = rows.sparkSession, len(columns) + 1
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "part", "ts", "y"]) + ", p double"
-    return rows.select(*keys, "part", "ts", "y", *columns).groupBy(*keys).applyInPandas(fit, schema)
+    schema = ", ".join(f"{x} {kinds[x]}" for x in keys) + ", w array<double>, step double"
+    ridge = np.r_[1e-12, np.full(k - 1, penalty)]
+
+    def solved(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                r = row._asdict()
+                w, h = np.array(r["w"], float), np.zeros((k, k))
+                for i in range(k):
+                    for j in range(i, k):
+                        h[i, j] = h[j, i] = r[f"xx_{i}_{j}"]
+                step = np.linalg.solve(h + np.diag(ridge) + 1e-12 * np.eye(k), np.array([r[f"xy_{i}"] for i in range(k)]) + ridge * w)
+                out.append((*[r[x] for x in keys], (w - step).tolist(), float(np.abs(step).max())))
+            yield pd.DataFrame(out, columns=[*keys, "w", "step"])
+
+    state = rows.select(*keys).distinct().withColumn("w", F.array_repeat(F.lit(0.0), k))
+    for _ in range(steps):
+        d = rows.join(state.select(*keys, "w"), keys)
+        z = functools.reduce(lambda a, i: a + F.col(columns[i]) * F.col("w")[i + 1], range(k - 1), F.col("w")[0])
+        d = d.withColumn("_tl_p", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(35.0)), F.lit(-35.0)))))
+        sums = gram(d.withColumn("_tl_d", F.col("_tl_p") - F.col(y)), keys, columns, "_tl_d", F.col("_tl_p") * (1 - F.col("_tl_p")))
+        state = scratch.table(sums.join(state.select(*keys, "w"), keys).mapInPandas(solved, schema), "newton")
+        if (state.agg(F.max("step")).first()[0] or 0.0) < 1e-10:  # one number
+            break
+    return state.select(*keys, "w")
+
+
+def _share(y: str) -> Column:
+    """The target's mean, away from 0 and 1; a half without rows."""
+    return F.least(F.greatest(F.coalesce(F.avg(y), F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
+
+
+def ridge_logistic(rows: DataFrame, keys: list[str], columns: list[str], c: float = 1.0) -> DataFrame:
+    """keys, part, ts, y, p of all rows (part, ts, y, *columns), fitted on each key's train part.
+
+    Missing values take the train median, columns are standardised; a train part with one class
+    gives its prior. All keys are fitted together from sums (:func:`newton_summed`), so neither their number nor the rows of one
+    must fit into a task."""
+    col = F.col
+    x = [f"_tl_x{i}" for i in range(len(columns))]
+    d = rows.select(*keys, "part", "ts", "y", *[F.when(~F.isnan(col(n).cast("double")), col(n).cast("double")).alias(v) for n, v in zip(columns, x)])
+    d = scratch.table(d, "fit-rows")
+    own = lambda df: df.where("part = 'train'").groupBy(*keys)
+    middle = own(d).agg(*[F.percentile(v, F.lit(0.5)).alias(f"{v}m") for v in x], _share("y").alias("_tl_prior"), (F.countDistinct("y") > 1).alias("_tl_two"))
+    d = d.join(middle, keys, "left").withColumns({v: F.coalesce(v, f"{v}m", F.lit(0.0)) for v in x})
+    spread = own(d).agg(*[F.avg(v).alias(f"{v}a") for v in x], *[F.stddev_pop(v).alias(f"{v}s") for v in x])
+    d = d.join(spread, keys, "left").withColumns({v: (col(v) - col(f"{v}a")) / F.when(col(f"{v}s") == 0, 1.0).otherwise(col(f"{v}s")) for v in x})
+    d = scratch.table(d.select(*keys, "part", "ts", "y", *x, F.coalesce("_tl_prior", F.lit(0.5)).alias("_tl_prior"), F.coalesce("_tl_two", F.lit(False)).alias("_tl_two")), "fit-rows")
+    w = newton_summed(d.where("part = 'train' AND _tl_two").select(*keys, *x, col("y").cast("double").alias("y")), keys, x, "y", 1.0 / c)
+    z = functools.reduce(lambda a, i: a + col(x[i]) * col("w")[i + 1], range(len(x)), col("w")[0])
+    return d.join(w, keys, "left").select(*keys, "part", "ts", "y", F.coalesce(1 / (1 + F.exp(-z)), "_tl_prior").alias("p"))
 
 
 def platt(scored: DataFrame, keys: list[str]) -> DataFrame:
     """``scored`` (keys, part, ts, y, p) with p calibrated by a logistic of its logit, fitted on the
-    calibration part; a constant where that has one class or one score."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.clip(pdf["p"].to_numpy(float), 1e-6, 1 - 1e-6)
-        z = np.log(z / (1 - z))
-        own = (pdf["part"] == "calibration").to_numpy()
-        y = pdf["y"].to_numpy(float)[own]
-        out = pdf.copy()
-        if not len(y) or len(np.unique(y)) < 2 or np.ptp(z[own]) < 1e-12:
-            out["p"] = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
-        else:
-            w = newton_logistic(z[own][:, None], y, 1e-6)
-            out["p"] = 1 / (1 + np.exp(-(w[0] + w[1] * z)))
-        return out
-
-    return scored.groupBy(*keys).applyInPandas(fit, scored.schema)
+    calibration part, all keys together; a constant where that has one class or one score."""
+    d = scratch.table(scored.withColumn("_tl_z", logit(F.col("p"))), "fit-rows")
+    own = d.where("part = 'calibration'")
+    flat = own.groupBy(*keys).agg(_share("y").alias("_tl_prior"), ((F.countDistinct("y") > 1) & (F.max("_tl_z") - F.min("_tl_z") >= 1e-12)).alias("_tl_two"))
+    fit = own.join(flat.where("_tl_two").select(*keys), keys).select(*keys, "_tl_z", F.col("y").cast("double").alias("y"))
+    w = newton_summed(fit, keys, ["_tl_z"], "y", 1e-6)
+    z = F.col("w")[0] + F.col("w")[1] * F.col("_tl_z")
+    out = d.join(w, keys, "left").join(flat.select(*keys, "_tl_prior"), keys, "left")
+    return out.withColumn("p", F.coalesce(1 / (1 + F.exp(-z)), "_tl_prior", F.lit(0.5))).select(*scored.columns)
 
 
 def fit_groups(rows: DataFrame, keys: list[str], columns: list[str], fit) -> DataFrame:
@@ -130,80 +183,29 @@ def fit_groups(rows: DataFrame, keys: list[str], columns: list[str], fit) -> Dat
     return rows.select(*keys, "part", "ts", "y", *columns).groupBy(*keys).applyInPandas(run, schema)
 
 
-def split_points(x: np.ndarray, bins: int) -> np.ndarray:
-    """Thresholds between distinct values: all of them, or the ``bins`` - 1 that part the rows most evenly."""
-    values, n = np.unique(x, return_counts=True)
-    middle = (values[:-1] + values[1:]) / 2
-    if len(middle) < bins:
-        return middle
-    targets = len(x) / bins * np.arange(1, bins)
-    return middle[np.unique(np.abs(np.cumsum(n)[:-1, None] - targets).argmin(axis=0))]
-
-
-def grow_tree(codes: np.ndarray, width: int, target: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A regression tree as arrays (feature or -1, last code that goes left, mean); node i has children 2i + 1 and 2i + 2."""
-    size = 2 ** (depth + 1) - 1
-    feature, cut, mean = np.full(size, -1), np.zeros(size, int), np.zeros(size)
-    at = {0: np.arange(len(target))}
-    for i in range(size):
-        rows = at.pop(i, None)
-        if rows is None:
-            continue
-        t = target[rows]
-        mean[i] = t.mean()
-        if 2 * i + 2 >= size:
-            continue
-        best = 1e-12 * len(rows)
-        for j in range(codes.shape[1]):
-            left_n = np.bincount(codes[rows, j], minlength=width).cumsum()[:-1]
-            left_sum = np.bincount(codes[rows, j], weights=t, minlength=width).cumsum()[:-1]
-            right_n, right_sum = len(rows) - left_n, t.sum() - left_sum
-            ok = (left_n > 0) & (right_n > 0)
-            gain = np.where(ok, left_sum**2 / np.maximum(left_n, 1) + right_sum**2 / np.maximum(right_n, 1) - t.sum() ** 2 / len(rows), -1.0)
-            if len(gain) and gain.max() > best:
-                best, feature[i], cut[i] = gain.max(), j, int(gain.argmax())
-        if feature[i] >= 0:
-            left = codes[rows, feature[i]] <= cut[i]
-            at[2 * i + 1], at[2 * i + 2] = rows[left], rows[~left]
-    return feature, cut, mean
-
-
-def tree_values(tree: tuple[np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    feature, cut, mean = tree
-    node, every = np.zeros(len(codes), int), np.arange(len(codes))
-    for _ in range(int(np.log2(len(feature) + 1))):
-        f = feature[node]
-        node = np.where(f < 0, node, 2 * node + 1 + (codes[every, f] > cut[node]))
-    return mean[node]
-
-
-def boosted_trees(trees: int = 20, depth: int = 3, step: float = 0.05, bins: int = 32):
-    """Gradient-boosted trees for :func:`fit_groups`, by the rules of Spark ML's GBTClassifier.
-
-    Log loss over labels -1 and 1: the first tree is fitted to the labels and has weight 1, the others
-    to the loss's negative gradient with weight ``step``. Missing values take the train median; a train
-    part with one class gives its prior, as the other models do."""
-
-    def fit(x: np.ndarray, y: np.ndarray):
-        if len(np.unique(y)) < 2:
-            flat = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
-            return lambda z: np.full(len(z), flat)
-        median = pd.DataFrame(x).median().fillna(0.0).to_numpy()
-        filled = lambda z: np.where(np.isnan(z), median, z)
-        points = [split_points(v, bins) for v in filled(x).T]
-        coded = lambda z: np.column_stack([np.searchsorted(p, v, side="left") for p, v in zip(points, filled(z).T, strict=True)])
-        codes, sign, width = coded(x), 2.0 * y - 1, max(map(len, points)) + 1
-        grown = [(1.0, grow_tree(codes, width, sign, depth))]
-        score = tree_values(grown[0][1], codes)
-        for _ in range(trees - 1):
-            tree = grow_tree(codes, width, 4 * sign / (1 + np.exp(2 * sign * score)), depth)
-            grown.append((step, tree))
-            score = score + step * tree_values(tree, codes)
-
-        def predict(z: np.ndarray) -> np.ndarray:
-            own = coded(z)
-            return 1 / (1 + np.exp(-2 * sum(w * tree_values(t, own) for w, t in grown)))
-
-        return predict
-
-    return fit
+#: Keys whose trees are fitted at the same time.
+AT_ONCE = 8
+
+
+def boosted_trees(rows: DataFrame, keys: list[str], columns: list[str], trees: int = 20, depth: int = 3, step: float = 0.05, seed: int = 42) -> DataFrame:
+    """keys, part, ts, y, p of all rows by Spark ML's gradient-boosted trees, fitted on each key's train part.
+
+    Missing values take the train median; a train part with one class gives its prior. Each fit is a distributed job over its rows; the
+    keys (a series' declared folds) are submitted ``AT_ONCE`` at a time."""
+    col = F.col
+    x = [f"_tl_x{i}" for i in range(len(columns))]
+    d = scratch.table(rows.select(*keys, "part", "ts", "y", *[F.when(~F.isnan(col(n).cast("double")), col(n).cast("double")).alias(v) for n, v in zip(columns, x)]), "fit-rows")
+    train = d.where("part = 'train'").groupBy(*keys).agg(*[F.coalesce(F.percentile(v, F.lit(0.5)), F.lit(0.0)).alias(f"{v}m") for v in x], _share("y").alias("_tl_prior"), (F.countDistinct("y") > 1).alias("_tl_two"))
+    train = scratch.table(train, "fit-keys")
+    d = scratch.table(d.join(train, keys, "left").withColumns({v: F.coalesce(v, f"{v}m", F.lit(0.0)) for v in x}).drop(*[f"{v}m" for v in x]), "fit-rows")
+    gather = VectorAssembler(inputCols=x, outputCol="_tl_v")
+    out = d.where("NOT coalesce(_tl_two, false)").select(*keys, "part", "ts", "y", F.coalesce("_tl_prior", F.lit(0.5)).alias("p"))
+
+    def fitted(key) -> DataFrame:
+        own = gather.transform(d.where(functools.reduce(lambda a, k: a & (col(k) == F.lit(key[k])), keys, F.lit(True))).withColumn("_tl_y", col("y").cast("double")))
+        model = GBTClassifier(labelCol="_tl_y", featuresCol="_tl_v", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(own.where("part = 'train'"))
+        return model.transform(own).select(*keys, "part", "ts", "y", vector_to_array("probability")[1].alias("p"))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        fits = list(pool.map(fitted, train.where("_tl_two").select(*keys).collect()))  # a row per fold
+    return functools.reduce(DataFrame.unionByName, fits, out)

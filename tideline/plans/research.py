@@ -66,13 +66,10 @@ def fitted(s: SparkSession, f: str) -> DataFrame:
 register("i10_i12_ridge_platt", fitted, "series_id fold:i part ts:t y:d p:d")
 
 
-def constant_prior(x, y):
-    """The train part's clipped mean, for :func:`R.fit_groups`."""
-    p = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
-    return lambda z: np.full(len(z), p)
-
-
-MODELS = {"prior": constant_prior, "ridge_logistic": None, "boosted_trees": R.boosted_trees()}
+WIDE = ["log_return", "realized_volatility", "z"]
+register("i10_gram_table", lambda s, f: R.gram(assigned(s, f).where("part = 'train'"), ["series_id", "fold"], WIDE, "target_positive"), "series_id fold:i n:i " + " ".join(f"xx_{i}_{j}:d" for i in range(4) for j in range(i, 4)) + " " + " ".join(f"xy_{i}:d" for i in range(4)),
+         f"{SCORED} SELECT series_id, fold, count(*) AS n, " + ", ".join(f"sum({a}::DOUBLE * {b}) AS xx_{i}_{j + i}" for i, a in enumerate(["1", *WIDE]) for j, b in enumerate(["1", *WIDE][i:])) + ", " + ", ".join(f"sum({a}::DOUBLE * target_positive) AS xy_{i}" for i, a in enumerate(["1", *WIDE])) + " FROM purged WHERE part = 'train' GROUP BY ALL")
+MODELS = {"prior": R.prior_model, "ridge_logistic": R.ridge_logistic, "boosted_trees": R.boosted_trees}
 
 
 def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str], models: tuple[str, ...] = ("ridge_logistic",)) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +79,7 @@ def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], colum
     group = ["series_id", "fold", *keys]
     own = [*group, "model"]
     base = rows.withColumn("y", F.col("target_positive"))
-    fits = [(R.ridge_logistic(base, group, columns) if MODELS[m] is None else R.fit_groups(base, group, columns, MODELS[m])).withColumn("model", F.lit(m)) for m in models]
+    fits = [MODELS[m](base, group, columns).withColumn("model", F.lit(m)) for m in models]
     scored = R.platt(functools.reduce(DataFrame.unionByName, fits), own).select(*own, "part", "ts", F.col("p").alias("fit_p"))
     d = rows.join(scored, [*group, "part", "ts"]).withColumn("cost_multiplier", F.lit(1.0))
     size = lambda x: x.withColumn("exposure", P.probability_exposure(M, F.col("fit_p"), F.col("threshold"), F.col("realized_volatility")))
@@ -259,11 +256,16 @@ register("h1_tagged_union", lambda s, f: one_x(s, f).withColumn("tag", F.lit("ba
 GROUPS = {"trend": ["ema_ratio", "atr_pct"], "volatility": ["realized_vol_6"], "volume": ["volume_zscore"]}
 
 
+def plan_sets() -> dict[str, list[str]]:
+    """Columns by ablation: all groups, growing prefixes and leave-one-out."""
+    names = list(GROUPS)
+    sets = {"all": names} | {f"with_{n}": names[: i + 1] for i, n in enumerate(names)} | {f"without_{n}": [x for x in names if x != n] for n in names}
+    return {n: [c for g in groups for c in GROUPS[g]] for n, groups in sets.items()}
+
+
 def ablation_plan(s: SparkSession, f: str) -> DataFrame:
     """All groups, growing prefixes and leave-one-out sets as rows (ablation, columns), for each series."""
-    names = list(GROUPS)
-    sets = [("all", names)] + [(f"with_{n}", names[: i + 1]) for i, n in enumerate(names)] + [(f"without_{n}", [x for x in names if x != n]) for n in names]
-    rows = F.array(*[F.struct(F.lit(n).alias("ablation"), F.array(*[F.lit(c) for g in gs for c in GROUPS[g]]).alias("columns")) for n, gs in sets])
+    rows = F.array(*[F.struct(F.lit(n).alias("ablation"), F.array(*map(F.lit, columns)).alias("columns")) for n, columns in plan_sets().items()])
     return read(s, f, "events").select(F.col("event_type").alias("series_id")).distinct().select("series_id", F.inline(rows)).withColumn("columns", F.array_join("columns", ","))
 
 

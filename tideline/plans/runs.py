@@ -76,7 +76,7 @@ register("c24_experiment_identity", experiment_ids, "series_id model experiment_
 def trees(s: SparkSession, f: str) -> DataFrame:
     """Boosted trees for every (series, fold), fitted on its train part and scored on its test part."""
     rows = market.assigned(s, f).withColumn("y", c("target_positive"))
-    return R.fit_groups(rows, ["series_id", "fold"], COLS, R.boosted_trees()).where("part = 'test'")
+    return R.boosted_trees(rows, ["series_id", "fold"], COLS).where("part = 'test'")
 
 
 COLS = ["log_return", "realized_volatility", "z"]
@@ -84,14 +84,14 @@ register("i11_boosted_trees", trees, "series_id fold:i ts:t y:d p:d")
 
 
 def ablations(s: SparkSession, f: str) -> DataFrame:
-    """The sealed protocol for every (series, fold, ablation) at once: columns outside an ablation's set are constant.
-
-    The sets are those of I15's plan over one group per column: all, growing prefixes and leave-one-out."""
-    sets = {"all": COLS} | {f"with_{n}": COLS[: i + 1] for i, n in enumerate(COLS)} | {f"without_{n}": [x for x in COLS if x != n] for n in COLS}
-    masks = F.array(*[F.struct(F.lit(n).alias("ablation"), *[F.lit(x in keep).alias(f"has_{x}") for x in COLS]) for n, keep in sets.items()])
-    rows = market.assigned(s, f).select("*", F.inline(masks))
-    rows = rows.withColumns({f"x_{x}": F.when(c(f"has_{x}"), c(x)).otherwise(0.0) for x in COLS})
-    return research.sealed_table(s, f, rows, ["ablation"], [f"x_{x}" for x in COLS])
+    """The sealed protocol for every (series, fold, ablation) of I15's plan at once: columns outside an ablation's set are constant."""
+    sets = research.plan_sets()
+    columns = sets["all"]
+    masks = F.array(*[F.struct(F.lit(n).alias("ablation"), *[F.lit(x in keep).alias(f"has_{x}") for x in columns]) for n, keep in sets.items()])
+    features = N.features(market.bars_1h(s, f), M).select("series_id", "ts", *[c(x).alias(f"x_{x}") for x in columns])
+    rows = market.assigned(s, f).join(features, ["series_id", "ts"], "left").select("*", F.inline(masks))
+    rows = rows.withColumns({f"x_{x}": F.when(c(f"has_{x}"), c(f"x_{x}")).otherwise(0.0) for x in columns})
+    return research.sealed_table(s, f, scratch.table(rows, "ablations"), ["ablation"], [f"x_{x}" for x in columns], ("prior", "ridge_logistic"))
 
 
 register("i16_ablation_run", ablations, f"series_id fold:i ablation model {research.RUN}")
