@@ -179,3 +179,23 @@ def test_window_counts_of_nothing(spark):
     d = spark.createDataFrame([("A", when(0))], "asset string, decision_time timestamp")
     assert E.window_counts(d, spark.createDataFrame([], EVENTS), 1, ["asset"]).first().pairs == 0
     assert E.window_features(d.limit(0), spark.createDataFrame([], EVENTS), 1, ["asset"]).where(F.lit(True)).count() == 0
+
+
+def test_latch_equals_row_by_row_and_carries_over_batches(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 200):
+        e, x = rng.random(n) < 0.3, rng.random(n) < 0.3
+        for active in (False, True):
+            now, want = active, []
+            for a, b in zip(e, x, strict=True):
+                now = False if now and b else True if not now and a else now
+                want.append(now)
+            assert J.latched(e, x, active).tolist() == want
+    schema = "key string, ts timestamp, entry boolean, exit boolean"
+    rows = [("a", when(i), bool(rng.random() < 0.3), None if rng.random() < 0.1 else bool(rng.random() < 0.4)) for i in range(60)]
+    for lo in range(0, 60, 20):
+        land(spark, str(tmp_path / f"in/{lo}"), rows[lo : lo + 20], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    got = [r.regime for r in J.finish(J.latch(stream, "key", "entry", "exit"), str(tmp_path / "out")).orderBy("ts").collect()]
+    whole = J.latched(np.array([bool(r[2]) for r in rows]), np.array([bool(r[3]) for r in rows]), False)
+    assert got == whole.astype(float).tolist()

@@ -64,8 +64,14 @@ register("b10_c11_hosts", lambda s, f: read(s, f, "pages").withColumns({"host":
 TAGLESS = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gsi'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
 register("c9_tagless", lambda s, f: read(s, f, "pages").withColumn("body", X.tagless(c("html"))).withColumns({"n": F.length("body"), "sha": F.sha2("body", 256)}), "page_id:i n:i sha",
          r"SELECT page_id, length(b) AS n, sha256(b) AS sha FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gsi'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM pages)")
-register("c9_strip_markup", lambda s, f: read(s, f, "pages").withColumn("body", X.strip_markup(c("html"))), "page_id:i body")
-register("c8_relevance_text", lambda s, f: docs(s, f).withColumn("folded", X.folded(F.concat_ws("\n", "title", "text"))).select("document_id", F.sha2("folded", 256).alias("sha")), "document_id:i sha")
+#: The entities that pages hold; the ampersand comes last, so nothing is decoded twice.
+ENTITIES = TAGLESS
+for entity, sign in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    ENTITIES = f"replace({ENTITIES}, '&{entity};', '{sign}')"
+register("c9_strip_markup", lambda s, f: read(s, f, "pages").withColumn("body", X.strip_markup(c("html"))), "page_id:i body",
+         f"SELECT page_id, trim(regexp_replace({ENTITIES}, '\\s+', ' ', 'g')) AS body FROM pages")
+register("c8_relevance_text", lambda s, f: docs(s, f).withColumn("folded", X.folded(F.concat_ws("\n", "title", "text"))).select("document_id", F.sha2("folded", 256).alias("sha")), "document_id:i sha",
+         rf"SELECT document_id, sha256(trim(regexp_replace(replace(lower(concat_ws(chr(10), title, text)), 'ß', 'ss'), '\s+', ' ', 'g'))) AS sha FROM ({DOCS})")  # of texts whose characters are composed already, as here
 
 
 def decisions(s: SparkSession, f: str) -> DataFrame:
@@ -82,8 +88,17 @@ register("c14_whole_text_classes", lambda s, f: docs(s, f).withColumn("k", X.cla
 register("c19_document_text", lambda s, f: docs(s, f).withColumn("body", X.document_text(c("title"), c("text"))).select("document_id", F.octet_length("body").alias("n_bytes"), F.sha2("body", 256).alias("sha")), "document_id:i n_bytes:i sha", f"SELECT document_id, strlen(b) AS n_bytes, sha256(b) AS sha FROM (SELECT document_id, CASE WHEN text = '' THEN title ELSE title || chr(10) || chr(10) || text END AS b FROM ({DOCS}))")
 register("c20_slugs", lambda s, f: read(s, f, "pages").withColumn("slug", X.slug(c("url"))), "page_id:i slug", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
 register("c12_feed_times", lambda s, f: docs(s, f).withColumn("raw", F.when(c("document_id") % 3 == 0, F.date_format("retrieved_at", "EEE, d MMM yyyy HH:mm:ss 'GMT'")).when(c("document_id") % 3 == 1, F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("retrieved_at", "yyyy-MM-dd HH:mm:ss"))).withColumn("published_at", X.feed_time(c("raw"), F.timestamp_micros(F.unix_micros("retrieved_at") - F.when(c("document_id") % 5 == 0, 600_000_000).otherwise(0)), 300)), "document_id:i published_at:t", f"SELECT document_id, CASE WHEN document_id % 3 <> 2 AND document_id % 5 <> 0 THEN retrieved_at END AS published_at FROM ({DOCS})")
-register("b13_document_contract", lambda s, f: Q.violations(docs(s, f), {"hash_differs": c("content_sha256") != F.sha2("text", 256), "empty_text": F.length("text") == 0, "tags_repeat": F.size(F.array_distinct("asset_tags")) != F.size("asset_tags"), "no_tags": F.size("asset_tags") == 0}, ["source_id"]), "source_id rule violations:i",
-         " UNION ALL ".join(f"SELECT source_id, '{n}' AS rule, count(*) FILTER ({e}) AS violations FROM ({DOCS}) GROUP BY 1" for n, e in {"hash_differs": "false", "empty_text": "length(text) = 0", "tags_repeat": "false", "no_tags": "len(asset_tags) = 0"}.items()))
+
+
+def spoiled_docs(s: SparkSession, f: str) -> DataFrame:
+    """Documents with some hashes and tags broken on purpose."""
+    twice = F.array(F.lit("BTC"), F.lit("BTC"))
+    return docs(s, f).withColumns({"content_sha256": F.when(c("document_id") % 97 == 5, F.lit("x")).otherwise(c("content_sha256")), "asset_tags": F.when(c("document_id") % 41 == 3, twice).otherwise(c("asset_tags"))})
+
+
+SPOILED = f"SELECT * REPLACE (CASE WHEN document_id % 97 = 5 THEN 'x' ELSE content_sha256 END AS content_sha256, CASE WHEN document_id % 41 = 3 THEN ['BTC', 'BTC'] ELSE asset_tags END AS asset_tags) FROM ({DOCS})"
+register("b13_document_contract", lambda s, f: Q.violations(spoiled_docs(s, f), {"hash_differs": c("content_sha256") != F.sha2("text", 256), "empty_text": F.length("text") == 0, "tags_repeat": F.size(F.array_distinct("asset_tags")) != F.size("asset_tags"), "no_tags": F.size("asset_tags") == 0}, ["source_id"]), "source_id rule violations:i",
+         " UNION ALL ".join(f"SELECT source_id, '{n}' AS rule, count(*) FILTER ({e}) AS violations FROM ({SPOILED}) GROUP BY 1" for n, e in {"hash_differs": "content_sha256 <> sha256(text)", "empty_text": "length(text) = 0", "tags_repeat": "len(list_distinct(asset_tags)) <> len(asset_tags)", "no_tags": "len(asset_tags) = 0"}.items()))
 register("b19_credential_scan", lambda s, f: docs(s, f).groupBy("source_id").agg(F.count_if(c("text").rlike(X.SECRET)).alias("hits"), F.count("*").alias("rows")), "source_id hits:i rows:i", rf"SELECT source_id, count(*) FILTER (regexp_matches(text, '{X.SECRET}')) AS hits, count(*) AS rows FROM ({DOCS}) GROUP BY 1")
 register("e25_duplicate_content", lambda s, f: docs(s, f).groupBy("content_sha256").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("k")).where("k > 1").agg(F.sum(c("n") - 1).alias("duplicates"), F.count("*").alias("texts")), "duplicates:i texts:i", f"SELECT sum(n - 1) AS duplicates, count(*) AS texts FROM (SELECT count(*) AS n, count(DISTINCT source_id) AS k FROM ({DOCS}) GROUP BY content_sha256) WHERE k > 1")
 register("e26_e37_capture_counts", lambda s, f: decisions(s, f).groupBy("source_id").agg(F.count("*").alias("parsed"), F.count_if("accepted").alias("accepted"), F.count_if(~c("accepted")).alias("rejected")), "source_id parsed:i accepted:i rejected:i", f"SELECT source_id, count(*) AS parsed, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected FROM ({DEC}) GROUP BY 1")
@@ -249,9 +264,18 @@ register("c15_direction_weights", lambda s, f: signals(s, f).withColumns({"v": E
 register("b9_asset_filter", lambda s, f: signals(s, f).where(c("asset").isin("BTC", "MARKET") & (c("available_at") <= F.lit(CUT).cast("timestamp"))).groupBy("asset").agg(F.count("*").alias("rows"), (F.count("*") - F.countDistinct("signal_id")).alias("repeated")), "asset rows:i repeated:i", f"SELECT asset, count(*) AS rows, count(*) - count(DISTINCT signal_id) AS repeated FROM ({SIG}) WHERE asset IN ('BTC', 'MARKET') AND available_at <= TIMESTAMP '{CUT}' GROUP BY 1")
 register("b14_record_contract", lambda s, f: Q.violations(signals(s, f).join(docs(s, f).select("document_id", "asset_tags", "retrieved_at"), "document_id"), {"asset_not_tagged": (c("asset") != "MARKET") & ~F.array_contains("asset_tags", c("asset")), "known_before_event": c("available_at") < c("event_time")}, ["asset"]), "asset rule violations:i",
          " UNION ALL ".join(f"SELECT asset, '{n}' AS rule, count(*) FILTER ({e}) AS violations FROM ({SIG}) s JOIN ({DOCS}) d USING (document_id) GROUP BY 1" for n, e in {"asset_not_tagged": "asset <> 'MARKET' AND NOT list_contains(asset_tags, asset)", "known_before_event": "available_at < event_time"}.items()))
-register("b15_signal_contract", lambda s, f: Q.violations(signals(s, f), {"severity_range": ~c("severity").between(0, 1), "direction_name": ~c("direction").isin("bullish", "bearish", "neutral"), "asset_form": c("asset") != F.upper(F.trim("asset")), "novelty_high": c("novelty") > 0.85}, ["direction"]), "direction rule violations:i",
-         " UNION ALL ".join(f"SELECT direction, '{n}' AS rule, count(*) FILTER ({e}) AS violations FROM ({SIG}) GROUP BY 1" for n, e in {"severity_range": "severity < 0 OR severity > 1", "direction_name": "false", "asset_form": "false", "novelty_high": "novelty > 0.85"}.items()))
+
+
+def spoiled_signals(s: SparkSession, f: str) -> DataFrame:
+    """Signals with some fields broken on purpose."""
+    k = c("signal_id")
+    return signals(s, f).withColumns({"direction": F.when(k % 53 == 1, F.lit("sideways")).otherwise(c("direction")), "asset": F.when(k % 59 == 2, F.lit(" btc")).otherwise(c("asset")), "severity": F.when(k % 61 == 0, c("severity") + 1.5).otherwise(c("severity")), "event_type": F.when(k % 19 == 0, F.initcap("event_type")).otherwise(c("event_type"))})
+
+
+SPOILED_SIG = f"SELECT * REPLACE (CASE WHEN signal_id % 53 = 1 THEN 'sideways' ELSE direction END AS direction, CASE WHEN signal_id % 59 = 2 THEN ' btc' ELSE asset END AS asset, CASE WHEN signal_id % 61 = 0 THEN severity + 1.5 ELSE severity END AS severity, CASE WHEN signal_id % 19 = 0 THEN upper(event_type[1]) || event_type[2:] ELSE event_type END AS event_type) FROM ({SIG})"
+register("b15_signal_contract", lambda s, f: Q.violations(spoiled_signals(s, f), {"severity_range": ~c("severity").between(0, 1), "direction_name": ~c("direction").isin("bullish", "bearish", "neutral"), "asset_form": c("asset") != F.upper(F.trim("asset")), "novelty_high": c("novelty") > 0.85}, ["direction"]), "direction rule violations:i",
+         " UNION ALL ".join(f"SELECT direction, '{n}' AS rule, count(*) FILTER ({e}) AS violations FROM ({SPOILED_SIG}) GROUP BY 1" for n, e in {"severity_range": "severity < 0 OR severity > 1", "direction_name": "direction NOT IN ('bullish', 'bearish', 'neutral')", "asset_form": "asset <> upper(trim(asset))", "novelty_high": "novelty > 0.85"}.items()))
 register("b16_b17_call_contract", lambda s, f: Q.violations(calls(s, f), {"ends_early": c("completed_at") < c("started_at"), "success_with_error": (c("status") == "success") & c("error_code").isNotNull(), "failure_without_code": (c("status") == "failed") & c("error_code").isNull()}, ["source_id"]), "source_id rule violations:i",
          " UNION ALL ".join(f"SELECT source_id, '{n}' AS rule, count(*) FILTER ({e}) AS violations FROM ({CALLS}) GROUP BY 1" for n, e in {"ends_early": "completed_at < started_at", "success_with_error": "status = 'success' AND error_code IS NOT NULL", "failure_without_code": "status = 'failed' AND error_code IS NULL"}.items()))
-register("c22_c23_records", lambda s, f: signals(s, f).join(docs(s, f).select("document_id", "asset_tags", "content_sha256"), "document_id").select("signal_id", F.when((c("asset") == "MARKET") | F.array_contains("asset_tags", c("asset")), c("asset")).otherwise("MARKET").alias("asset"), c("event_type").rlike("^[a-z][a-z0-9_]*$").alias("valid_type"), X.identity(c("extraction_key"), c("content_sha256")).alias("record_key")), "signal_id:i asset valid_type record_key",
-         f"SELECT signal_id, CASE WHEN asset = 'MARKET' OR list_contains(asset_tags, asset) THEN asset ELSE 'MARKET' END AS asset, true AS valid_type, {IDSQL('extraction_key', 'content_sha256')} AS record_key FROM ({SIG}) JOIN ({DOCS}) USING (document_id)")
+register("c22_c23_records", lambda s, f: spoiled_signals(s, f).join(docs(s, f).select("document_id", "asset_tags", "content_sha256"), "document_id").select("signal_id", F.when((c("asset") == "MARKET") | F.array_contains("asset_tags", c("asset")), c("asset")).otherwise("MARKET").alias("asset"), c("event_type").rlike("^[a-z][a-z0-9_]*$").alias("valid_type"), X.identity(c("extraction_key"), c("content_sha256")).alias("record_key")), "signal_id:i asset valid_type record_key",
+         f"SELECT signal_id, CASE WHEN asset = 'MARKET' OR list_contains(asset_tags, asset) THEN asset ELSE 'MARKET' END AS asset, regexp_matches(event_type, '^[a-z][a-z0-9_]*$') AS valid_type, {IDSQL('extraction_key', 'content_sha256')} AS record_key FROM ({SPOILED_SIG}) JOIN ({DOCS}) USING (document_id)")

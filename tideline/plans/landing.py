@@ -74,12 +74,16 @@ def feeds(s: SparkSession, f: str) -> DataFrame:
     return read(s, f, "pages").groupBy(F.concat(F.lit("feed"), F.floor(c("page_id") / 40)).alias("source_id")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</channel></rss>")).alias("payload")).withColumn("retrieved_at", ts("2024-01-02 00:00:00"))
 
 
-register("a11_feed_items", lambda s, f: S.feed_items(feeds(s, f), ["example.com", "example.org"], 30, 300).select("source_id", "canonical_url", "title", "summary", "published_at"), "source_id canonical_url title summary published_at:t")
 register("a11_feed_counts", lambda s, f: S.feed_counts(feeds(s, f), ["example.com", "example.org"], 30, 300), "source_id entries:i truncated:i skipped:i duplicates:i kept:i",
          r"""WITH p AS (SELECT 'feed' || page_id // 40 AS source_id, row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id::VARCHAR || ']') AS pos,
            regexp_matches(trim(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '.'), '^(.*\.)?example\.(com|org)$') AS usable FROM pages)
          SELECT source_id, count(*) AS entries, greatest(count(*) - 30, 0) AS truncated, count(*) FILTER (pos <= 30 AND NOT usable) AS skipped, 0 AS duplicates, count(*) FILTER (pos <= 30 AND usable) AS kept FROM p GROUP BY 1""")
 
+register("a11_feed_items", lambda s, f: S.feed_items(feeds(s, f), ["example.com", "example.org"], 30, 300).select("source_id", "canonical_url", "title", "summary", "published_at"), "source_id canonical_url title summary published_at:t",
+         rf"""WITH p AS (SELECT 'feed' || page_id // 40 AS source_id, page_id, canonical, regexp_matches(host, '^(.*\.)?example\.(com|org)$') AS usable,
+           row_number() OVER (PARTITION BY page_id // 40 ORDER BY page_id::VARCHAR || ']') AS pos FROM ({P.CU}))
+         SELECT source_id, canonical AS canonical_url, 'Page ' || min(page_id) AS title, 'Body ' || min(page_id) AS summary, TIMESTAMP '2024-01-01 10:00:00' AS published_at FROM p WHERE pos <= 30 AND usable AND canonical IS NOT NULL GROUP BY source_id, canonical""")
+
 # forecasts
 CTX, HOR, STR = 12, 6, 4
 
@@ -100,7 +104,23 @@ def carried(s: SparkSession, f: str) -> DataFrame:
 
 CAR = f"{ORI}, k AS (SELECT o.series_id, o.pos + k AS pos, o.ts AS forecast_origin_at, o.available_at AS forecast_origin_available_at, k + 1 AS forecast_step, m AS point_1, m * ({HOR} - k) AS point_sum, k AS forecast_age_bars FROM o, range(0, {min(STR, HOR)}) r(k) WHERE o.pos + k < o.n), car AS (SELECT b.series_id, b.ts, greatest(b.available_at, forecast_origin_available_at) AS available_at, k.* EXCLUDE (series_id, pos) FROM b JOIN k ON k.series_id = b.series_id AND k.pos = b.pos)"
 register("i20_aligned_forecasts", carried, "series_id ts:t forecast_origin_at:t forecast_step:i point_1:d point_sum:d forecast_age_bars:i", f"{CAR} SELECT * FROM car")
-register("b11_forecast_timing", lambda s, f: Q.violations(carried(s, f), C.timing_rules(HOR), ["series_id"]), "series_id rule violations:i", " UNION ALL ".join(f"SELECT DISTINCT event_type AS series_id, '{n}' AS rule, 0 AS violations FROM events" for n in ("origin_after_row", "origin_known_early", "known_before_origin", "step_range")))
+
+
+def mistimed(s: SparkSession, f: str) -> DataFrame:
+    """Carried forecasts with clocks and steps broken on purpose, one after the other."""
+    n = F.hour("ts") + F.dayofmonth("ts")
+    d = carried(s, f).withColumn("forecast_origin_at", F.when(n % 11 == 0, c("ts") + F.expr("INTERVAL 1 DAY")).otherwise(c("forecast_origin_at")))
+    d = d.withColumn("forecast_origin_available_at", F.when(n % 13 == 0, c("forecast_origin_at") - F.expr("INTERVAL 1 HOUR")).otherwise(c("forecast_origin_available_at")))
+    d = d.withColumn("available_at", F.when(n % 17 == 0, c("forecast_origin_available_at") - F.expr("INTERVAL 1 SECOND")).otherwise(c("available_at")))
+    return d.withColumn("forecast_step", F.when(n % 7 == 0, F.lit(0)).otherwise(c("forecast_step")))
+
+
+MISTIMED = f"""{CAR}, m1 AS (SELECT *, hour(ts) + day(ts) AS nn FROM car),
+m2 AS (SELECT * REPLACE (CASE WHEN nn % 11 = 0 THEN ts + INTERVAL 1 DAY ELSE forecast_origin_at END AS forecast_origin_at) FROM m1),
+m3 AS (SELECT * REPLACE (CASE WHEN nn % 13 = 0 THEN forecast_origin_at - INTERVAL 1 HOUR ELSE forecast_origin_available_at END AS forecast_origin_available_at) FROM m2),
+m4 AS (SELECT * REPLACE (CASE WHEN nn % 17 = 0 THEN forecast_origin_available_at - INTERVAL 1 SECOND ELSE available_at END AS available_at, CASE WHEN nn % 7 = 0 THEN 0 ELSE forecast_step END AS forecast_step) FROM m3)"""
+TIMING = {"origin_after_row": "forecast_origin_at > ts", "origin_known_early": "forecast_origin_available_at < forecast_origin_at", "known_before_origin": "available_at < forecast_origin_available_at", "step_range": f"forecast_step NOT BETWEEN 1 AND {HOR}"}
+register("b11_forecast_timing", lambda s, f: Q.violations(mistimed(s, f), C.timing_rules(HOR), ["series_id"]), "series_id rule violations:i", f"{MISTIMED} " + " UNION ALL ".join(f"SELECT series_id, '{n}' AS rule, count(*) FILTER ({e}) AS violations FROM m4 GROUP BY 1" for n, e in TIMING.items()))
 register("k2_plugin_forecast", lambda s, f: C.origin_features(forecasts(s, f, lambda h: C.plugin(lambda xs, k: [([x[-1]] * k, {"0.5": [x[-1]] * k}) for x in xs], h)(c("context")))), "series_id ts:t point_1:d point_sum:d", f"{ORI} SELECT series_id, ts, close AS point_1, close * {HOR} AS point_sum FROM o")
 
 # stores

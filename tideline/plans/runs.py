@@ -113,7 +113,11 @@ def prepared(s: SparkSession, f: str) -> DataFrame:
     return N.finite_rows(A.with_cache(d, cache, ["series_id", "ts"]), [*N.feature_names(M), "forecast_1"])
 
 
-register("i17_prepared_rows", prepared, "series_id ts:t available_at:t desired_exposure:d forecast_1:d target_return:d")
+register("i17_prepared_rows", prepared, "series_id ts:t available_at:t desired_exposure:d forecast_1:d target_return:d", f"""{FEATURES}, p AS (SELECT feat.*, trend.desired_exposure, feat.ts + INTERVAL {M.latency_s} SECOND AS open_available_at FROM feat JOIN trend USING (series_id, ts)),
+  q AS (SELECT *, {market.LEADS} FROM p)
+  SELECT q.series_id, q.ts, greatest(known.available_at, k.available_at) AS available_at, desired_exposure, k.point_1 AS forecast_1, target_return
+  FROM q JOIN ({pit_sql(market.B4, H4)}) known ON known.series_id = q.series_id AND known.ts = q.ts JOIN ({landing.CAR} SELECT * FROM car) k ON k.series_id = q.series_id AND k.ts = q.ts
+  WHERE {' AND '.join(f'q.{x} IS NOT NULL AND isfinite(q.{x})' for x in N.feature_names(M))} AND k.point_1 IS NOT NULL AND target_return IS NOT NULL""")
 
 
 def last_value_model(x: np.ndarray, y: np.ndarray):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def source(spark: SparkSession, path: str, files_per_batch: int | None = None) -
     """A stream over a Parquet table's files."""
     r = spark.readStream.schema(spark.read.parquet(path).schema)
     r = r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r
-    return r.parquet(f"{path[:-1]}?")
+    return r.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern, since a stream takes no single file, that only this name matches
 
 
 def finish(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
@@ -131,17 +132,26 @@ def recover(spark: SparkSession, append: Callable[[DataFrame, int], None], path:
         done += 1
 
 
+def latched(entry: np.ndarray, exit_: np.ndarray, active: bool) -> np.ndarray:
+    """The state after each row, from the state before the first.
+
+    A row maps the state: an entry alone to long, an exit alone to flat, both together to the other one, neither to itself. The state after
+    a row is the last fixed one before it, turned over once for each row since that has both."""
+    at = np.maximum.accumulate(np.where(entry ^ exit_, np.arange(len(entry)), -1)) if len(entry) else np.zeros(0, int)
+    turns = np.cumsum(entry & exit_)
+    fixed = at >= 0
+    since = turns - np.where(fixed, turns[at], 0)
+    return np.where(fixed, entry[at], active) ^ (since % 2 == 1)
+
+
 def latch(rows: DataFrame, key: str, entry: str, exit_: str) -> DataFrame:
-    """The long/flat state of (key, ts, entry, exit) rows carried from batch to batch: key, ts, regime."""
+    """The long/flat state of (key, ts, entry, exit) rows carried from batch to batch: key, ts, regime. Null signals count as false."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for e, x in zip(pdf[entry], pdf[exit_]):
-            active = 0 if active and x else 1 if not active and e else active
-            out.append(float(active))
-        state.update((int(active),))
-        yield pd.DataFrame({key: k[0], "ts": pdf["ts"], "regime": out})
+        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        after = latched(*(pdf[x].fillna(False).to_numpy(bool) for x in (entry, exit_)), bool(state.get[0]) if state.exists else False)
+        if len(after):
+            state.update((int(after[-1]),))
+        yield pd.DataFrame({key: k[0], "ts": pdf["ts"], "regime": after.astype(float)})
 
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, ts timestamp, regime double", "active int", "append", GroupStateTimeout.NoTimeout)
