@@ -14,6 +14,7 @@ from pyspark.sql import window as W
 from tideline.functions import normal
 from tideline.functions import text as X
 from tideline.operators import extraction as Y
+from tideline.operators import features as N
 from tideline.operators import ledger as L
 from tideline.operators import stats as T
 from tideline.sources import commits as K
@@ -126,3 +127,16 @@ def test_candidates_are_ranked(spark):
     assert (v.verdict, v.candidate_count, v.passing_candidate_count, v.passing_candidates) == ("candidate_requires_human_freeze_review", 4, 2, "c,b")
     v = T.verdict(d.where("NOT eligible")).first()
     assert (v.verdict, v.recommended_action, v.passing_candidates) == ("no_candidate_passed", "retain_research_only", "")
+
+
+def test_averages_of_long_series_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(100, 5, 1500)
+    d = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)] + [("t", 0, 7.0)], "series_id string, ts int, close double").repartition(4)
+    spans = {"one": 1, "fast": 12, "slow": 5000}
+    got = N.emas(d, "close", spans).where("series_id = 's'").orderBy("ts").toPandas()
+    for out, span in spans.items():
+        want = pd.Series(x).ewm(span=span, adjust=False, min_periods=span).mean()
+        np.testing.assert_allclose(got[out].to_numpy(float), want.to_numpy(), rtol=1e-12)
+    plain = N.emas(d, "close", {"slow": 900}).where("series_id = 's'").orderBy("ts").toPandas()
+    np.testing.assert_allclose(plain["slow"].to_numpy(float), pd.Series(x).ewm(span=900, adjust=False, min_periods=900).mean().to_numpy(), rtol=1e-12)

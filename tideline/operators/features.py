@@ -2,7 +2,7 @@
 
 All windows of a series share one partitioning and one order, so a plan has one exchange
 and one sort for them. The exponential average is a scan in chunks: chunks of one series run in
-parallel and only their last values are folded.
+parallel, all averages in one pass, and only chunk ends meet.
 """
 
 from __future__ import annotations
@@ -30,25 +30,36 @@ def rolling(fn, column: str | Column, n: int, last: int = 0, keys: list[str] | N
     return F.when(F.count(column).over(frame) == n, fn(column).over(frame))
 
 
-def ema(df: DataFrame, column: str, span: int, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds the recursive exponential average with alpha = 2 / (span + 1), seeded by the
-    first value and null for the first span - 1 rows."""
+def emas(df: DataFrame, column: str, spans: dict[str, int], keys: list[str] | None = None) -> DataFrame:
+    """Adds recursive exponential averages by name, alpha = 2 / (span + 1), each seeded by the
+    first value and null for the first span - 1 rows.
+
+    All averages share one pass: a sum of weighted values inside each chunk, and what chunks carry on, which a window over chunk ends
+    gives. It looks back as many chunks as still weigh anything in a double."""
     keys = keys or ["series_id"]
-    a = 2.0 / (span + 1)
-    r = 1.0 - a
+    c = F.col
     place = F.row_number().over(ordered(keys)) - 1
-    d = df.withColumn("_tl_n", place).withColumn("_tl_chunk", F.floor(F.col("_tl_n") / CHUNK)).withColumn("_tl_j", (F.col("_tl_n") % CHUNK).cast("double"))
+    d = df.withColumn("_tl_n", place).withColumns({"_tl_chunk": F.floor(c("_tl_n") / CHUNK), "_tl_j": (c("_tl_n") % CHUNK).cast("double")})
     within = W.Window.partitionBy(*keys, "_tl_chunk").orderBy("ts").rowsBetween(W.Window.unboundedPreceding, 0)
-    weight = F.when(F.col("_tl_n") == 0, 1.0).otherwise(a)
-    d = d.withColumn("_tl_l", F.pow(F.lit(r), F.col("_tl_j")) * F.sum(F.col(column) * weight * F.pow(F.lit(r), -F.col("_tl_j"))).over(within))
-    ends = d.groupBy(*keys, "_tl_chunk").agg(F.max_by("_tl_l", "_tl_j").alias("l"), F.max("_tl_j").alias("j"))
-    chain = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_tl_chunk").alias("c"), "l", "j"))).alias("x"))
-    step = lambda acc, x: F.struct((x["l"] + F.pow(F.lit(r), x["j"] + 1) * acc["y"]).alias("y"), F.concat(acc["all"], F.array(acc["y"])).alias("all"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("all"))
-    carry = chain.select(*keys, F.posexplode(F.aggregate("x", start, step)["all"]).alias("_tl_chunk", "_tl_carry")).withColumn("_tl_chunk", F.col("_tl_chunk").cast("long"))
-    value = F.col("_tl_l") + F.pow(F.lit(r), F.col("_tl_j") + 1) * F.col("_tl_carry")
-    d = d.join(carry, [*keys, "_tl_chunk"]).withColumn(out, F.when(F.col("_tl_n") >= span - 1, value))
-    return d.drop("_tl_n", "_tl_chunk", "_tl_j", "_tl_l", "_tl_carry")
+    keep = {out: 1.0 - 2.0 / (span + 1) for out, span in spans.items() if span > 1}
+    weight = lambda r: F.when(c("_tl_n") == 0, 1.0).otherwise(1.0 - r)
+    d = d.withColumns({f"_tl_l_{out}": F.pow(F.lit(r), c("_tl_j")) * F.sum(c(column) * weight(r) * F.pow(F.lit(r), -c("_tl_j"))).over(within) for out, r in keep.items()})
+    ends = d.groupBy(*keys, "_tl_chunk").agg(*[F.max_by(f"_tl_l_{out}", "_tl_j").alias(f"_tl_e_{out}") for out in keep])
+
+    def carry(out: str, r: float) -> Column:
+        back = W.Window.partitionBy(*keys).orderBy("_tl_chunk").rowsBetween(-2 - math.ceil(42 / (CHUNK * -math.log(r))), -1)
+        return F.aggregate(F.collect_list(f"_tl_e_{out}").over(back), F.lit(0.0), lambda acc, x: x + r**CHUNK * acc)
+
+    carries = ends.select(*keys, "_tl_chunk", *[carry(out, r).alias(f"_tl_c_{out}") for out, r in keep.items()])
+    d = d.join(carries, [*keys, "_tl_chunk"])
+    value = lambda out, r: c(f"_tl_l_{out}") + F.pow(F.lit(r), c("_tl_j") + 1) * c(f"_tl_c_{out}")
+    d = d.withColumns({out: F.when(c("_tl_n") >= spans[out] - 1, value(out, r)) for out, r in keep.items()} | {out: c(column) for out, span in spans.items() if span <= 1})
+    return d.drop("_tl_n", "_tl_chunk", "_tl_j", *[f"_tl_{x}_{out}" for x in "lc" for out in keep])
+
+
+def ema(df: DataFrame, column: str, span: int, out: str, keys: list[str] | None = None) -> DataFrame:
+    """One of :func:`emas`."""
+    return emas(df, column, {out: span}, keys)
 
 
 def returns(df: DataFrame, windows: tuple[int, ...]) -> DataFrame:
@@ -83,8 +94,7 @@ def shapes(df: DataFrame) -> DataFrame:
 
 def features(df: DataFrame, m: Market = Market()) -> DataFrame:
     """All features of bars (series_id, ts, open, high, low, close, volume)."""
-    d = ema(df, "close", m.ema_fast, "ema_fast")
-    d = ema(d, "close", m.ema_slow, "ema_slow")
+    d = emas(df, "close", {"ema_fast": m.ema_fast, "ema_slow": m.ema_slow})
     d = volatility(returns(d, m.return_windows), {f"realized_vol_{n}": n for n in m.volatility_windows} | {"realized_volatility": m.volatility_window}, m.periods_per_year)
     d = zscore(channels(true_range(d, m.atr_window), m.donchian_entry, m.donchian_exit), "volume", m.volume_window, "volume_zscore")
     return shapes(d)

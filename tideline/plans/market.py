@@ -141,7 +141,7 @@ register("h2_keep_last", lambda s, f: B.keep_last(read(s, f, "events").select("u
          "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 register("c3_f1_returns", lambda s, f: X.returns(bars_4h(s, f), M.return_windows), "series_id ts:t simple_return:d log_return:d " + " ".join(f"log_return_{n}:d" for n in M.return_windows), f"{FEATURES} SELECT * FROM r")
 register("f2_volatility", featured, "series_id ts:t realized_volatility:d " + " ".join(f"realized_vol_{n}:d" for n in M.volatility_windows), f"{FEATURES} SELECT * FROM feat")
-register("f3_ema", lambda s, f: X.ema(X.ema(bars_4h(s, f), "close", M.ema_fast, "ema_fast"), "close", M.ema_slow, "ema_slow"), "series_id ts:t ema_fast:d ema_slow:d", f"{FEATURES} SELECT * FROM v")
+register("f3_ema", lambda s, f: X.emas(bars_4h(s, f), "close", {"ema_fast": M.ema_fast, "ema_slow": M.ema_slow}), "series_id ts:t ema_fast:d ema_slow:d", f"{FEATURES} SELECT * FROM v")
 register("f4_atr", lambda s, f: X.true_range(bars_4h(s, f), M.atr_window), "series_id ts:t true_range:d atr:d", f"{FEATURES} SELECT * FROM feat")
 register("f5_donchian", lambda s, f: X.channels(bars_4h(s, f), M.donchian_entry, M.donchian_exit), "series_id ts:t donchian_entry_high:d donchian_exit_low:d", f"{FEATURES} SELECT * FROM feat")
 register("f6_volume_zscore", lambda s, f: X.zscore(bars_4h(s, f), "volume", M.volume_window, "volume_zscore"), "series_id ts:t volume_zscore:d", f"{FEATURES} SELECT * FROM feat")
