@@ -53,9 +53,10 @@ def release(spark: SparkSession) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again; survives lost executors."""
+def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder, in at most ``parts`` files, and read again; survives lost executors."""
     spark = df.sparkSession
+    df = df.coalesce(parts) if parts else df
     path = shared_path(spark, "tables")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

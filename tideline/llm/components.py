@@ -43,7 +43,7 @@ def _near_minima(both: DataFrame, seed: int) -> DataFrame:
     return both.join(stored(one), "b").groupBy("a").agg(F.min("low").alias("low")).select(F.col("a").alias("node"), F.col("low.v").alias("comp"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, comp) of every node in ``edges`` (a, b); comp is the smallest node that it reaches.
 
     Each round merges every node with the first of its neighbours' neighbours in a random order and goes on with the edges between
@@ -51,24 +51,24 @@ def components(edges: DataFrame) -> DataFrame:
     rounds are few and each is smaller than the last. Minima are combined before the shuffle, so a hub costs no
     task more; where names are looked up, rows are two integers, and adaptive execution splits the partition of a hub.
     """
-    return contracted(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("long"), F.col("b").cast("long")), FEW)
+    return contracted(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("long"), F.col("b").cast("long")), FEW, parts)
 
 
-def contracted(some: DataFrame, few: int) -> DataFrame:
+def contracted(some: DataFrame, few: int, parts: int | None = None) -> DataFrame:
     names, last = [], None
     while last is None:
-        some = stored(some.distinct())
+        some = stored(some.distinct(), parts)
         if some.count() <= few:  # the number of rows stands in the files
             last = stored(some.coalesce(1).mapInArrow(_solved, "node long, comp long"))
             break
         both = some.union(some.select("b", "a"))
-        names.append(stored(_near_minima(both, len(names))))
+        names.append(stored(_near_minima(both, len(names)), parts))
         at = lambda end, new: names[-1].select(F.col("node").alias(end), F.col("comp").alias(new))
         some = some.where("a <> b").join(at("b", "y"), "b").join(at("a", "x"), "a").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     if not names:
         return last  # labels are smallest nodes already
     while names:
         after = last.select(F.col("node").alias("comp"), F.col("comp").alias("later"))
-        last = stored(names.pop().join(after, "comp", "left").select("node", F.coalesce("later", "comp").alias("comp")))
-    least = stored(last.groupBy("comp").agg(F.min("node").alias("least")))
-    return stored(last.join(least, "comp").select("node", F.col("least").alias("comp")))
+        last = stored(names.pop().join(after, "comp", "left").select("node", F.coalesce("later", "comp").alias("comp")), parts)
+    least = stored(last.groupBy("comp").agg(F.min("node").alias("least")), parts)
+    return stored(last.join(least, "comp").select("node", F.col("least").alias("comp")), parts)

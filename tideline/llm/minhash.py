@@ -16,6 +16,9 @@ task at a time, as eight bytes a shingle.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,7 @@ from .components import components
 WIDTH, PERCENT = 3, 85
 N_PERMUTATIONS, ROWS = 120, 6  # 240 values in 40 bands: a pair at 0.85 misses all of them once in 10**8
 TURNS = 3  # of single pairs before all that are left
+ROWS_A_FILE = 4000  # documents for each file of a table on the way, so that small inputs don't end in very many files
 
 
 def sets_of(texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,29 +170,29 @@ def _tokens(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sh)), b.column("id").take(pa.array(at)), pa.array(size[at])], names=["token", "id", "n"])
 
 
-def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+def prefix_rows(sets: DataFrame, percent: int, parts: int | None = None) -> DataFrame:
     """(token, id, n, p) of the shingles among which every set (id, sh) shares one with each set that it can reach the similarity with.
 
     An id stands in one row of ``sets``. Two sets that similar share one of the first n - ceil(n * percent / 100) + 1 shingles of
     any common order; rare shingles come first here, by their exact counts over ``sets``. p is a shingle's place, n the set's size.
     """
     c = F.col
-    all_ = stored(sets.select("id", "sh").mapInArrow(_tokens, "token long, id long, n long"))
-    held = stored(all_.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))  # a shingle of one set makes no pair
+    all_ = stored(sets.select("id", "sh").mapInArrow(_tokens, "token long, id long, n long"), parts)
+    held = stored(all_.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), parts)  # a shingle of one set makes no pair
     ranked = all_.join(held.select("token", c("n").alias("held")), "token", "left")
     place = F.row_number().over(W.Window.partitionBy("id").orderBy(F.coalesce("held", F.lit(1)), "token")) - 1
     rows = ranked.withColumn("p", place).where(c("p") <= c("n") - F.ceil(c("n") * percent / 100)).where("held IS NOT NULL")
-    return stored(rows.select("token", "id", "n", "p"))
+    return stored(rows.select("token", "id", "n", "p"), parts)
 
 
-def split_tokens(rows: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+def split_tokens(rows: DataFrame, comps: DataFrame, turn: int, parts: int | None = None) -> DataFrame:
     """The rows of tokens that several components share, with the set's component (comp), the token's largest (main) and a set of it (pivot, n_pivot; another for each token and turn)."""
-    own = stored(rows.select("token", "id", "n", "p").join(comps, "id"))
+    own = stored(rows.select("token", "id", "n", "p").join(comps, "id"), parts)
     pick = F.min(F.struct(F.xxhash64("id", "token", F.lit(turn)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("n_pivot"))).alias("pick")
     per = own.groupBy("token", "comp").agg(F.count("*").alias("k"), pick)
     best = per.groupBy("token").agg(F.max(F.struct("k", "comp", "pick")).alias("b"), F.count("*").alias("m")).where("m > 1")
-    largest = stored(best.select("token", F.col("b.comp").alias("main"), "b.pick.pivot", "b.pick.n_pivot"))
-    return stored(own.join(largest, "token"))
+    largest = stored(best.select("token", F.col("b.comp").alias("main"), "b.pick.pivot", "b.pick.n_pivot"), parts)
+    return stored(own.join(largest, "token"), parts)
 
 
 def pivot_pairs(split: DataFrame, percent: int) -> DataFrame:
@@ -216,10 +220,10 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return stored(meeting_pairs(split_tokens(prefix_rows(sets, percent), sets.select("id", "comp"), 0), percent))
 
 
-def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+def merged(comps: DataFrame, links: DataFrame, parts: int | None = None) -> DataFrame:
     """``comps`` (id, comp) after joining the components (comp_a, comp_b) of ``links``."""
-    into = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
-    return stored(comps.join(into, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")))
+    into = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), parts).select(F.col("node").alias("comp"), F.col("comp").alias("into"))
+    return stored(comps.join(into, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")), parts)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, n_permutations: int = N_PERMUTATIONS, rows: int = ROWS) -> DataFrame:
@@ -230,36 +234,38 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stored(texts.mapInArrow(_signatures(width, n_permutations, rows), "doc_id long, n long, s1 long, s2 long, bands array<long>"))
+    parts = math.ceil((signed.count() + 1) / ROWS_A_FILE)
+    keep = functools.partial(stored, parts=parts)
     some = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = stored(signed.where(some).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+    classes = keep(signed.where(some).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     own = signed.where(some).drop("bands").join(classes, ["s1", "s2"])
     alone = signed.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("rep"))
-    members = stored(own.select("doc_id", "n", "rep").unionByName(alone))
+    members = keep(own.select("doc_id", "n", "rep").unionByName(alone))
     reps = classes.select(F.col("rep").alias("doc_id"))
     banded = signed.where(some).select("doc_id", "n", "bands").join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n")
     first = F.min(F.struct(F.col("id").alias("pivot"), F.col("n").alias("n_pivot"))).alias("first")
-    buckets = stored(banded.groupBy("key").agg(first, F.max("id").alias("top"), F.count("*").alias("m")).where("first.pivot < top").select("key", "first.*", "m"))
-    met = stored(banded.join(buckets, "key"))
-    stars = stored(met.where((F.col("id") != F.col("pivot")) & can_reach("n", "n_pivot", percent)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    buckets = keep(banded.groupBy("key").agg(first, F.max("id").alias("top"), F.count("*").alias("m")).where("first.pivot < top").select("key", "first.*", "m"))
+    met = keep(banded.join(buckets, "key"))
+    stars = keep(met.where((F.col("id") != F.col("pivot")) & can_reach("n", "n_pivot", percent)).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     ids = met.select("id").distinct()
-    sets = stored(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_set_rows(width), "id long, sh binary").dropDuplicates(["id"]))
-    linked = stored(confirm(stars, sets, percent, ("a",)))  # a set is in as many buckets as there are bands at most, so b isn't hot
-    found = components(linked).withColumnRenamed("node", "id")
-    comps = stored(sets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
-    open_ = stored(met.where("m > 2").select("key", "id").join(comps, "id"))
-    split = stored(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    again = stored(open_.join(split, "key").select("id").distinct())
-    prefixes = prefix_rows(sets.join(again, "id", "left_semi"), percent)
+    sets = keep(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_set_rows(width), "id long, sh binary").dropDuplicates(["id"]))
+    linked = keep(confirm(stars, sets, percent, ("a",)))  # a set is in as many buckets as there are bands at most, so b isn't hot
+    found = components(linked, parts).withColumnRenamed("node", "id")
+    comps = keep(sets.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    open_ = keep(met.where("m > 2").select("key", "id").join(comps, "id"))
+    split = keep(open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    again = keep(open_.join(split, "key").select("id").distinct())
+    prefixes = prefix_rows(sets.join(again, "id", "left_semi"), percent, parts)
     # large clusters of near copies come together by single pairs first, so that few sets are left outside them
     for turn in range(TURNS):
-        prefixes = split_tokens(prefixes, comps, turn)
-        more = stored(confirm(stored(pivot_pairs(prefixes, percent)), sets, percent, ("a",)))  # b has a pair per shingle of its own at most
+        prefixes = split_tokens(prefixes, comps, turn, parts)
+        more = keep(confirm(keep(pivot_pairs(prefixes, percent)), sets, percent, ("a",)))  # b has a pair per shingle of its own at most
         if more.isEmpty():
             break
-        comps = merged(comps, more)
-    more = stored(confirm(stored(meeting_pairs(split_tokens(prefixes, comps, TURNS), percent)), sets, percent))
+        comps = merged(comps, more, parts)
+    more = keep(confirm(keep(meeting_pairs(split_tokens(prefixes, comps, TURNS, parts), percent)), sets, percent))
     if not more.isEmpty():
-        comps = merged(comps, more)
+        comps = merged(comps, more, parts)
     all_ = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     return all_.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
