@@ -12,7 +12,8 @@ and all its occurrences are sampled together. The vocabulary (some 10**4 pieces,
 fixed by its file) is read on the driver and goes to the tasks with the function.
 
 Defined cases: a null text gives null pieces, an empty one an empty list; a null key counts as 0;
-repeated rows get equal pieces; extra columns are left out by :func:`encode`.
+repeated rows get equal pieces; a very long text is encoded whole, its long parts node by node; an empty table gives no rows; extra columns are left
+out by :func:`encode`.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ symbol noise), navigation (separator-laden menus) and boilerplate (stock phrases
 lines). Lines that fail go; a document is rejected when more than ``max_lost`` percent of
 its word characters went with them, or when its base counts fail.
 
-Defined cases: a null or empty text has no words and fails the base rule; extra columns
+Defined cases: a null or empty text has no words and fails the base rule; each row is judged by itself, so repeated rows, ties and
+null or repeated doc_ids change nothing; a very long text is judged whole, by one task; an empty table gives no rows; extra columns
 are kept by :func:`keep_quality` and left out by :func:`quality_report`.
 """
 
@@ -135,7 +136,7 @@ rep AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM r GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 s AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 j AS (SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
-  NOT ((n < 5 AND NOT regexp_matches(right(line, 40), '[.!?:;,…。！？)"''”’»][\x20\x09-\x0D]*$'))
+  NOT ((n < 5 AND NOT regexp_matches(line, '[.!?:;,…。！？)"''”’»][\x20\x09-\x0D]*$'))
     OR len(regexp_extract_all(line, '[!?]{{2}}')) * 10 > n * 3 OR len(regexp_extract_all(line, '[#*$%&|<>]+')) * 10 > n * 2
     OR len(regexp_extract_all(regexp_replace(line, '[\x20\x09-\x0D]', '  ', 'g'), '(?:^| )[|»›•·>](?: |$)')) * 10 > n
     OR (n <= {STOCK_WORDS} AND regexp_matches(lower(line), '{_STOCK_SQL}'))) AS passes FROM s),
