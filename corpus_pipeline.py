@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's docs. All but the last return the
 columns of ``documents``; they drop the documents (or, for lines, the text) that they reject.
-Rows with null texts fail the quality rules, so no later stage sees them; an empty table
-passes through as an empty table; extra columns are carried along to the last stage.
+Rows with null texts fail the quality rules, so no later stage sees them; repeated rows of a doc_id stay or go together, since
+stages judge a document by its id or its text; among equal texts the smallest doc_id stays; a very long text is treated whole in every stage; an empty table
+passes through as an empty table; extra columns, whatever their names, are carried along to the last stage.
 """
 
 from __future__ import annotations
