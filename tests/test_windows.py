@@ -133,6 +133,22 @@ def test_stream_pairs(spark, tmp_path):
     assert sorted((r.k, r.n) for r in got) == [(1, 3601), (1, 7200)]
 
 
+def test_stream_pairs_meet_by_bucket(spark, tmp_path):
+    """A decision's state look-up is bound to its own time, and no pair is lost or repeated at the edges of buckets."""
+    rng = np.random.default_rng(5)
+    dec, ev = "asset string, decision_time timestamp, k int", "asset string, available_at timestamp, n int"
+    decisions = [(str(rng.choice(["A", "B"])), when(t * 900), i) for i, t in enumerate(rng.integers(0, 200, 60))]
+    rows = [(str(rng.choice(["A", "B"])), when(t * 900), i) for i, t in enumerate(rng.integers(0, 200, 150))]
+    land(spark, str(tmp_path / "d"), decisions, dec)
+    land(spark, str(tmp_path / "e"), rows, ev)
+    read = lambda n, schema: spark.readStream.schema(schema).parquet(str(tmp_path / n))
+    pairs = J.trailing_pairs(read("d", dec), read("e", ev), 3600, "1 hour", "asset")
+    assert pairs.columns == ["asset", "decision_time", "k", "available_at", "n"]
+    assert "_tl_b" in pairs._jdf.queryExecution().analyzed().toString().split("Join ")[1].split("\n")[0]
+    got = sorted((r.k, r.n) for r in J.finish(pairs, str(tmp_path / "out")).collect())
+    assert got == sorted((k, n) for a, t, k in decisions for b, u, n in rows if a == b and dt.timedelta(0) <= t - u < dt.timedelta(hours=1))
+
+
 ROWS = "id long, at timestamp, v string"
 
 
