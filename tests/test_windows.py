@@ -149,6 +149,23 @@ def test_stream_pairs_meet_by_bucket(spark, tmp_path):
     assert got == sorted((k, n) for a, t, k in decisions for b, u, n in rows if a == b and dt.timedelta(0) <= t - u < dt.timedelta(hours=1))
 
 
+def test_stream_windows_of_repeated_decisions(spark, tmp_path):
+    """A decision that comes twice has its statistics once, and none of them twice over, over several batches."""
+    rng = np.random.default_rng(6)
+    rows, dec = events(rng, 200, 6 * 20), "asset string, decision_time timestamp"
+    decisions = [(a, when(x)) for a in "AB" for x in rng.integers(0, 6 * 20, 30) * 600] * 2 + [("C", when(1200))]
+    end = [("A", "s0", "neutral", 0.5, 0.5, 0.5, 0.8, when(10**6))]
+    rows.sort(key=lambda r: r[7])
+    decisions.sort(key=lambda r: r[1])
+    for part in range(2):  # in order of time
+        land(spark, str(tmp_path / "d"), decisions[part * 60 : part * 60 + 60] + [("A", when(10**6))] * part + decisions[120:] * part, dec)
+        land(spark, str(tmp_path / "e"), rows[part * 100 : part * 100 + 100] + end * part, EVENTS)
+    read = lambda n, schema: spark.readStream.schema(schema).parquet(str(tmp_path / n))
+    got = J.finish(J.trailing_statistics(read("d", dec), read("e", EVENTS), 7200, "1 hour", "asset"), str(tmp_path / "out")).collect()
+    assert len(got) == len(set(decisions))
+    close({(r.asset, r.decision_time): [r[s] for s in E.STATS] for r in got}, brute(sorted(set(decisions)), rows + end, 7200))
+
+
 ROWS = "id long, at timestamp, v string"
 
 
