@@ -50,3 +50,21 @@ def test_entry(spark):
 def test_twins_belong_to_queries():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
     assert catalog.FLAGSHIP in catalog.QUERIES
+
+
+def twin_on(spark, name, folder, **tables):
+    """A query and its twin over tables made by hand, as sorted rows of text."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return plain(entry.queries()[name](spark, str(folder)).toPandas()), plain(con.execute(entry.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", ["a5_funding"])
+def test_rates_of_one_time_give_the_last(spark, sf_dir, tmp_path, name):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 500")
+    again = e.withColumns({"event_id": e.event_id + 1000, "value": e.value + 3.0})
+    got, want = twin_on(spark, name, tmp_path, events=e.unionByName(again))
+    assert len(got) == 5 and got == want
