@@ -62,7 +62,7 @@ def twin_on(spark, name, folder, **tables):
     return plain(entry.queries()[name](spark, str(folder)).toPandas()), plain(con.execute(entry.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", ["a5_funding"])
+@pytest.mark.parametrize("name", ["a5_funding", "a6_open_interest"])
 def test_rates_of_one_time_give_the_last(spark, sf_dir, tmp_path, name):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 500")
     again = e.withColumns({"event_id": e.event_id + 1000, "value": e.value + 3.0})
