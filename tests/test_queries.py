@@ -68,3 +68,10 @@ def test_rates_of_one_time_give_the_last(spark, sf_dir, tmp_path, name):
     again = e.withColumns({"event_id": e.event_id + 1000, "value": e.value + 3.0})
     got, want = twin_on(spark, name, tmp_path, events=e.unionByName(again))
     assert len(got) == 5 and got == want
+
+
+def test_markup_with_odd_references(spark, tmp_path):
+    bodies = ["a &ampb &amp;lt; &amp c", "&notin; &notit; &nosuch; &;&& &#", "&#65;&#x42&#0;&#128;&#xD800;&#x110000;&#99999999999999999999;&#xFDD0;|", "a&nbsp;&#x2003; \x0bb\xa0", "<style>x<script>y</style>z</script>w", "it&apos;s &NotEqualTilde; &hellip", "", None]
+    pages = spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string")
+    got, want = twin_on(spark, "c9_strip_markup", tmp_path, pages=pages)
+    assert got == want and ("a &b &lt; & c", "0") in got
