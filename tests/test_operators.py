@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as X
 from tideline.operators import asof as A
+from tideline.operators import extraction as Y
 from tideline.operators import features as N
 from tideline.operators import folds as D
 from tideline.operators import ledger as L
@@ -190,3 +191,11 @@ def test_feed_counts(spark):
     df = spark.createDataFrame([("s", f"<rss>{''.join(feed)}</rss>"), ("none", "<rss></rss>")], "source_id string, payload string").withColumn("retrieved_at", F.lit("2024-01-01").cast("timestamp"))
     got = {r.source_id: (r.entries, r.truncated, r.skipped, r.duplicates, r.kept) for r in S.feed_counts(df, ["x.org"], 6, 300).collect()}
     assert got == {"s": (7, 1, 3, 1, 2), "none": (0, 0, 0, 0, 0)}
+
+
+def test_filters_on_replies_ask_the_extractor_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None)], "document_id long, text string")
+    made = Y.extracted(docs, "text", lambda prompt, texts: texts.map(lambda x: "{" if len(x) % 2 else '{"asset": "BTC", "direction": "neutral", "severity": 0.5, "novelty": 0.5, "confidence": 0.5}'), "")
+    for rows, ids in ((Y.set_aside(made).select("document_id", "problems"), [1]), (Y.accepted(made), [2, 3])):
+        assert sorted(r.document_id for r in rows.collect()) == ids
+        assert rows._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1

@@ -22,9 +22,10 @@ def rules(signal: str = "signal") -> dict[str, Column]:
 def extracted(docs: DataFrame, text: str, call: Callable[[str, pd.Series], pd.Series], prompt: str, schema: str = SIGNAL, checks: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with ``reply``, the parsed ``signal`` and ``problems``, the names of what is wrong with it in order.
 
-    ``call`` gets a batch of texts (a null is an empty one) and returns a reply for each. A reply that isn't a JSON object of the
+    ``call`` gets a batch of texts (a null is an empty one) and returns a reply for each; it may answer differently when asked again, so a filter on
+    its replies doesn't ask it a second time. A reply that isn't a JSON object of the
     schema's types is ``malformed``, one without a field (or with a null) has a ``missing_field``; a rule is only asked of complete signals."""
-    answer = F.pandas_udf(lambda t: call(prompt, t), T.StringType())
+    answer = F.pandas_udf(lambda t: call(prompt, t), T.StringType()).asNondeterministic()
     fields = [f.strip().split(" ")[0] for f in schema.split(",")]
     d = docs.withColumn("reply", answer(F.coalesce(F.col(text), F.lit(""))))
     d = d.withColumn("signal", F.from_json("reply", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}))
