@@ -3,6 +3,9 @@
 import datetime as dt
 import hashlib
 import math
+import subprocess
+import sys
+from pathlib import Path
 from statistics import NormalDist
 
 import numpy as np
@@ -113,6 +116,14 @@ def test_terms_are_folded_and_texts_once(spark):
     assert plan.count("regexp_replace") == 1
 
 
+def test_folding_holds_few_texts_and_no_pandas(spark):
+    plan = spark.createDataFrame([("Große",)], "v string").select(X.relevance(F.col("v"), ["a"], ["c"])["accepted"])._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # a hundred rows at a time, not 10,000
+    code = "import sys; from tideline.functions.folding import folded_text as f; print(f('\\ufb01X  y'), f(None), sorted({'pandas', 'pyspark'} & set(sys.modules)))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True)
+    assert got.stdout.split("\n")[0] == "fix y None []"
+
+
 def test_bootstrap_looks_up_what_it_would_join(spark):
     rng = np.random.default_rng(0)
     d = spark.createDataFrame([(m, i, float(x)) for m in "ab" for i, x in enumerate(rng.normal(0.1, 1, 40 if m == "a" else 13))], "m string, pos long, d double")
