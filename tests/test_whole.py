@@ -1,7 +1,7 @@
 """Queries return rows for the whole of their input, not for a part of it."""
 
 import __spark_entry__ as entry
-from tideline.plans import market
+from tideline.plans import market, research
 
 
 def test_boosted_trees_score_every_fold(spark, sf_dir):
@@ -42,3 +42,11 @@ def test_ablations_run_the_sealed_protocol(spark, sf_dir):
     assert got[got.model == "trend"][["threshold", "brier"]].isna().all().all()
     assert got[got.model != "trend"][["threshold", "brier"]].notna().all().all()
     assert set(got.cost_multiplier) == {1.0, 1.5, 2.0}
+
+
+def test_sealed_runs_read_events_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(research, "MODELS", {"prior": research.MODELS["prior"]})
+    for name in ("i14_sealed_benchmark", "i14_sealed_predictions"):
+        got = entry.queries()[name](spark, sf_dir)  # what is left to do starts from tables
+        assert got.inputFiles() and not [x for x in got.inputFiles() if "events.parquet" in x]
+        assert {r.model for r in got.select("model").distinct().collect()} == {"prior", "trend"}

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import normal
+from tideline.functions import normal, scratch
 from tideline.operators import features as N
 from tideline.operators import pnl as P
 from tideline.operators import prob as R
@@ -72,7 +72,13 @@ register("i10_gram_table", lambda s, f: R.gram(assigned(s, f).where("part = 'tra
 MODELS = {"prior": R.prior_model, "ridge_logistic": R.ridge_logistic, "boosted_trees": R.boosted_trees}
 
 
-def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str], models: tuple[str, ...] = ("ridge_logistic",)) -> tuple[DataFrame, DataFrame]:
+def sealed_inputs(s: SparkSession, f: str) -> tuple[DataFrame, DataFrame]:
+    """Hourly bars and their assigned rows as tables: a sealed run reads the events once, however many models, parts and scores use them."""
+    bars = scratch.table(bars_1h(s, f), "bars")
+    return bars, scratch.table(assigned(s, f, bars), "assigned")
+
+
+def sealed_runs(bars: DataFrame, rows: DataFrame, keys: list[str], columns: list[str], models: tuple[str, ...] = ("ridge_logistic",)) -> tuple[DataFrame, DataFrame]:
     """The sealed protocol per key and model: fit, calibrate, choose a threshold on the validation part, trade the test part.
 
     Returns the test P&L of models and trend under the costs 1.0, 1.5 and 2.0, and the models' probability metrics."""
@@ -87,7 +93,7 @@ def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], colum
     by = [*own, "threshold"]
     chosen = P.choose_threshold(P.sealed_metrics(P.sealed_pnl(val, by, M), by, M), own, 3, 0.5).drop("utility")
     test = size(d.where("part = 'test'").join(chosen, own))
-    trend = N.trend_exposure(N.features(bars_1h(s, f), M), M).select("series_id", "ts", F.col("desired_exposure").alias("_tl_trend"))
+    trend = N.trend_exposure(N.features(bars, M), M).select("series_id", "ts", F.col("desired_exposure").alias("_tl_trend"))
     once = test.where(F.col("model") == models[0])
     rule = once.join(trend, ["series_id", "ts"], "left").withColumns({"model": F.lit("trend"), "threshold": F.lit(None).cast("double"), "exposure": F.coalesce("_tl_trend", F.lit(0.0))}).drop("_tl_trend")
     both = test.unionByName(rule).withColumn("cost_multiplier", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0))))
@@ -95,9 +101,9 @@ def sealed_runs(s: SparkSession, f: str, rows: DataFrame, keys: list[str], colum
     return P.sealed_pnl(both, [*own, "cost_multiplier"], M), scores
 
 
-def sealed_table(s: SparkSession, f: str, rows: DataFrame, keys: list[str], columns: list[str], models: tuple[str, ...] = ("ridge_logistic",)) -> DataFrame:
+def sealed_table(bars: DataFrame, rows: DataFrame, keys: list[str], columns: list[str], models: tuple[str, ...] = ("ridge_logistic",)) -> DataFrame:
     """One row per series, fold, key, model and cost multiplier with the rows of each part; the rule's threshold and probability metrics are null."""
-    pnl, scores = sealed_runs(s, f, rows, keys, columns, models)
+    pnl, scores = sealed_runs(bars, rows, keys, columns, models)
     parts = rows.groupBy("series_id", "fold", *keys).agg(*[F.count_if(F.col("part") == x).alias(f"{x}_rows") for x in PARTS])
     own = ["series_id", "fold", *keys, "model"]
     chosen = pnl.groupBy(*own).agg(F.max("threshold").alias("threshold"))
@@ -105,13 +111,13 @@ def sealed_table(s: SparkSession, f: str, rows: DataFrame, keys: list[str], colu
 
 
 def benchmark(s: SparkSession, f: str) -> DataFrame:
-    return sealed_table(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"], tuple(MODELS))
+    return sealed_table(*sealed_inputs(s, f), [], ["log_return", "realized_volatility", "z"], tuple(MODELS))
 
 
 RUN = f"cost_multiplier:d threshold:d net_return:d sharpe:d max_drawdown:d turnover:d entries:i {PM}"
 PARTS = ("train", "calibration", "validation", "test")
 register("i14_sealed_benchmark", benchmark, f"series_id fold:i model {' '.join(f'{x}_rows:i' for x in PARTS)} {RUN}")
-register("i14_sealed_predictions", lambda s, f: sealed_runs(s, f, assigned(s, f), [], ["log_return", "realized_volatility", "z"], tuple(MODELS))[0].where("cost_multiplier = 1.0").withColumn("probability", F.when(F.col("model") != "trend", F.col("fit_p"))), "series_id fold:i model ts:t probability:d exposure:d net_return:d")
+register("i14_sealed_predictions", lambda s, f: sealed_runs(*sealed_inputs(s, f), [], ["log_return", "realized_volatility", "z"], tuple(MODELS))[0].where("cost_multiplier = 1.0").withColumn("probability", F.when(F.col("model") != "trend", F.col("fit_p"))), "series_id fold:i model ts:t probability:d exposure:d net_return:d")
 
 
 # statistics over the sealed predictions of all models

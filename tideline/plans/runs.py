@@ -88,10 +88,11 @@ def ablations(s: SparkSession, f: str) -> DataFrame:
     sets = research.plan_sets()
     columns = sets["all"]
     masks = F.array(*[F.struct(F.lit(n).alias("ablation"), *[F.lit(x in keep).alias(f"has_{x}") for x in columns]) for n, keep in sets.items()])
-    features = N.features(market.bars_1h(s, f), M).select("series_id", "ts", *[c(x).alias(f"x_{x}") for x in columns])
-    rows = market.assigned(s, f).join(features, ["series_id", "ts"], "left").select("*", F.inline(masks))
+    bars = scratch.table(market.bars_1h(s, f), "bars")
+    features = N.features(bars, M).select("series_id", "ts", *[c(x).alias(f"x_{x}") for x in columns])
+    rows = market.assigned(s, f, bars).join(features, ["series_id", "ts"], "left").select("*", F.inline(masks))
     rows = rows.withColumns({f"x_{x}": F.when(c(f"has_{x}"), c(f"x_{x}")).otherwise(0.0) for x in columns})
-    return research.sealed_table(s, f, scratch.table(rows, "ablations"), ["ablation"], [f"x_{x}" for x in columns], ("prior", "ridge_logistic"))
+    return research.sealed_table(bars, scratch.table(rows, "ablations"), ["ablation"], [f"x_{x}" for x in columns], ("prior", "ridge_logistic"))
 
 
 register("i16_ablation_run", ablations, f"series_id fold:i ablation model {research.RUN}")
