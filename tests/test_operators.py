@@ -161,6 +161,15 @@ def test_boosted_trees_learn_with_gaps_and_one_class(spark):
     assert all(got["one", r[2]] == 1 - 1e-6 and got["none", r[2]] == 0.5 for r in two)
 
 
+def test_tree_scores_are_one_read_for_all_keys(spark):
+    df, _ = supervised(spark)
+    keys = F.explode(F.array(*map(F.lit, "abc"))).alias("key")
+    got = R.boosted_trees(df.where("key = 'two'").select(keys, *[x for x in df.columns if x != "key"]), ["key"], ["a", "b"], trees=2)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
+    scores = [{r.ts: r.p for r in got.where(F.col("key") == k).collect()} for k in "abc"]
+    assert len(scores[0]) == df.where("key = 'two'").count() and scores[0] == scores[1] == scores[2]
+
+
 def test_urls_are_decoded_sorted_and_encoded(spark):
     want = {
         "HTTP://Example.COM:80/a//?b=2&a=1&utm_x=3&ref=q#f": "http://example.com/a?a=1&b=2", "http://bücher.de/ä?q=%C3%A9+x&k&z=1%zz": "http://xn--bcher-kva.de/ä?k=&q=%C3%A9+x&z=1%25zz",

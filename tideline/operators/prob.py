@@ -160,7 +160,7 @@ def platt(scored: DataFrame, keys: list[str]) -> DataFrame:
     d = scratch.table(scored.withColumn("_tl_z", logit(F.col("p"))), "fit-rows")
     own = d.where("part = 'calibration'")
     flat = own.groupBy(*keys).agg(_share("y").alias("_tl_prior"), ((F.countDistinct("y") > 1) & (F.max("_tl_z") - F.min("_tl_z") >= 1e-12)).alias("_tl_two"))
-    fit = own.join(flat.where("_tl_two").select(*keys), keys).select(*keys, "_tl_z", F.col("y").cast("double").alias("y"))
+    fit = scratch.table(own.join(flat.where("_tl_two").select(*keys), keys).select(*keys, "_tl_z", F.col("y").cast("double").alias("y")), "fit-rows")
     w = newton_summed(fit, keys, ["_tl_z"], "y", 1e-6)
     z = F.col("w")[0] + F.col("w")[1] * F.col("_tl_z")
     out = d.join(w, keys, "left").join(flat.select(*keys, "_tl_prior"), keys, "left")
@@ -185,27 +185,34 @@ def fit_groups(rows: DataFrame, keys: list[str], columns: list[str], fit) -> Dat
 
 #: Keys whose trees are fitted at the same time.
 AT_ONCE = 8
+#: Rows of a key that a task takes at most; a fit runs some sixty jobs over its key's tasks.
+TASK_ROWS = 100_000
 
 
 def boosted_trees(rows: DataFrame, keys: list[str], columns: list[str], trees: int = 20, depth: int = 3, step: float = 0.05, seed: int = 42) -> DataFrame:
     """keys, part, ts, y, p of all rows by Spark ML's gradient-boosted trees, fitted on each key's train part.
 
     Missing values take the train median; a train part with one class gives its prior. Each fit is a distributed job over its rows; the
-    keys (a series' declared folds) are submitted ``AT_ONCE`` at a time."""
+    keys (a series' declared folds) are submitted ``AT_ONCE`` at a time. Rows lie in the order of the keys, so that a fit finds its own
+    without reading the others', and each fit's scores are written by itself, so that the plan doesn't grow with the keys."""
     col = F.col
     x = [f"_tl_x{i}" for i in range(len(columns))]
     d = scratch.table(rows.select(*keys, "part", "ts", "y", *[F.when(~F.isnan(col(n).cast("double")), col(n).cast("double")).alias(v) for n, v in zip(columns, x)]), "fit-rows")
     train = d.where("part = 'train'").groupBy(*keys).agg(*[F.coalesce(F.percentile(v, F.lit(0.5)), F.lit(0.0)).alias(f"{v}m") for v in x], _share("y").alias("_tl_prior"), (F.countDistinct("y") > 1).alias("_tl_two"))
     train = scratch.table(train, "fit-keys")
-    d = scratch.table(d.join(train, keys, "left").withColumns({v: F.coalesce(v, f"{v}m", F.lit(0.0)) for v in x}).drop(*[f"{v}m" for v in x]), "fit-rows")
+    d = scratch.table(d.join(train, keys, "left").withColumns({v: F.coalesce(v, f"{v}m", F.lit(0.0)) for v in x}).drop(*[f"{v}m" for v in x]).sort(*keys, "ts"), "fit-rows")
     gather = VectorAssembler(inputCols=x, outputCol="_tl_v")
     out = d.where("NOT coalesce(_tl_two, false)").select(*keys, "part", "ts", "y", F.coalesce("_tl_prior", F.lit(0.5)).alias("p"))
 
-    def fitted(key) -> DataFrame:
-        own = gather.transform(d.where(functools.reduce(lambda a, k: a & (col(k) == F.lit(key[k])), keys, F.lit(True))).withColumn("_tl_y", col("y").cast("double")))
+    path = scratch.folder(rows.sparkSession, "tree-scores")
+
+    def fitted(i: int, key) -> None:
+        of_key = d.where(functools.reduce(lambda a, k: a & (col(k) == F.lit(key[k])), keys, F.lit(True))).coalesce(-(-key["_tl_n"] // TASK_ROWS))
+        own = gather.transform(of_key.withColumn("_tl_y", col("y").cast("double")))
         model = GBTClassifier(labelCol="_tl_y", featuresCol="_tl_v", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(own.where("part = 'train'"))
-        return model.transform(own).select(*keys, "part", "ts", "y", vector_to_array("probability")[1].alias("p"))
+        model.transform(own).select(*out.columns[:-1], vector_to_array("probability")[1].alias("p")).write.parquet(f"{path}/tl_fit={i}")
 
+    two = d.where("_tl_two").groupBy(*keys).agg(F.count("*").alias("_tl_n")).collect()  # a row per fold
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        fits = list(pool.map(fitted, train.where("_tl_two").select(*keys).collect()))  # a row per fold
-    return functools.reduce(DataFrame.unionByName, fits, out)
+        list(pool.map(fitted, range(len(two)), two))
+    return out.unionByName(rows.sparkSession.read.schema(out.schema).parquet(path).select(*out.columns)) if two else out
