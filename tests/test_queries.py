@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tideline.plans import catalog
+from tideline.streaming import jobs
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # a sample that touches each operator module; the driver compares all queries
@@ -75,3 +76,13 @@ def test_markup_with_odd_references(spark, tmp_path):
     pages = spark.createDataFrame(list(enumerate(bodies)), "page_id long, html string")
     got, want = twin_on(spark, "c9_strip_markup", tmp_path, pages=pages)
     assert got == want and ("a &b &lt; & c", "0") in got
+
+
+def test_stream_pairs_store_no_pairs(spark, tmp_path, monkeypatch):
+    """What the stream of pairs writes grows with its rows; the pairs come from it on reading, whole."""
+    kept, finish = [], jobs.finish
+    monkeypatch.setattr(jobs, "finish", lambda *x: kept.append(finish(*x)) or kept[-1])
+    e = spark.range(1200).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01 00:30:00' + make_dt_interval(0, 0, 0, id % 600 * 5) AS ts", "id AS user_id", "if(id % 4 = 0, 'signup', 'view') AS event_type", "5.0D AS value")
+    got, want = twin_on(spark, "j6_stream_pairs", tmp_path, events=e, documents=spark.range(7).selectExpr("id AS doc_id"))
+    assert got == want and len(got) > 10_000
+    assert kept[0].count() <= 1200 + 2 * 300

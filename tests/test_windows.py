@@ -149,6 +149,42 @@ def test_stream_pairs_meet_by_bucket(spark, tmp_path):
     assert got == sorted((k, n) for a, t, k in decisions for b, u, n in rows if a == b and dt.timedelta(0) <= t - u < dt.timedelta(hours=1))
 
 
+def test_stream_spans(spark, tmp_path, monkeypatch):
+    """Pairs by spans equal brute force over blocks, parts and batches; rows that wait or come again meet once, late ones don't."""
+    for name, n in (("BLOCK", 2), ("PART", 8), ("SLICE", 5)):
+        monkeypatch.setattr(J, name, n)
+    rng = np.random.default_rng(8)
+    dec, ev = "asset string, decision_time timestamp, k long", "asset string, available_at timestamp, n int"
+    decisions = [(str(rng.choice(["A", "B"])), when(t * 300), i) for i, t in enumerate(rng.integers(0, 300, 90))] + [(None, when(0), 90), ("A", None, 91)]
+    rows = [(str(rng.choice(["A", "B"])), when(t * 300), i) for i, t in enumerate(rng.integers(0, 300, 400))] + [(None, when(0), 400), ("A", None, 401)]
+    far = dt.datetime(2500, 1, 1)
+    folders = {n: str(tmp_path / n) for n in ("d", "e")}
+    read = lambda n, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folders[n])
+
+    def run():
+        spans = J.finish(J.trailing_spans(read("d", dec), read("e", ev), 3600, "2 days", "asset", "k", "n"), str(tmp_path / "out"))
+        got = J.spanned(spans, "asset", "k", "n")
+        assert got.columns == ["asset", "k", "n", "decision_time", "available_at"]
+        return sorted((r.asset, r.k, r.n, r.decision_time, r.available_at) for r in got.collect())
+
+    def brute_pairs():
+        return sorted((a, k, n, t, u) for a, t, k in decisions for b, u, n in rows if a and t and u and a == b and dt.timedelta(0) <= t - u < dt.timedelta(hours=1))
+
+    for part in range(3):  # out of order, within the lateness
+        land(spark, folders["d"], decisions[part::3], dec)
+        land(spark, folders["e"], rows[part::3], ev)
+    assert run() == brute_pairs()
+    decisions += [("A", far, 100), ("A", far, 100)]
+    rows += [("A", far - dt.timedelta(minutes=5), 500)]
+    land(spark, folders["d"], decisions[-2:], dec)
+    land(spark, folders["e"], rows[-1:], ev)
+    assert run() == brute_pairs()
+    land(spark, folders["e"], [("A", decisions[0][1], 600), ("B", decisions[0][1], 601)], ev)  # too late
+    land(spark, folders["d"], [("A", far + dt.timedelta(minutes=5), 101)], dec)
+    decisions.append(("A", far + dt.timedelta(minutes=5), 101))
+    assert run() == brute_pairs()
+
+
 def test_stream_windows_of_repeated_decisions(spark, tmp_path):
     """A decision that comes twice has its statistics once, and none of them twice over, over several batches."""
     rng = np.random.default_rng(6)
